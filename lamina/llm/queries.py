@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import chat, pieces, search, tokens
+from lamina.llm import chat, decontaminate, pieces, quality, search, substrings, tokens
 from lamina.llm.common import table
 
 
@@ -15,6 +15,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels").where(quality.training_part()))
+    out = quality.score_quality(docs, model)
+    return out.select("doc_id", (~quality.training_part()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines", "bad_lines")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"), length=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -25,6 +37,10 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=5, threshold=0.8)
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file("piece_bpe_32k.model")
     out = pieces.decode_pieces(pieces.encode_pieces(table(spark, sf_dir, "documents"), model), model)
@@ -38,12 +54,31 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.chat_examples(turns.unionByName(own)))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_exact_topk, op9_piece_codec, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_quality, op5_substring_dedup, op6_token_counts, op7_exact_topk, op8_decontaminate, op9_piece_codec, op10_chat_format)}
 
 _VECTORS = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
 
+_WORDS = "list_filter(string_split_regex({text}, '[ \\x09-\\x0D]+'), lambda x: x <> '')"
+
 ORACLE_SQL = {
+    "op5_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS t FROM s),
+m AS (SELECT t, min(doc_id) AS least FROM g GROUP BY t HAVING count(DISTINCT doc_id) > 1),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN m USING (t) WHERE doc_id > least),
+a AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS kept FROM p ANTI JOIN r ON p.doc_id = r.doc_id AND p.i = r.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op8_decontaminate": f"""WITH b AS (SELECT DISTINCT item_id, {_WORDS.format(text="lower(coalesce(text, ''))")} AS w FROM benchmark),
+d AS (SELECT doc_id, {_WORDS.format(text="lower(coalesce(text, ''))")} AS w FROM documents),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS t FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
+FROM bs JOIN ds USING (t) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item) - 1e-9""",
     "op7_exact_topk": _VECTORS
     + """, s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
