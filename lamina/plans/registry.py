@@ -1,5 +1,9 @@
 """Queries by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from lamina.plans.queries import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "pairwise_accuracy_tol"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -1 +1 @@
-
+"""Resumable micro-batches."""
