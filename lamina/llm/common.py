@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python step turns into one output batch; bounds its memory with long texts.
 SLICE_ROWS = 512
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Jaccard similarity join of word shingle sets by PartEnum signatures.
 
 Sets are dealt to size bands. Within a band, sets that are similar enough differ in at most k elements.
-The domain is cut by a hash into n1 partitions, of which at least one then holds one difference at
-most; that partition is cut into three again, and for each two of these a signature hashes what a set
+The domain is cut by a hash into n1 partitions, of which at least one then holds two differences at
+most; that partition is cut into four again, and for each two of these a signature hashes what a set
 has there. One of them is equal for both sets. A set near a band's top also gets the signatures of the
 next band. Where a signature would be of nothing, the set gets those of another cut as well (so equal
 empty parts alone never make candidates, and none is lost); the last cut's empty parts count.
 
-Equal sets are one node. In each group of nodes that share a signature all are compared with the
-smallest (the hub), so a group of m gives m - 1 candidates. Only nodes that share a signature and are
-not connected yet are compared with each other after that. A bound on the difference from counts in
-128 parts of the domain drops most false candidates before their sets are moved.
+Equal sets are one node. In each group of nodes that share a signature all are compared with one of
+them, the hub, so a group of m gives m - 1 candidates. The hub is the node of whose signatures the
+largest share is shared at all: what others were copied from, rather than a copy with changes. Only
+nodes that share a signature and are not connected yet are compared with each other after that. The
+parity of a set's elements in each of 1,024 parts of the domain is a lower bound of differences; as a
+join condition it drops nearly all false candidates before they are rows.
 """
 
 from __future__ import annotations
@@ -32,13 +34,14 @@ from lamina.llm.substrings import bit_table, passing
 
 #: Width of a size band.
 RATIO = 1.25
-#: A partition's parts; one of them may differ.
-PARTS = 3
-SUBSETS = tuple(combinations(range(PARTS), PARTS - 1))
+#: A partition's parts, and how many of them may differ.
+PARTS, DIFFER = 4, 2
+SUBSETS = tuple(combinations(range(PARTS), PARTS - DIFFER))
 CUTS = 4
 #: Of more partitions than this, so many agree that an empty signature can't be the only one (1e-9).
 FEW = 32
-COUNTS = 128
+#: 64-bit words of a sketch.
+SKETCH = 16
 SALTS = 32
 
 
@@ -53,7 +56,7 @@ def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         high.append(top)
         # sets of sizes a, b differ in (100 - p) / (100 + p) of a + b at most
         k = (100 - percent) * 2 * top // (100 + percent)
-        cuts.append(-(-(k + 1) // 2) if k else 0)
+        cuts.append(-(-(k + 1) // (DIFFER + 1)) if k else 0)
         at = top + 1
     return np.array(low), np.array(high), np.array(cuts)
 
@@ -125,17 +128,27 @@ def signatures(values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.
             some = sum(filled[:, j] for j in subset) > 0
             empty[part_of[~some]] = True
             use = some | (cut == CUTS - 1) & (n1[part_of] <= FEW)
-            out_sig.append(windows.mixed(windows.mixed(salt[use] * np.uint64(4) + np.uint64(k)) + inside[use]))
+            out_sig.append(windows.mixed(windows.mixed(salt[use] * np.uint64(len(SUBSETS)) + np.uint64(k)) + inside[use]))
             out_set.append(whose[part_of[use]])
         again = empty & (n1 <= FEW)
         whose, band = whose[again], band[again]
     return (np.concatenate(out_sig), np.concatenate(out_set)) if out_sig else none
 
 
-def difference_counts(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each set, how many of its elements are in each of COUNTS parts of the domain (255 at most)."""
-    cell = np.repeat(np.arange(len(sizes)), sizes) * COUNTS + (windows.mixed(values ^ np.uint64(0xC0)) % np.uint64(COUNTS)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=len(sizes) * COUNTS), 255).astype(np.uint8).reshape(-1, COUNTS)
+def sketches(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set a bit for each part of the domain: whether the number of its elements there is odd."""
+    bits = SKETCH * 64
+    cell = np.repeat(np.arange(len(sizes)), sizes) * bits + (windows.mixed(values ^ np.uint64(0xC0)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=len(sizes) * bits) & 1).astype(np.uint8).reshape(-1, bits)
+    return np.packbits(odd, axis=1).view(np.int64).reshape(-1, SKETCH)
+
+
+def node_ids(values: np.ndarray, sizes: np.ndarray, found: np.ndarray, owner: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """A hash of each set, preceded by what share of its signatures is not shared (in sixteenths), so the
+    smallest of a group is the best hub."""
+    total = np.maximum(np.bincount(owner, minlength=len(sizes)), 1)
+    own = np.bincount(owner[~shared], minlength=len(sizes)) * 15 // total
+    return (own.astype(np.int64) << 59) | (fingerprints(values, sizes) >> np.uint64(5)).astype(np.int64)
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
@@ -144,9 +157,9 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[by].view(np.int64)))
 
 
-def _nodes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, n_shingles, node (the set's hash; null without words), counts and the signatures that more
-    than one document has, or that look so in a bit table."""
+def _nodes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Broadcast]:
+    """id, n_shingles, node (null without words), sketch and the signatures that more than one document has,
+    or that look so in a bit table; and that table."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,29 +176,21 @@ def _nodes(docs: DataFrame, n: int, percent: int) -> DataFrame:
             values, sizes = shingle_sets(batch.column(1).to_pylist(), n)
             found, owner = signatures(values, sizes, percent)
             keep = passing(known.value, found)
-            node = pa.array(fingerprints(values, sizes).view(np.int64), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), node, binary_of([c.tobytes() for c in difference_counts(values, sizes)]), _lists(found[keep], owner[keep], len(sizes))], names=["id", "n_shingles", "node", "counts", "signatures"])
-
-    return stored(docs.select("id", "text").mapInArrow(describe, f"id {kind}, n_shingles long, node long, counts binary, signatures array<long>"), "sets")
-
+            node = pa.array(node_ids(values, sizes, found, owner, keep), mask=sizes == 0)
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * SKETCH), pa.array(sketches(values, sizes).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), node, sketch, _lists(found[keep], owner[keep], len(sizes))], names=["id", "n_shingles", "node", "sketch", "signatures"])
 
-def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b with sizes na, nb and counts ca, cb) whose counts differ no more than similar sets may."""
+    rows = docs.select("id", "text").mapInArrow(describe, f"id {kind}, n_shingles long, node long, sketch array<long>, signatures array<long>")
+    return stored(rows, "sets"), known
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ca, cb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int32) for k in (4, 5))
-            na, nb = (batch.column(k).to_numpy() for k in (2, 3))
-            keep = np.abs(ca - cb).sum(axis=1) * (100 + percent) <= (100 - percent) * (na + nb)
-            keep &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
+def _possible(percent: int):
+    """A condition on sizes na, nb and sketches ca, cb that all similar sets meet."""
+    apart = sum((F.bit_count(F.get("ca", F.lit(k)).bitwiseXOR(F.get("cb", F.lit(k)))) for k in range(1, SKETCH)), F.bit_count(F.get("ca", F.lit(0)).bitwiseXOR(F.get("cb", F.lit(0)))))
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb")))
 
 
-def _sets(docs: DataFrame, wanted: Broadcast, n: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: Broadcast, known: Broadcast, n: int, percent: int) -> DataFrame:
     """node and set of the documents whose id's hash is in a bit table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +201,9 @@ def _sets(docs: DataFrame, wanted: Broadcast, n: int) -> DataFrame:
                 ends = np.cumsum(sizes)
                 some = np.flatnonzero(sizes)
                 sets = [values[ends[i] - sizes[i] : ends[i]].tobytes() for i in some]
-                yield pa.RecordBatch.from_arrays([pa.array(fingerprints(values, sizes)[some].view(np.int64)), binary_of(sets)], names=["node", "set"])
+                found, owner = signatures(values, sizes, percent)
+                node = node_ids(values, sizes, found, owner, passing(known.value, found))
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), binary_of(sets)], names=["node", "set"])
 
     return docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(run, "node long, set binary")
 
@@ -243,28 +250,24 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     if not 50 <= percent <= 100:
         raise ValueError("the similarity is to be 50 to 100 percent")
     docs = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    rows = _nodes(docs, n, percent)
-    known = rows.where("id is not null and node is not null")
-    nodes = stored(known.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts")), "nodes")
-    held = known.select("node", F.explode("signatures").alias("h"))
+    rows, known = _nodes(docs, n, percent)
+    sets = rows.where("id is not null and node is not null")
+    nodes = stored(sets.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    held = sets.select("node", F.explode("signatures").alias("h"))
     hubs = stored(held.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("h", "hub"), "hubs")
     star = stored(held.join(hubs, "h").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "star-pairs")
-
-    def described(pairs: DataFrame) -> DataFrame:
-        for x in "ab":
-            pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}")), x)
-        return pairs
-
-    star = stored(_possible(described(star), percent), "possible-pairs")
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"c{x}")) for x in "ab")
+    star = star.join(a, "a").join(b, "b").where(_possible(percent)).select("a", "b")
+    star = stored(star, "possible-pairs")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = bit_table(nodes.join(ends, "node", "left_semi").select(F.xxhash64("id").alias("h")))
-        return stored(_sets(docs, wanted, n), "candidate-sets")
+        return stored(_sets(docs, wanted, known, n, percent), "candidate-sets")
 
-    sets = sets_of(star)
+    held_sets = sets_of(star)
     first = stored(star.groupBy("a").agg(F.min("b").alias("b")), "first-pairs")
-    edges = stored(_linked(first, sets, percent), "links")
+    edges = stored(_linked(first, held_sets, percent), "links")
     labels = components(edges)
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -275,18 +278,17 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
 
     rest = stored(apart(star.join(first, ["a", "b"], "left_anti"), labels), "other-pairs")
     if not rest.isEmpty():
-        edges = edges.union(stored(_linked(rest, sets, percent), "links"))
+        edges = edges.union(stored(_linked(rest, held_sets, percent), "links"))
         labels = components(edges)
     # whoever shares a signature with a node that isn't connected with it
     label = held.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
     label = stored(label.join(hubs.select("h"), "h", "left_semi"), "signature-labels")
     mixed = label.groupBy("h").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("h")
     mixed = stored(mixed, "mixed-signatures")
-    open_ = label.join(mixed, "h", "left_semi").distinct().join(nodes.select("node", "n"), "node")
-    left, right = (open_.select("h", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"s{x}")) for x in "ab")
-    near = (F.col("la") != F.col("lb")) & (F.col("a") > F.col("b")) & (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
-    cross = left.join(right, "h").where(near).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    cross = stored(_possible(described(cross), percent), "cross-pairs")
+    open_ = stored(label.join(mixed, "h", "left_semi").distinct().join(nodes, "node").select("h", "node", "label", "n", "sketch"), "open-signatures")
+    left, right = (open_.select("h", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"c{x}")) for x in "ab")
+    cross = left.alias("l").join(right.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & _possible(percent))
+    cross = stored(cross.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "cross-pairs")
     if not cross.isEmpty():
         edges = edges.union(stored(_linked(cross, sets_of(cross), percent), "links"))
         labels = components(edges)

@@ -296,6 +296,6 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
 def unpacked(ids_le: str = "ids_le"):
     """A column of packed ids as array<int>, by SQL functions alone."""
     text = F.hex(ids_le)
-    at = F.sequence(F.lit(0), F.octet_length(ids_le) / 4 - 1)
+    at = F.sequence(F.lit(0), F.shiftright(F.octet_length(ids_le), 2) - 1)
     one = lambda k: F.conv(F.concat(*[F.substring(text, (k * 8 + b).cast("int"), F.lit(2)) for b in (7, 5, 3, 1)]), 16, 10).cast("int")
-    return F.when(F.octet_length(ids_le) >= 4, F.transform(at.cast("array<int>"), one)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.octet_length(ids_le) >= 4, F.transform(at, one)).otherwise(F.array().cast("array<int>"))

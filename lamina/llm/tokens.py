@@ -8,6 +8,8 @@ a hot join key; all others join by a shuffle.
 
 from __future__ import annotations
 
+import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,9 +25,17 @@ MEMORY = 1 << 18
 HOT = 1 << 17
 
 
+#: A normalizer and splitter (fixed values) whose work on ASCII and precomposed Latin-1 letters a plain
+#: regular expression does as well; all other texts and tokenizers go through the library.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+
+
 class PreTokens:
-    """A tokenizer's pre-tokens. ASCII white space never lies inside one, so texts are cut there
-    first, and each distinct chunk goes through the library's own normalizer and splitter once."""
+    """A tokenizer's pre-tokens, as they are after normalization. ASCII white space never lies inside
+    one, so texts are cut there first, and each distinct chunk is split once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -35,21 +45,25 @@ class PreTokens:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split_special = lru_cache(1)(self._pattern)
+        spec = json.loads(self.tokenizer.to_str())
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self._simple = spec["normalizer"] == _NORMALIZER and split[0].get("pattern") == {"Regex": _SPLIT} and split[0].get("invert") is True
         self._known: dict[bytes, tuple[tuple[str, ...], int]] = {}
         if self.tokenizer.normalizer and any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("added tokens are to be taken from the text as it is")
         for text in ("a b", "a \t\n\r\x0b\x0c b"):
-            if [p for p, _ in self._split(text)] != [p for c in text.split() for p, _ in self._split(c)]:
+            if self._split(text) != [p for c in text.split() for p in self._split(c)]:
                 raise ValueError("the tokenizer keeps white space")
 
     def _pattern(self):
-        import re
-
         return re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
-    def _split(self, text: str):
+    def _split(self, text: str) -> list[str]:
+        if self._simple and _SIMPLE(text):
+            return _PARTS(text.lower())
         t = self.tokenizer
-        return t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text) if t.normalizer else text)
+        text = t.normalizer.normalize_str(text) if t.normalizer else text
+        return [text[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(text)]
 
     def chunk(self, raw: bytes) -> tuple[tuple[str, ...], int]:
         """Pre-tokens of a text without ASCII white space, and the number of special tokens in it."""
@@ -60,7 +74,7 @@ class PreTokens:
             if any(s in text for s in self.special):
                 parts = self.split_special().split(text)
                 special = len(parts) - 1
-            known = tuple(p for part in parts if part for p, _ in self._split(part)), special
+            known = tuple(p for part in parts if part for p in self._split(part)), special
             if len(raw) < 64:
                 if len(self._known) >= MEMORY:
                     self._known.clear()
@@ -68,7 +82,7 @@ class PreTokens:
         return known
 
     def pieces(self, pre_token: str) -> int:
-        return len(self.tokenizer.model.tokenize(pre_token))
+        return sum(len(self.tokenizer.model.tokenize(p)) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(pre_token))
 
 
 @lru_cache(maxsize=2)
