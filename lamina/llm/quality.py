@@ -20,6 +20,8 @@ from lamina.llm.common import slices, utf8
 
 #: Labelled documents that a fit reads at most; which ones, a hash of the id says.
 SAMPLE = 4000
+#: Lines, with those that fill up shorter texts, of the texts that are taken together.
+CELLS = 1 << 15
 
 _KINDS = 8  # of bytes
 _KIND = np.full(256, 7, np.uint8)  # 7: part of a character outside ASCII
@@ -95,8 +97,12 @@ def marginals(node: np.ndarray, counts: np.ndarray, edge: np.ndarray) -> tuple[n
     good, pair = np.empty(len(node)), np.zeros((len(node), 2, 2))
     starts = np.cumsum(counts) - counts
     order = np.argsort(counts, kind="stable")
-    for lo in range(0, len(order), 256):
-        docs = order[lo : lo + 256]
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * counts[order[hi]] <= CELLS:
+            hi += 1
+        docs, lo = order[lo:hi], hi
         longest = int(counts[docs].max())
         at = starts[docs][:, None] + np.arange(longest)
         there = np.arange(longest) < counts[docs][:, None]
@@ -146,7 +152,7 @@ class QualityModel:
 
     def documents(self, good: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
         a, b = self.curve
-        return 1 / (1 + np.exp(-np.clip(a * self.mixed(good, lengths, counts) + b, -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(a * self.mixed(good, lengths, counts) + b, -30, 30))), 12)
 
 
 def fit(own: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> QualityModel:

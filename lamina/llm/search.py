@@ -1,7 +1,7 @@
 """Exact top-k inner products by ball trees.
 
-Rows are dealt to shards of a bounded size; each shard's tree is searched by branch and bound, nodes
-in the order of their upper bound |q| * radius + q . centre. A first round searches one shard for
+Rows are dealt to shards and queries to blocks, both of a bounded size; for each block a shard's tree
+is searched by branch and bound, nodes in the order of their upper bound |q| * radius + q . centre. A first round searches one shard for
 each query and so finds a kth score that every other shard starts with; within a shard the kth score
 so far is shared by all nodes. What is at least as good as the kth is kept, and a window merges the
 shards' lists.
@@ -22,7 +22,7 @@ from lamina.llm.common import stored
 LEAF = 128
 #: Rows of a shard and queries of a block: both bound what a task holds, at any size of the table.
 SHARD_ROWS = 8192
-BLOCK_ROWS = 512
+BLOCK_ROWS = 4096
 #: Below this all products and sums are whole numbers that float64 holds exactly.
 EXACT = float(1 << 53)
 
@@ -104,13 +104,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         raise ValueError("k is to be 1 or more")
     spark = vectors.sparkSession
     vectors = stored(vectors.select("id", "v", F.size("v").alias("dim")), "vectors")
-    queries = queries.select("id", "v", F.size("v").alias("dim"))
+    queries = stored(queries.select("id", "v", F.size("v").alias("dim")), "queries")
     shards = {r["dim"]: max(1, -(-r["n"] // SHARD_ROWS)) for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).toLocalIterator()}
+    blocks = {r["dim"]: -(-r["n"] // BLOCK_ROWS) for r in queries.groupBy("dim").agg(F.count("*").alias("n")).toLocalIterator()}
     schema = "dim int, shard int, query_id long, vec_id long, score long"
-    if not shards:
+    if not shards.keys() & blocks.keys():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    counts = F.create_map(*[F.lit(x) for pair in shards.items() for x in pair])
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), counts[F.col("dim")]).cast("int"))
+    counts, parts = (F.create_map(*[F.lit(x) for pair in n.items() for x in pair]) for n in (shards, blocks))
+    block = F.pmod(F.xxhash64("id", F.lit(1)), parts[F.col("dim")]).cast("int")
+    dealt = vectors.where(F.col("dim").isin(list(blocks))).withColumn("shard", F.pmod(F.xxhash64("id"), counts[F.col("dim")]).cast("int"))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), parts[F.col("dim")] - 1)))
 
     def search(key, rows: Iterator[pd.DataFrame] | pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -125,13 +128,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return pd.DataFrame(out, columns=["dim", "shard", "query_id", "vec_id", "score"])
 
     def searched(asked: DataFrame) -> DataFrame:
-        return dealt.groupBy("dim", "shard").cogroup(asked.groupBy("dim", "shard")).applyInPandas(search, schema)
+        return dealt.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(search, schema)
 
-    queries = queries.where(F.col("dim").isin(list(shards))).withColumn("home", F.pmod(F.xxhash64("id"), counts[F.col("dim")]).cast("int"))
-    first = stored(searched(queries.select("id", "v", "dim", F.col("home").alias("shard"), F.lit(None).cast("double").alias("least"))), "first-shard")
+    queries = queries.where(F.col("dim").isin(list(shards))).withColumns({"home": F.pmod(F.xxhash64("id"), counts[F.col("dim")]).cast("int"), "block": block})
+    first = stored(searched(queries.select("id", "v", "dim", F.col("home").alias("shard"), "block", F.lit(None).cast("double").alias("least"))), "first-shard")
     least = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")).where(F.col("n") >= k)
     asked = queries.join(least, queries["id"] == least["query_id"], "left").withColumn("shard", F.explode(F.sequence(F.lit(0), counts[F.col("dim")] - 1))).where("shard != home")
-    rest = searched(asked.select("id", "v", "dim", "shard", "least"))
+    rest = searched(asked.select("id", "v", "dim", "shard", "block", "least"))
     # a shard's list has k rows at most, so a query's group has k times the number of shards
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return first.unionByName(rest).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -298,6 +298,7 @@ def test_languages(spark):
 @pytest.mark.parametrize("scale", [5, 1 << 20, 1 << 25])
 def test_top_k_against_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(search, "SHARD_ROWS", 300)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 7)
     r = np.random.default_rng(scale)
     vectors = (r.integers(-scale, scale, (900, 6)) / 256).round(8).tolist()
     vectors[1:200] = [vectors[0]] * 199  # ties
