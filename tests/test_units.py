@@ -140,7 +140,7 @@ def test_collected_answers(spark):
 
 
 def test_kendall_of_known_values(spark):
-    rows = [("g", x, y) for x, y in [(1, 1), (2, 3), (2, 2), (4, 5), (5, 4), (5, 4), (None, 1)]] + [("flat", 1, 1), ("flat", 1, 2)]
+    rows = [("g", x, y) for x, y in [(1.0, 1.0), (2.0, 3.0), (2.0, 2.0), (4.0, 5.0), (5.0, 4.0), (5.0, 4.0), (None, 1.0)]] + [("flat", 1.0, 1.0), ("flat", 1.0, 2.0)]
     got = {r["g"]: r["kendall"] for r in metrics.kendall(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
     pairs = [(a, b) for i, a in enumerate(rows[:6]) for b in rows[:i]]
     sign = lambda v: (v > 0) - (v < 0)
