@@ -35,21 +35,24 @@ def foreign_parents(items: DataFrame, id_col: str = "candidate_id", parent_col:
     return items.join(up, F.col(parent_col) == F.col("__up")).where(F.col("__base") != F.col(base_col)).select(*items.columns)
 
 
-def depths(items: DataFrame, id_col: str = "candidate_id", parent_col: str = "parent_candidate_id", most: int = 64) -> DataFrame:
+def depths(items: DataFrame, id_col: str = "candidate_id", parent_col: str = "parent_candidate_id") -> DataFrame:
     """id, root and depth of every row that a root (a row without parent) reaches.
 
-    Pointers double at each step, so a chain of n layers takes log2(n) joins. Cycles are never reached
-    and so are left out; `most` bounds the steps.
+    Pointers double at each step, so a chain of n layers takes log2(n) joins. While a root reaches any open
+    row, some row within twice the distance so far reaches it in the next step; so the first step in which
+    none does is the last. Cycles are never reached and so are left out.
     """
-    at = written(items.select(F.col(id_col).alias("id"), F.coalesce(parent_col, id_col).alias("up"), F.when(F.col(parent_col).isNull(), 0).otherwise(1).alias("depth")), "lineage")
-    for _ in range(most.bit_length() + 1):
-        up = at.select(F.col("id").alias("mid"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        new = written(at.join(up, at["up"] == up["mid"]).select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("next") != F.col("up")).alias("moved")), "lineage")
-        if new.where("moved").isEmpty():
+    rows = items.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"), F.when(F.col(parent_col).isNull(), F.col(id_col)).alias("root"), F.when(F.col(parent_col).isNull(), 0).otherwise(1).alias("depth"))
+    new = written(rows, "lineage")
+    done, waiting = new.where("up is null"), new.where("up is not null")
+    while not waiting.isEmpty():
+        at = done.unionByName(waiting).select(F.col("id").alias("mid"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"))
+        new = written(waiting.join(at, F.col("up") == F.col("mid")).select("id", F.col("next").alias("up"), F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth")), "lineage")
+        reached, waiting = new.where("up is null"), new.where("up is not null")
+        if reached.isEmpty():
             break
-        at = new.drop("moved")
-    roots = items.where(F.col(parent_col).isNull()).select(F.col(id_col).alias("up"))
-    return new.join(roots, "up", "left_semi").select("id", F.col("up").alias("root"), "depth")
+        done = done.unionByName(reached)
+    return done.select("id", "root", "depth")
 
 
 def coded(df: DataFrame, rules: dict[str, Column], name: str = "violations") -> DataFrame:

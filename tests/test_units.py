@@ -80,6 +80,15 @@ def test_lineage(spark):
     lineage.enforce(df.limit(0), "nothing")
 
 
+def test_depths_of_long_chains_and_cycles(spark):
+    rows = [(f"a{i}", f"a{i - 1}" if i else None) for i in range(700)] + [(f"x{i}", f"x{(i + 1) % 3}") for i in range(3)] + [("y", "x0"), ("z", "z"), ("o", "gone")]
+    rows += [("r", None), ("r", None), ("s", "r"), ("t", "s")]  # a repeated root: two paths to each row below
+    df = spark.createDataFrame(rows, "candidate_id string, parent_candidate_id string")
+    out = sorted((r["id"], r["root"], r["depth"]) for r in lineage.depths(df).collect())
+    assert out == sorted([(f"a{i}", "a0", i) for i in range(700)] + [("r", "r", 0), ("s", "r", 1), ("t", "r", 2)] * 2)
+    assert lineage.depths(df.where("parent_candidate_id is not null")).collect() == [] == lineage.depths(df.limit(0)).collect()
+
+
 def test_quotas():
     assert splitting.equal_leftover_quotas({"train": 100, "dev": 10, "test": 10}, 3) == {"train": 1, "dev": 1, "test": 1}
     counts = {"train": 50, "dev": 20, "test": 20}
