@@ -7,10 +7,14 @@ original), run_id, parent_candidate_id and any others.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.draws import order_key, weighted_clock
+from lamina.functions.ordering import numbered, written
 
 CHAIN = ("dataset_name", "base_text_id")
 POLICIES = ("all", "source_exclusive", "fixed_per_source", "balanced", "weighted")
@@ -91,27 +95,115 @@ def unequal_pairs(items: DataFrame) -> DataFrame:
     return left.join(right, list(CHAIN)).where("left_label < right_label")
 
 
-def cross_source_pairs(items: DataFrame, reuse: int = 1, seed: int = 42, reach: int = 3) -> DataFrame:
+#: Columns by which items are matched across sources, and items of a dataset that one task may finish.
+_MATCHED = ["dataset_name", "base_text_id", "label", "candidate_id"]
+FEW = 256
+
+
+def _pairs_of(pairs: DataFrame) -> DataFrame:
+    """Of rows with two items a and b those that fit: one dataset, different sources and labels, not paired before."""
+    fits = "a.dataset_name = b.dataset_name and a.base_text_id != b.base_text_id and a.label != b.label and not array_contains(a.met, b.candidate_id)"
+    return pairs.where(fits).select(F.col("a.candidate_id").alias("left_candidate_id"), F.col("b.candidate_id").alias("right_candidate_id"))
+
+
+def _less(waiting: DataFrame, pairs: DataFrame, reuse: int) -> DataFrame:
+    """The items that may be in more pairs."""
+    l, r = "left_candidate_id", "right_candidate_id"
+    used = pairs.select(F.col(l).alias("candidate_id"), F.col(r).alias("__with")).unionByName(pairs.select(F.col(r).alias("candidate_id"), F.col(l).alias("__with")))
+    met = F.when(F.col("__with").isNull(), F.col("met")).otherwise(F.array_append("met", F.col("__with")))
+    return waiting.join(used, "candidate_id", "left").select(*_MATCHED, met.alias("met")).where(F.size("met") < reuse)
+
+
+def _neighbours(waiting: DataFrame, *draw) -> DataFrame:
+    """Pairs of the items at places 2k and 2k + 1 of a hash order."""
+    rows = numbered(waiting.withColumn("__draw", order_key(*draw, F.col("candidate_id"))), F.col("dataset_name"), F.col("__draw"), F.col("candidate_id"), name="__at")
+    item = F.struct(*_MATCHED, "met")
+    return _pairs_of(rows.groupBy(F.expr("__at div 2").alias("__k")).agg(F.min_by(item, "__at").alias("a"), F.max_by(item, "__at").alias("b")))
+
+
+def _by_counts(waiting: DataFrame, shift: int, *draw) -> tuple[DataFrame, DataFrame]:
+    """Pairs between classes in which every item fits every item, and the items that still have any to fit.
+
+    The classes are those of a dataset's most frequent source and label: 3 has both, 2 the source, 1 the
+    label and 0 neither. 3 meets 0 and 2 meets 1 in hash order, one side moved on by `shift`, so either
+    class ends up empty (unless they met before). An item of 3 fits those of 0 alone, and without 0 and
+    one of 1 and 2 nothing is left that fits.
+    """
+    of = lambda c: F.broadcast(waiting.groupBy("dataset_name", c).agg(F.count("*").alias("n")).groupBy("dataset_name").agg(F.max_by(c, F.struct("n", c)).alias(f"__{c}")))
+    has = lambda c, n: F.when(F.col(c) == F.col(f"__{c}"), n).otherwise(0)
+    rows = waiting.join(of("base_text_id"), "dataset_name").join(of("label"), "dataset_name").withColumn("__class", has("base_text_id", 2) + has("label", 1))
+    rows = rows.select(*waiting.columns, "__class", order_key(*draw, F.col("candidate_id")).alias("__draw"))
+    rows = written(numbered(rows, F.col("dataset_name"), F.col("__class"), F.col("__draw"), F.col("candidate_id"), name="__at"), "classes")
+    begins = [F.min(F.when(F.col("__class") == k, F.col("__at"))).alias(f"__b{k}") for k in range(4)]
+    sizes = [F.count_if(F.col("__class") == k).alias(f"__n{k}") for k in range(4)]
+    rows = rows.join(F.broadcast(rows.groupBy("dataset_name").agg(*begins, *sizes)), "dataset_name")
+    begin = F.coalesce(*[F.when(F.col("__class") == k, F.col(f"__b{k}")) for k in range(4)])
+    outer = F.col("__class").isin(0, 3)
+    most = F.when(outer, F.greatest("__n0", "__n3")).otherwise(F.greatest("__n1", "__n2"))
+    place = F.pmod(F.col("__at") - begin + F.when(F.col("__class") < 2, shift).otherwise(0), most)
+    item = F.struct(*_MATCHED, "met")
+    pairs = rows.groupBy("dataset_name", outer.alias("__outer"), place.alias("__k")).agg(F.min_by(item, "__class").alias("a"), F.max_by(item, "__class").alias("b"))
+    lone = "__n0 = 0 and (__class = 3 or __class = 2 and __n1 = 0 or __class = 1 and __n2 = 0)"
+    return _pairs_of(pairs), rows.where(f"not ({lone})").select(*waiting.columns)
+
+
+def _finished(waiting: DataFrame, reuse: int, seed: int) -> DataFrame:
+    """All pairs of datasets with few items: one item after another meets those after it."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        items = [(r["base_text_id"], r["label"], r["candidate_id"], set(r["met"])) for r in rows.sort_by([("__draw", "ascending"), ("candidate_id", "ascending")]).to_pylist()]
+        out = []
+        for k, (base, label, name, met) in enumerate(items):
+            for other in items[k + 1 :]:
+                if len(met) >= reuse:
+                    break
+                if other[0] != base and other[1] != label and len(other[3]) < reuse and other[2] not in met:
+                    out.append((name, other[2]))
+                    met.add(other[2])
+                    other[3].add(name)
+        return pa.table({f"{side}_candidate_id": pa.array([p[k] for p in out], rows.schema.field("candidate_id").type) for k, side in enumerate(("left", "right"))})
+
+    kind = waiting.schema["candidate_id"].dataType.simpleString()
+    return waiting.withColumn("__draw", order_key(seed, "few", F.col("candidate_id"))).groupBy("dataset_name").applyInArrow(run, f"left_candidate_id {kind}, right_candidate_id {kind}")
+
+
+def cross_source_pairs(items: DataFrame, reuse: int = 1, seed: int = 42) -> DataFrame:
     """Pairs of items of different sources and labels of a dataset, each item in `reuse` pairs at most.
 
-    Items stand in hash order in blocks of about 4,096; an item may meet those `reach` places on at most.
-    Of what may be paired the first by hash stays at either end. Not a maximum matching.
+    No two items that could still be a pair are left over. Not a maximum matching. Rounds pair neighbours
+    in a new hash order each; where these fit too seldom, a round pairs by counts of source and label
+    (`_by_counts`), and datasets of few items left are finished in one task each. Rows that share a
+    candidate_id are one item, the least of them; rows without source, label or id have no pairs.
     """
-    blocks = max(1, items.count() // 4096)
-    block = F.pmod(F.xxhash64("candidate_id", F.lit(seed)), F.lit(blocks))
-    one = items.select(*CHAIN, *_FIELDS).withColumn("__draw", order_key(seed, "cross", F.col("candidate_id"))).withColumn("__block", block)
-    place = Window.partitionBy("dataset_name", "__block").orderBy("__draw", "candidate_id")
-    one = one.withColumn("__at", F.row_number().over(place))
-    left = one.select("dataset_name", "__block", "__at", F.col("base_text_id").alias("left_base"), *[F.col(c).alias(f"left_{c}") for c in _FIELDS])
-    right = one.select("dataset_name", "__block", F.explode(F.sequence(F.col("__at") - reach, F.col("__at") - 1)).alias("__at"), F.col("base_text_id").alias("right_base"), *[F.col(c).alias(f"right_{c}") for c in _FIELDS])
-    pairs = left.join(right, ["dataset_name", "__block", "__at"]).where("left_base != right_base and left_label != right_label")
-    pairs = pairs.withColumn("__pair", order_key(seed, "pair", F.col("left_candidate_id"), F.col("right_candidate_id")))
-    ends = Window.partitionBy("left_candidate_id").orderBy("__pair"), Window.partitionBy("right_candidate_id").orderBy("__pair")
-    # an item's uses as left and as right end count together
-    pairs = pairs.withColumn("__l", F.row_number().over(ends[0])).where(F.col("__l") <= reuse).withColumn("__r", F.row_number().over(ends[1])).where(F.col("__r") <= reuse)
-    uses = pairs.select(F.col("left_candidate_id").alias("c"), "__pair").union(pairs.select("right_candidate_id", "__pair"))
-    over = uses.withColumn("__k", F.row_number().over(Window.partitionBy("c").orderBy("__pair"))).where(F.col("__k") > reuse).select("__pair").distinct()
-    return pairs.join(over, "__pair", "left_anti").drop("__pair", "__l", "__r", "__block", "__at")
+    if reuse < 1:
+        raise ValueError("reuse is to be 1 or more")
+    whole = items.where(" and ".join(f"{c} is not null" for c in _MATCHED))
+    fields = [c for c in _FIELDS if c not in _MATCHED]
+    one = lambda *more: whole.groupBy("candidate_id").agg(F.min(F.struct("dataset_name", "base_text_id", "label", *more)).alias("i")).select("candidate_id", "i.*")
+    kind = whole.schema["candidate_id"].dataType.simpleString()
+    waiting = written(one().select(*_MATCHED, F.array().cast(f"array<{kind}>").alias("met")), "unpaired")
+    few, found, step, counted = max(FEW, 4 * reuse), [], 0, 0
+    by_counts = False
+    while True:
+        many = waiting.groupBy("dataset_name").agg(F.count("*").alias("n")).where(F.col("n") > few).select("dataset_name")
+        found.append(written(_finished(waiting.join(F.broadcast(many), "dataset_name", "left_anti"), reuse, seed), "pairs"))
+        waiting = waiting.join(F.broadcast(many), "dataset_name", "left_semi")
+        if not (n := waiting.count()):
+            break
+        if by_counts:
+            pairs, waiting = _by_counts(waiting, counted % reuse, seed, "cross", step)
+            counted += 1
+        else:
+            pairs = _neighbours(waiting, seed, "cross", step)
+        pairs = written(pairs, "pairs")
+        found.append(pairs)
+        by_counts = not by_counts and 8 * pairs.count() < n
+        waiting = written(_less(waiting, pairs, reuse), "unpaired")
+        step += 1
+    out = reduce(DataFrame.unionByName, found)
+    side = lambda s: one(*fields).select(F.col("dataset_name"), *[F.col(c).alias(f"{s}_{c}") for c in _FIELDS], F.col("base_text_id").alias(f"{s}_base"))
+    out = out.join(side("left"), "left_candidate_id").join(side("right").drop("dataset_name"), "right_candidate_id")
+    return out.select("dataset_name", *[f"{s}_{c}" for s in ("left", "right") for c in ("base", *_FIELDS)])
 
 
 def pairwise_rows(pairs: DataFrame) -> DataFrame:

@@ -119,6 +119,25 @@ def test_cross_source_pairs_respect_reuse(spark):
     assert all(r["left_base"] != r["right_base"] and r["left_label"] != r["right_label"] for r in pairs)
 
 
+@pytest.mark.parametrize("reuse", [1, 3])
+@pytest.mark.parametrize("few", [0, 256])
+def test_cross_source_pairs_leave_none_that_fit(spark, monkeypatch, reuse, few):
+    monkeypatch.setattr(composing, "FEW", few)
+    rows = [("d", str(i % 30), f"c{i}", "t", i % 3, "m", None) for i in range(300)]
+    # a source and a label that most items have, and a pair of which only few items fit each other
+    rows += [("hot", "0", f"h{i}", "t", 0, "m", None) for i in range(400)] + [("hot", "0", f"s{i}", "t", 1 + i, "m", None) for i in range(9)] + [("hot", f"b{i}", f"l{i}", "t", 0, "m", None) for i in range(7)]
+    rows += [("one", "x", f"o{i}", "t", i, "m", None) for i in range(300)] + [("d", None, "n0", "t", 1, "m", None), ("d", "1", "n1", "t", None, "m", None)]
+    items = spark.createDataFrame(rows + rows[:5], "dataset_name string, base_text_id string, candidate_id string, text string, label int, method string, parent_candidate_id string")
+    pairs = composing.cross_source_pairs(items, reuse=reuse).collect()
+    by_id = {r[2]: r for r in rows}
+    fit = lambda a, b: a[0] == b[0] and None not in (a[1], b[1], a[4], b[4]) and a[1] != b[1] and a[4] != b[4]
+    made = {frozenset((r["left_candidate_id"], r["right_candidate_id"])) for r in pairs}
+    uses = {i: sum(i in p for p in made) for i in by_id}
+    assert len(made) == len(pairs) and max(uses.values()) <= reuse and all(fit(*(by_id[i] for i in p)) for p in made)
+    left = [r for r in by_id.values() if uses[r[2]] < reuse]
+    assert not [(a, b) for a in left for b in left if fit(a, b) and frozenset((a[2], b[2])) not in made]
+
+
 def test_failures_stand_alone_and_are_retried(spark, tmp_path):
     df = spark.range(100).withColumn("x", F.col("id") * 2.0)
 
