@@ -1,27 +1,30 @@
 """Licence scans: which licence notices a text holds, where, and how much of each.
 
-Templates are winnowed: of every WINDOW neighbouring K-word hashes the smallest is kept. The inverted
-index from these fingerprints to templates and places picks candidates among a document's K-word
-hashes; each candidate place is aligned word by word within a band around its diagonal, and reported
-with the share of the template's words that match and the characters from its first to its last one.
+A text that has enough of a template lacks at most a known number of its words; so of one more than that
+one at least is there. These fingerprints are the template's words that are likely to be rare. The
+inverted index from them to templates and places picks candidates among a document's words; those with
+enough of the template's words near them are aligned word by word within a band around each diagonal that
+a fingerprint's match can be in the band of, and reported with the share of the template's words that
+match and the characters from its first to its last one. So nothing is missed that alignment at all
+places would find.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm import windows
 from lamina.llm.common import slices
 
-K = 3
-WINDOW = 3
+#: Words of a template at least.
+SHORTEST = 3
+#: Words that are frequent in any text: fingerprints only if a template has too few others.
+FREQUENT = frozenset("a an and any are as at be by can for from has have if in into is it its may no nor not of on or other that the their this to under use was which with without you your".split())
 #: Words by which an alignment may leave its diagonal, besides a tenth of the template's.
 BAND = 4
 #: The index goes to all tasks, so templates are a bounded list.
@@ -61,53 +64,50 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _runs(words: list[str]) -> np.ndarray:
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return windows.run_hashes(hashes, K)
-
-
-def winnowed(runs: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Places of the fingerprints: each window's smallest hash, the last of equals."""
-    n = len(runs)
-    if not n:
-        return []
-    return sorted({max(range(at, min(at + window, n)), key=lambda i: (-int(runs[i]), i)) for at in range(max(1, n - window + 1))})
-
-
 class Index:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float = 0.8):
         if len(templates) > MOST_TEMPLATES:
             raise ValueError(f"at most {MOST_TEMPLATES} templates")
         self.names = sorted(templates)
         self.words = [_words(templates[n]) for n in self.names]
-        if short := [n for n, w in zip(self.names, self.words, strict=True) if len(w) < K]:
-            raise ValueError(f"templates of fewer than {K} words: {short}")
-        self.postings: dict[int, list[tuple[int, int]]] = {}
+        if short := [n for n, w in zip(self.names, self.words, strict=True) if len(w) < SHORTEST]:
+            raise ValueError(f"templates of fewer than {SHORTEST} words: {short}")
+        self.counts = [Counter(w) for w in self.words]
+        self.need = [max(1, next((m for m in range(len(w)) if m >= least * len(w)), len(w))) for w in self.words]
+        spread = Counter(w for c in self.counts for w in c)
+        self.postings: dict[str, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
-            runs = _runs(words)
-            for at in winnowed(runs):
-                self.postings.setdefault(int(runs[at]), []).append((t, at))
-        self.hashes = np.sort(np.array(list(self.postings), np.uint64))
-
-    def places(self, words: list[str]) -> dict[tuple[int, int], None]:
-        """Candidates: (template, word at which it would begin), those in reach of one another's band once."""
-        runs = _runs(words)
-        if not len(runs):
-            return {}
-        near = np.minimum(np.searchsorted(self.hashes, runs), len(self.hashes) - 1)
-        found: dict[int, list[int]] = {}
-        for at in np.flatnonzero(self.hashes[near] == runs).tolist():
-            for t, place in self.postings[int(runs[at])]:
-                found.setdefault(t, []).append(at - place)
-        out = {}
-        for t, begins in found.items():
-            last = None
-            for begin in sorted(begins):
-                if last is None or begin - last > self.band(t):
-                    out[t, begin] = None
-                    last = begin
+            rare = sorted(range(len(words)), key=lambda i: (words[i] in FREQUENT or len(words[i]) == 1, self.counts[t][words[i]], spread[words[i]], -len(words[i]), i))
+            for at in rare[: len(words) - self.need[t] + 1]:
+                self.postings.setdefault(words[at], []).append((t, at))
+
+    def places(self, words: list[str]) -> list[tuple[int, int]]:
+        """Candidates: (template, word at which it would begin); all others have too few matches, or
+        overlap an unchanged copy."""
+        found: dict[int, set[int]] = {}
+        for at, word in enumerate(words):
+            if word in self.postings:
+                for t, place in self.postings[word]:
+                    found.setdefault(t, set()).add(at - place)
+        out = []
+        for t, diagonals in found.items():
+            n, band = len(self.words[t]), self.band(t)
+            near = [d for d in sorted(diagonals) if self.enough(t, words, d - 2 * band, d + n + 2 * band)]
+            copies = [d for d in near if self.same(t, words, d)]
+            alone = {d for k, d in enumerate(copies) if (not k or d - copies[k - 1] >= n) and (k + 1 == len(copies) or copies[k + 1] - d >= n)}
+            begins = {b for d in near if d not in alone for b in range(d - band, d + band + 1)}
+            out += [(t, b) for b in sorted(begins | alone) if self.enough(t, words, b - band, b + n + band)]
         return out
 
+    def enough(self, t: int, words: list[str], start: int, stop: int) -> bool:
+        """Whether these words hold as many of the template's, in any order, as it needs."""
+        counts, need = self.counts[t], self.need[t]
+        there = list(filter(counts.__contains__, words[max(start, 0) : max(stop, 0)]))
+        return len(there) >= need and sum(min(n, counts[w]) for w, n in Counter(there).items()) >= need
+
+    def same(self, t: int, words: list[str], begin: int) -> bool:
+        return begin >= 0 and words[begin : begin + len(self.words[t])] == self.words[t]
+
     def band(self, t: int) -> int:
         return BAND + len(self.words[t]) // 10
 
@@ -115,6 +115,8 @@ class Index:
         """Matched words of the template, first and last matched word of the text: the alignment with
         most matches (then the shortest) within the band around the diagonal from `begin`."""
         template, band = self.words[t], self.band(t)
+        if self.same(t, words, begin):
+            return len(template), begin, begin + len(template) - 1
         width = 2 * band + 1
         none = (0, 0, -1, -1)
         # a cell: matches, -gaps, first and last matched word; column c of row i is the text's word begin + i + c - band
@@ -139,55 +141,58 @@ class Index:
         return best[0], best[2], best[3]
 
 
+def spans_of(text: str, index: Index, places: Iterable[tuple[int, int]] | None = None) -> list[tuple[str, float, int, int, int]]:
+    """Template, coverage, n_matched, start and stop of each hit, aligned at the index's places or those given."""
+    words = _words(text)
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for t, begin in index.places(words) if places is None else places:
+        matched, first, last = index.align(t, words, begin)
+        if matched >= index.need[t]:
+            found.setdefault(t, []).append((matched, first, last))
+    if not found:
+        return []
+    spans = [m.span() for m in _WORD.finditer(text.lower())]
+    exact = len(text) == len(text.lower())
+    kept: list[tuple[int, int, int, int]] = []
+    for t, hits in found.items():
+        own: list[tuple[int, int, int]] = []
+        for hit in sorted(hits, key=lambda h: (-h[0], h[2] - h[1], h[1])):
+            if all(hit[2] < k[1] or hit[1] > k[2] for k in own):
+                own.append(hit)
+        kept += [(t, *hit) for hit in own]
+    share = lambda h: h[1] / len(index.words[h[0]])
+    out = []
+    for hit in sorted(kept, key=lambda h: (h[2], h[0])):
+        t, matched, first, last = hit
+        # a notice that differs in a word or two is another licence's
+        if any(first <= k[3] and k[2] <= last and (share(k) > share(hit) and k[1] >= matched or share(k) == share(hit) and k[1] > matched and k[2:] == (first, last)) for k in kept):
+            continue
+        start, stop = spans[first][0], spans[last][1]
+        if not exact:  # lower-casing made the text longer: count back
+            start, stop = _origin(text, start), _origin(text, stop)
+        out.append((index.names[t], share(hit), matched, start, stop))
+    return out
+
+
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Places of licence templates in whole texts.
 
     Returns id_col, template, coverage (share of the template's words that match in order, `least` at
     least), n_matched, start and stop (code points of the text, from the first matched word to after
     the last). A template found at several places gives a row for each; places that overlap give the best
-    one, and a place that another template matches better, and with as many words, is that one's alone.
+    one, and a place that another template matches better, and with as many words, is that one's alone; so
+    is one of which another matches more words from the same first to the same last.
     Null and empty texts have none; repeated rows give repeated results; other columns of
     docs don't matter. No shuffle: the index is of bounded size and goes to all tasks.
     """
-    index = Index(TEMPLATES if templates is None else templates)
+    index = Index(TEMPLATES if templates is None else templates, least)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def scan(text: str) -> list[tuple[str, float, int, int, int]]:
-        words = _words(text)
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for t, begin in index.places(words):
-            matched, first, last = index.align(t, words, begin)
-            if matched >= least * len(index.words[t]):
-                found.setdefault(t, []).append((matched, first, last))
-        if not found:
-            return []
-        spans = [m.span() for m in _WORD.finditer(text.lower())]
-        exact = len(text) == len(text.lower())
-        kept: list[tuple[int, int, int, int]] = []
-        for t, hits in found.items():
-            own: list[tuple[int, int, int]] = []
-            for hit in sorted(hits, key=lambda h: (-h[0], h[2] - h[1], h[1])):
-                if all(hit[2] < k[1] or hit[1] > k[2] for k in own):
-                    own.append(hit)
-            kept += [(t, *hit) for hit in own]
-        share = lambda h: h[1] / len(index.words[h[0]])
-        out = []
-        for hit in sorted(kept, key=lambda h: (h[2], h[0])):
-            t, matched, first, last = hit
-            # a notice that differs in a word or two is another licence's
-            if any(share(k) > share(hit) and k[1] >= matched and first <= k[3] and k[2] <= last for k in kept):
-                continue
-            start, stop = spans[first][0], spans[last][1]
-            if not exact:  # lower-casing made the text longer: count back
-                start, stop = _origin(text, start), _origin(text, stop)
-            out.append((index.names[t], share(hit), matched, start, stop))
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows, out = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                hits = scan(text)
+                hits = spans_of(text, index)
                 rows += [k] * len(hits)
                 out += hits
             columns = list(zip(*out, strict=True)) if out else [()] * 5

@@ -258,6 +258,29 @@ def test_license_spans(spark):
         licenses.Index({"x": "two words"})
 
 
+def test_license_changes_are_found_as_by_alignment_at_all_places(spark):
+    index, r = licenses.Index(licenses.TEMPLATES), random.Random(8)
+    texts = ["released under mit license", "Released xx under yy the zz MIT License", "Released under the MIT License released under the MIT licence"]
+    for t, words in enumerate(index.words):
+        if len(words) > 16:
+            continue
+        most = len(words) - index.need[t]
+        for gone in itertools.combinations(range(len(words)), most):
+            if most < 3 or r.random() < 0.1:
+                texts.append("so " + " ".join("zz" if i in gone else w for i, w in enumerate(words)) + " end")
+                texts.append(" ".join(w for i, w in enumerate(words) if i not in gone))
+        texts.append(" ".join(w if i % 3 else f"{w} zz" for i, w in enumerate(words)))
+    texts = texts[:3] + r.sample(texts[3:], min(90, len(texts) - 3)) + ["Released under MIT License", "Released under the MIT Licence", "Licensed under MIT License"]
+    want = set()
+    for i, text in enumerate(texts):
+        n = len(text.split())
+        every = [(t, b) for t, w in enumerate(index.words) if len(w) <= 16 or i < 3 for b in range(-len(w) - 20, n + 20)]
+        hits = licenses.spans_of(text, index, every)
+        assert hits
+        want |= {(i, *h) for h in hits}
+    assert {tuple(x) for x in licenses.license_spans(docs_of(spark, texts)).collect()} == want
+
+
 def test_alignment_against_longest_common_subsequence():
     r, index = random.Random(6), licenses.Index({"t": "a b c d e f g h i j k l"})
     for _ in range(200):
