@@ -44,11 +44,12 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that a document with a smaller id has; texts that lose all their words go."""
-    found = substrings.remove_repeats(docs, PASSAGE_WORDS).where("n_removed > 0")
-    found = stored(found.select("doc_id", F.decode("cleaned", "UTF-8").alias("cleaned"), (F.col("n_removed") == F.col("n_words")).alias("gone")), "cut-texts")
-    out = docs.join(found, "doc_id", "left").where("gone is null or not gone")
-    text = F.when(F.col("gone").isNotNull(), F.col("cleaned")).otherwise(F.col("text"))
-    return out.withColumns({"text": text, "n_chars": F.when(F.col("gone").isNotNull(), F.length("cleaned").cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)
+    # each row carries its other columns: a join back on the id would mix rows that share one
+    rest = [c for c in docs.columns if c != "text"]
+    found = substrings.remove_repeats(docs.withColumn("__null", F.col("text").isNull()), PASSAGE_WORDS, carry=[*rest, "__null"])
+    cut, text = F.col("n_removed") > 0, F.when(~F.col("row.__null"), F.col("cleaned").cast("string"))
+    out = found.where(~cut | (F.col("n_removed") < F.col("n_words"))).select("row.*", text.alias("text"), cut.alias("__cut"))
+    return out.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

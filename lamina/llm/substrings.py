@@ -13,13 +13,14 @@ anchors that two documents share, the sequences of full length are compared; all
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lamina.llm import windows
 from lamina.llm.common import slices, stored, utf8
@@ -65,8 +66,8 @@ def _anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
-    """Begins of sequences of `length` words that a document with a smaller id has as well: id, start.
-    docs: id and text (binary), ids not null and distinct."""
+    """Begins of sequences of `length` words that a document with a smaller id has as well: id,
+    version, start. docs: id (not null), version (of the texts that share an id) and text (binary)."""
     kind = docs.schema["id"].dataType.simpleString()
     period = cover_of(length)[0]
 
@@ -86,7 +87,7 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     def sequences(known: Broadcast | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                found, at, hashes, text, left = _anchors(batch.column(1).to_pylist(), length)
+                found, at, hashes, text, left = _anchors(batch.column(2).to_pylist(), length)
                 at = at[passing(near.value, found)]
                 begin = np.zeros(len(hashes) + 1, bool)
                 for back in range(period):
@@ -98,13 +99,14 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
                     begin, full = begin[keep], full[keep]
                 if len(begin):
                     start = begin - np.searchsorted(text, text[begin])
-                    yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), batch.column(0).take(pa.array(text[begin])), pa.array(start.astype(np.int32))], names=["h", "id", "start"])
+                    of = pa.array(text[begin])
+                    yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(start.astype(np.int32))], names=["h", "id", "version", "start"])
 
-        return docs.select("id", "text").mapInArrow(run, f"h long, id {kind}, start int")
+        return docs.select("id", "version", "text").mapInArrow(run, f"h long, id {kind}, version long, start int")
 
     first = stored(sequences(None).groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least"), "shared-sequences")
     again = sequences(bit_table(first.select("h")))
-    return again.join(first, "h").where("id > least").select("id", "start")
+    return again.join(first, "h").where("id > least").select("id", "version", "start")
 
 
 def _covered(starts: list[int] | None, n: int, length: int) -> np.ndarray:
@@ -117,22 +119,23 @@ def _covered(starts: list[int] | None, n: int, length: int) -> np.ndarray:
     return np.cumsum(out)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Texts without the words covered by a sequence of `length` words that also starts in a document
     with a smaller id. Sequences are judged on the input, not on what is left.
 
     Returns id_col, n_words, n_removed, kept (the kept words with one space between) and cleaned (the
     text as it was but for the removed words and the white space after each; unchanged if nothing
-    goes), both binary UTF-8. One row for each input row. Null texts have no words and empty results.
-    Ids are to be distinct: rows that share an id count as one document, so they don't remove each
-    other's words, and starts found in one apply to all. Rows without an id keep all words and remove none.
-    Other columns of docs don't matter.
+    goes), both binary UTF-8, and with `carry` a struct `row` of these columns of the input row. One row for
+    each input row. Null texts have no words and empty results. Rows that share an id count as one document,
+    so they don't remove each other's words, but each loses only what its own text repeats. Rows without an
+    id keep all words and remove none. Other columns of docs don't matter.
     """
     import re
 
-    docs = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
-    starts = repeated_starts(docs.where("id is not null"), length).groupBy("id").agg(F.collect_list("start").alias("starts"))
+    row = [F.struct(*carry).alias("row")] if carry else []
+    docs = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), *row).withColumn("version", F.xxhash64("text"))
+    # rows may be repeated: a set of starts is no longer for it
+    starts = repeated_starts(docs.where("id is not null"), length).groupBy("id", "version").agg(F.collect_set("start").alias("starts"))
     starts = stored(starts, "repeated-starts")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +152,8 @@ def remove_repeats(docs: DataFrame, length: int, id_col: str = "doc_id", text_co
                     text = b"".join(m for m, g in zip(word.findall(text), gone.tolist(), strict=True) if not g)
                 kept.append(b" ".join(parts))
                 cleaned.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(cleaned, pa.binary())], names=["id", "n_words", "n_removed", "kept", "cleaned"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(cleaned, pa.binary()), *batch.columns[3:]], names=["id", "n_words", "n_removed", "kept", "cleaned", *batch.schema.names[3:]])
 
-    joined = docs.join(starts, "id", "left").select("id", "text", "starts")
-    return joined.mapInArrow(remove, f"id {kind}, n_words long, n_removed long, kept binary, cleaned binary").withColumnRenamed("id", id_col)
+    joined = docs.join(starts, ["id", "version"], "left").select("id", "text", "starts", *(["row"] if carry else []))
+    out = StructType([joined.schema["id"], *(StructField(n, LongType()) for n in ("n_words", "n_removed")), *(StructField(n, BinaryType()) for n in ("kept", "cleaned")), *joined.schema.fields[3:]])
+    return joined.mapInArrow(remove, out).withColumnRenamed("id", id_col)

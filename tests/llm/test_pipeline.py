@@ -68,3 +68,14 @@ def test_nulls_and_nothing(spark):
             out = stage(spark, docs, SF)
             docs = spark.createDataFrame(out.collect(), out.schema)
         assert {r["doc_id"] for r in docs.collect()} <= {1, 2}
+
+
+def test_rows_that_share_an_id_keep_their_own_texts(spark):
+    words = lambda k, n: " ".join(f"{k}w{i}" for i in range(n))
+    passage = words("p", 60)
+    rows = [(1, f"{words('a', 5)} {passage}", "en", "s", 1), *[(2, f"{passage} {words('b', 5)}", "fr", f"s{i}", 2) for i in range(4)]]
+    rows += [(2, words("c", 80), "de", "own", 3), (2, passage, "en", "gone", 4), (2, None, None, None, None), (2, f"{words('d', 3)} {passage}", "en", "late", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    b = words("b", 5)
+    want = [rows[0], *[(2, b, "fr", f"s{i}", len(b)) for i in range(4)], rows[5], rows[7], (2, words("d", 3) + " ", "en", "late", len(words("d", 3)) + 1)]
+    assert sorted(map(str, map(tuple, corpus_pipeline.drop_repeats(spark, docs, SF).collect()))) == sorted(map(str, want))
