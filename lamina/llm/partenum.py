@@ -3,8 +3,8 @@
 Sets are dealt to size bands. Within a band, sets that are similar enough differ in at most k elements.
 The domain is cut by a hash into n1 partitions, of which at least one then holds two differences at
 most; that partition is cut into four again, and for each two of these a signature hashes what a set
-has there. One of them is equal for both sets. A set near a band's top also gets the signatures of the
-next band. Where a signature would be of nothing, the set gets those of another cut as well (so equal
+has there. One of them is equal for both sets. A set also gets the signatures of
+each band above that a similar set may be in. Where a signature would be of nothing, the set gets those of another cut as well (so equal
 empty parts alone never make candidates, and none is lost); the last cut's empty parts count.
 
 Equal sets are one node. In each group of nodes that share a signature all are compared with one of
@@ -97,9 +97,12 @@ def signatures(values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.
     starts = np.cumsum(sizes) - sizes
     own = np.searchsorted(low, sizes, side="right") - 1
     whose, band = np.arange(len(sizes))[sizes > 0], own[sizes > 0]
-    # also the next band, if a similar set may be in it
-    up = np.flatnonzero((sizes > 0) & (100 * sizes >= percent * low[own + 1]))
-    whose, band = np.concatenate([whose, up]), np.concatenate([band, own[up] + 1])
+    # also every band above that a similar set may be in
+    up, above = whose, band
+    while len(up):
+        near = 100 * sizes[up] >= percent * low[above + 1]
+        up, above = up[near], above[near] + 1
+        whose, band = np.concatenate([whose, up]), np.concatenate([band, above])
     out_sig, out_set = [], []
     for cut in range(CUTS):
         n1 = cuts[band]

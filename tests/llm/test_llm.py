@@ -131,6 +131,16 @@ def test_similar_sets_share_a_signature():
             assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [50, 60, 75, 79, 80, 85])
+def test_similar_sets_of_any_sizes_share_a_signature(percent):
+    r = np.random.default_rng(percent)
+    for small in range(1, 90):
+        for large in {100 * small // percent, max(small, 97 * small // percent)}:
+            values = r.integers(0, 1 << 63, large, np.uint64)
+            found, owner = partenum.signatures(np.concatenate([np.sort(values[:small]), np.sort(values)]), np.array([small, large]), percent)
+            assert set(found[owner == 0]) & set(found[owner == 1]), (small, large)
+
+
 def test_similar_documents_of_none_and_without_ids(spark):
     assert partenum.similar_documents(docs_of(spark, [(1, "x")]).limit(0)).collect() == []
     rows = partenum.similar_documents(docs_of(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f")])).collect()
