@@ -2,45 +2,27 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.functions.ordering import written
+
 #: Rows that a Python step turns into one output batch; bounds its memory with long texts.
 SLICE_ROWS = 512
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where the session
-    names none (tests, one machine) it is a new temporary folder, set for the session."""
-    sc = spark.sparkContext
-    if path := sc.getConf().get("spark.checkpoint.dir"):
-        return path
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    path = tempfile.mkdtemp(prefix="lamina-")
-    sc.setCheckpointDir(path)
-    return path
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: its lineage is cut, lost executors don't
     repeat the work before it, and its size is known to the planner."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def broadcast_below(df: DataFrame, most: int) -> DataFrame:

@@ -9,7 +9,7 @@ from lamina.llm.common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label (the smallest node of its component) of every node in edges (a, b; long, not null).
+    """node and label (the smallest node of its component) of every node in edges (a, b; of one type with an order, not null).
 
     Loops and repeated edges are fine; without edges the result is empty. Each step takes the smallest
     label next to a node, then the label of that label, so the steps needed grow with the logarithm of

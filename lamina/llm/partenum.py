@@ -4,15 +4,19 @@ Sets are dealt to size bands. Within a band, sets that are similar enough differ
 The domain is cut by a hash into n1 partitions, of which at least one then holds two differences at
 most; that partition is cut into four again, and for each two of these a signature hashes what a set
 has there. One of them is equal for both sets. A set also gets the signatures of
-each band above that a similar set may be in. Where a signature would be of nothing, the set gets those of another cut as well (so equal
-empty parts alone never make candidates, and none is lost); the last cut's empty parts count.
-
-Equal sets are one node. In each group of nodes that share a signature all are compared with one of
-them, the hub, so a group of m gives m - 1 candidates. The hub is the node of whose signatures the
-largest share is shared at all: what others were copied from, rather than a copy with changes. Only
-nodes that share a signature and are not connected yet are compared with each other after that. The
-parity of a set's elements in each of 1,024 parts of the domain is a lower bound of differences; as a
-join condition it drops nearly all false candidates before they are rows.
+each band above that a similar set may be in. Where a signature would be of nothing, the set gets those
+of another cut as well; so does a similar set, for which it is of nothing too. The last cut's empty parts
+count, so none is lost.
+
+Equal sets are one node, by 123 bits of hashes. In each group of nodes that share a signature all are
+compared with one of them, the hub, so a group of m gives m - 1 candidates. The hub is the node of whose
+signatures the largest share is shared at all: what others were copied from, rather than a copy with
+changes. Only nodes that share a signature and are not connected yet are compared with each other after
+that, in groups of at most MANY. Larger groups come of text that many documents have in common; their
+nodes are cut a second time: a similar pair shares one of its rarest elements, and not too far back in
+either's order of rarity, so pairs meet at these alone. The parity of a set's elements in each of 1,024
+parts of the domain is a lower bound of differences; as a join condition it drops nearly all false
+candidates before they are rows.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import windows
@@ -38,8 +42,8 @@ RATIO = 1.25
 PARTS, DIFFER = 4, 2
 SUBSETS = tuple(combinations(range(PARTS), PARTS - DIFFER))
 CUTS = 4
-#: Of more partitions than this, so many agree that an empty signature can't be the only one (1e-9).
-FEW = 32
+#: Nodes that share a signature and are all compared with each other.
+MANY = 64
 #: 64-bit words of a sketch.
 SKETCH = 16
 SALTS = 32
@@ -81,9 +85,9 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.bincount(owner[new], minlength=len(texts))
 
 
-def fingerprints(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def fingerprints(values: np.ndarray, sizes: np.ndarray, seed: int = 0xF1) -> np.ndarray:
     """A hash of each set."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(windows.mixed(values ^ np.uint64(0xF1)), dtype=np.uint64)])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(windows.mixed(values ^ np.uint64(seed)), dtype=np.uint64)])
     ends = np.cumsum(sizes)
     return windows.mixed(total[ends] - total[ends - sizes] + sizes.astype(np.uint64))
 
@@ -130,11 +134,10 @@ def signatures(values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.
             inside = sum(total[:, j] * np.uint64(2 * j + 1) for j in subset)
             some = sum(filled[:, j] for j in subset) > 0
             empty[part_of[~some]] = True
-            use = some | (cut == CUTS - 1) & (n1[part_of] <= FEW)
+            use = some | (cut == CUTS - 1)
             out_sig.append(windows.mixed(windows.mixed(salt[use] * np.uint64(len(SUBSETS)) + np.uint64(k)) + inside[use]))
             out_set.append(whose[part_of[use]])
-        again = empty & (n1 <= FEW)
-        whose, band = whose[again], band[again]
+        whose, band = whose[empty], band[empty]
     return (np.concatenate(out_sig), np.concatenate(out_set)) if out_sig else none
 
 
@@ -146,12 +149,14 @@ def sketches(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64).reshape(-1, SKETCH)
 
 
-def node_ids(values: np.ndarray, sizes: np.ndarray, found: np.ndarray, owner: np.ndarray, shared: np.ndarray) -> np.ndarray:
+def node_ids(values: np.ndarray, sizes: np.ndarray, owner: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """A hash of each set, preceded by what share of its signatures is not shared (in sixteenths), so the
-    smallest of a group is the best hub."""
+    smallest of a group is the best hub; and that with 64 more bits, which names the set."""
     total = np.maximum(np.bincount(owner, minlength=len(sizes)), 1)
     own = np.bincount(owner[~shared], minlength=len(sizes)) * 15 // total
-    return (own.astype(np.int64) << 59) | (fingerprints(values, sizes) >> np.uint64(5)).astype(np.int64)
+    key = (own.astype(np.int64) << 59) | (fingerprints(values, sizes) >> np.uint64(5)).astype(np.int64)
+    raw = np.stack([key.view(np.uint64), fingerprints(values, sizes, 0xE7)], axis=1).astype(">u8").tobytes()
+    return key, [raw[at : at + 16] for at in range(0, len(raw), 16)]
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
@@ -161,17 +166,16 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
 
 
 def _nodes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Broadcast]:
-    """id, n_shingles, node (null without words), sketch and the signatures that more than one document has,
-    or that look so in a bit table; and that table."""
+    """id, n_shingles, key and node (null without words), sketch and the signatures that more than one
+    document has, or that look so in a bit table; and that table."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            values, sizes = shingle_sets(batch.column(0).to_pylist(), n)
-            once, times = np.unique(signatures(values, sizes, percent)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(times.astype(np.int32))], names=["h", "n"])
+            found = signatures(*shingle_sets(batch.column(0).to_pylist(), n), percent)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
 
-    shared = docs.select("text").mapInArrow(emit, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    shared = docs.select("text").mapInArrow(emit, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     known = bit_table(stored(shared, "shared-signatures"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,15 +183,16 @@ def _nodes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Broadcast]
             values, sizes = shingle_sets(batch.column(1).to_pylist(), n)
             found, owner = signatures(values, sizes, percent)
             keep = passing(known.value, found)
-            node = pa.array(node_ids(values, sizes, found, owner, keep), mask=sizes == 0)
+            key, node = node_ids(values, sizes, owner, keep)
+            none = sizes == 0
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * SKETCH), pa.array(sketches(values, sizes).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), node, sketch, _lists(found[keep], owner[keep], len(sizes))], names=["id", "n_shingles", "node", "sketch", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(key, mask=none), pa.array(node, pa.binary(), mask=none), sketch, _lists(found[keep], owner[keep], len(sizes))], names=["id", "n_shingles", "key", "node", "sketch", "signatures"])
 
-    rows = docs.select("id", "text").mapInArrow(describe, f"id {kind}, n_shingles long, node long, sketch array<long>, signatures array<long>")
+    rows = docs.select("id", "text").mapInArrow(describe, f"id {kind}, n_shingles long, key long, node binary, sketch array<long>, signatures array<long>")
     return stored(rows, "sets"), known
 
 
-def _possible(percent: int):
+def _possible(percent: int) -> Column:
     """A condition on sizes na, nb and sketches ca, cb that all similar sets meet."""
     apart = sum((F.bit_count(F.get("ca", F.lit(k)).bitwiseXOR(F.get("cb", F.lit(k)))) for k in range(1, SKETCH)), F.bit_count(F.get("ca", F.lit(0)).bitwiseXOR(F.get("cb", F.lit(0)))))
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb")))
@@ -202,13 +207,12 @@ def _sets(docs: DataFrame, wanted: Broadcast, known: Broadcast, n: int, percent:
             if keep.any():
                 values, sizes = shingle_sets(batch.filter(pa.array(keep)).column(1).to_pylist(), n)
                 ends = np.cumsum(sizes)
-                some = np.flatnonzero(sizes)
-                sets = [values[ends[i] - sizes[i] : ends[i]].tobytes() for i in some]
+                some = np.flatnonzero(sizes).tolist()
                 found, owner = signatures(values, sizes, percent)
-                node = node_ids(values, sizes, found, owner, passing(known.value, found))
-                yield pa.RecordBatch.from_arrays([pa.array(node[some]), binary_of(sets)], names=["node", "set"])
+                node = node_ids(values, sizes, owner, passing(known.value, found))[1]
+                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in some], pa.binary()), binary_of([values[ends[i] - sizes[i] : ends[i]].tobytes() for i in some])], names=["node", "set"])
 
-    return docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(run, "node long, set binary")
+    return docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(run, "node binary, set binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,10 +237,42 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     if 100 * shared >= percent * (len(own) + len(found) - shared):
                         a.append(other)
                         b.append(hub)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     rows = members.unionByName(heads).repartition("b", "salt").sortWithinPartitions("b", "salt", "member")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, label, n, sketch) of different labels that may be similar, by their
+    rarest elements.
+
+    In any order of all elements, the first one that two similar sets share stands, in either, before as
+    many of its elements as they must share. So it is among the first n - ceil(p n) + 1 of the larger set
+    and, as both together bound the share, the first n - ceil(2 p / (1 + p) n) + 1 of the smaller; and
+    enough elements follow it in both. The order is by the number of these nodes that have an element, so
+    what most of them have in common comes last and hardly any pair meets there.
+    """
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            packed = batch.column(1).to_pylist()
+            owner = np.repeat(np.arange(len(packed)), [len(p) // 8 for p in packed])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(np.frombuffer(b"".join(packed), np.int64))], names=["node", "e"])
+
+    each = stored(sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(elements, "node binary, e long"), "elements")
+    spread = each.groupBy("e").agg(F.count("*").alias("c"))
+    first = lambda n: n - F.ceil(F.lit(percent) * n / 100) + 1
+    short = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
+    order = each.join(spread, "e").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("o"), F.count("*").alias("n"))
+    order = order.select("node", "n", F.posexplode(F.slice("o", F.lit(1), first(F.col("n")).cast("int"))).alias("at", "x"))
+    order = order.join(nodes.select("node", "label", "sketch"), "node")
+    order = stored(order.select("node", "label", "n", "sketch", "at", F.col("x.e").alias("e"), (F.col("at") < short).alias("head")), "rare-elements")
+    left, right = (order.where("head" if x == "a" else "true").select("e", F.col("node").alias(x), *[F.col(c).alias(f"{k}{x}") for k, c in (("l", "label"), ("n", "n"), ("c", "sketch"), ("p", "at"))]) for x in "ab")
+    smaller = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
+    follow = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.e") == F.col("r.e")) & smaller & follow & (F.col("la") != F.col("lb")) & _possible(percent))
+    return pairs.select("a", "b").distinct()
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,27 +284,31 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     texts without words have none and link with nothing. One row for each input row; rows without an id
     have no component and link with nothing; rows that share an id are one document in the links of
     each. Other columns of docs don't matter. Sets are compared by 64-bit hashes of their shingles, and
-    equal sets recognised by one of all of them.
+    equal sets recognised by 123 bits of hashes of all of them.
     """
     if not 50 <= percent <= 100:
         raise ValueError("the similarity is to be 50 to 100 percent")
     docs = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     rows, known = _nodes(docs, n, percent)
     sets = rows.where("id is not null and node is not null")
-    nodes = stored(sets.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    held = sets.select("node", F.explode("signatures").alias("h"))
-    hubs = stored(held.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("h", "hub"), "hubs")
-    star = stored(held.join(hubs, "h").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "star-pairs")
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"c{x}")) for x in "ab")
-    star = star.join(a, "a").join(b, "b").where(_possible(percent)).select("a", "b")
+    nodes = stored(sets.groupBy("node").agg(F.min("id").alias("id"), F.first("key").alias("key"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("signatures").alias("signatures")), "nodes")
+    held = nodes.select("key", "node", F.explode("signatures").alias("h"))
+    hubs = stored(held.groupBy("h").agg(F.min("key").alias("hub"), F.max("key").alias("most")).where("hub < most").select("h", "hub"), "hubs")
+    star = stored(held.join(hubs, "h").where("key != hub").select(F.col("key").alias("ka"), F.col("hub").alias("kb")).distinct(), "star-pairs")
+    twins = nodes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")  # different sets of one key
+    star = star.unionByName(twins.select(F.col("key").alias("ka"), F.col("key").alias("kb")))
+    a, b = (nodes.select(F.col("key").alias(f"k{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"c{x}")) for x in "ab")
+    star = star.join(a, "ka").join(b, "kb").where(F.col("a") != F.col("b")).where(_possible(percent)).select("a", "b")
     star = stored(star, "possible-pairs")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = bit_table(nodes.join(ends, "node", "left_semi").select(F.xxhash64("id").alias("h")))
-        return stored(_sets(docs, wanted, known, n, percent), "candidate-sets")
+    def sets_of(ends: DataFrame) -> DataFrame:
+        wanted = bit_table(nodes.join(ends.distinct(), "node", "left_semi").select(F.xxhash64("id").alias("h")))
+        out = stored(_sets(docs, wanted, known, n, percent), "candidate-sets")
+        wanted.unpersist()
+        return out
 
-    held_sets = sets_of(star)
+    ends_of = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    held_sets = sets_of(ends_of(star))
     first = stored(star.groupBy("a").agg(F.min("b").alias("b")), "first-pairs")
     edges = stored(_linked(first, held_sets, percent), "links")
     labels = components(edges)
@@ -284,17 +324,23 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
         edges = edges.union(stored(_linked(rest, held_sets, percent), "links"))
         labels = components(edges)
     # whoever shares a signature with a node that isn't connected with it
-    label = held.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
-    label = stored(label.join(hubs.select("h"), "h", "left_semi"), "signature-labels")
-    mixed = label.groupBy("h").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("h")
-    mixed = stored(mixed, "mixed-signatures")
-    open_ = stored(label.join(mixed, "h", "left_semi").distinct().join(nodes, "node").select("h", "node", "label", "n", "sketch"), "open-signatures")
-    left, right = (open_.select("h", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"c{x}")) for x in "ab")
-    cross = left.alias("l").join(right.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & _possible(percent))
-    cross = stored(cross.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "cross-pairs")
+    label = held.join(hubs.select("h"), "h", "left_semi").join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
+    label = stored(label, "signature-labels")
+    mixed = label.groupBy("h").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("m")).where("least < most")
+    mixed = stored(mixed.select("h", (F.col("m") > MANY).alias("many")), "mixed-signatures")
+    open_ = label.join(mixed, "h").distinct().join(nodes.select("node", "n", "sketch"), "node")
+    open_ = stored(open_.select("h", "many", "node", "label", "n", "sketch"), "open-signatures")
+    left, right = (open_.where("not many").select("h", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"c{x}")) for x in "ab")
+    cross = left.alias("l").join(right.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & _possible(percent)).select("a", "b")
+    hot = open_.where("many").select("node", "label", "n", "sketch").dropDuplicates(["node"])
+    if not hot.isEmpty():
+        hot = stored(hot, "open-nodes")
+        cross = cross.unionByName(rare_pairs(hot.select("node", "label", "sketch"), sets_of(hot.select("node")), percent))
+    cross = stored(cross.distinct().join(star, ["a", "b"], "left_anti"), "cross-pairs")
     if not cross.isEmpty():
-        edges = edges.union(stored(_linked(cross, sets_of(cross), percent), "links"))
+        edges = edges.union(stored(_linked(cross, sets_of(ends_of(cross)), percent), "links"))
         labels = components(edges)
+    known.unpersist()
     smallest = nodes.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     lowest = stored(smallest.groupBy("label").agg(F.min("id").alias("least")), "lowest")
     of = stored(smallest.join(lowest, "label").select("node", "least"), "node-components")

@@ -114,6 +114,45 @@ def test_similar_documents_against_all_pairs(spark, n, percent):
     assert {i: (g["n_shingles"], g["component_id"]) for i, g in got.items()} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85])
+def test_similar_documents_of_common_signatures_against_all_pairs(spark, monkeypatch, percent):
+    """Every signature that more than two open nodes share goes the way of the rarest elements."""
+    monkeypatch.setattr(partenum, "MANY", 2)
+    r = random.Random(percent)
+    templates = [[f"t{k}w{i}" for i in range(m)] for k, m in ((0, 90), (1, 40))]
+    texts = []
+    for _ in range(70):
+        base = r.choice(templates)
+        own = [f"o{r.randrange(60)}" for _ in range(r.choice([1, 3, 6, 9, 14, 30]))]
+        texts.append(" ".join(base[: len(base) - r.randrange(4)] + own))
+    got = {x["doc_id"]: x["component_id"] for x in partenum.similar_documents(docs_of(spark, texts), 1, percent).collect()}
+    assert got == _components({i: _shingles(t, 1) for i, t in enumerate(texts)}, percent)
+
+
+def _hot_nodes(spark, sets, percent):
+    """Nodes and sets as `rare_pairs` takes them."""
+    packed = [np.array(sorted(s), np.uint64) for s in sets]
+    names = [i.to_bytes(16, "big") for i in range(len(sets))]
+    sketch = partenum.sketches(np.concatenate(packed), np.array([len(p) for p in packed])).tolist()
+    nodes = spark.createDataFrame([(k, k, s) for k, s in zip(names, sketch, strict=True)], "node binary, label binary, sketch array<long>")
+    return nodes, spark.createDataFrame([(k, p.tobytes()) for k, p in zip(names, packed, strict=True)], "node binary, set binary")
+
+
+def test_rare_pairs_hold_all_similar_ones_and_few_of_a_template(spark):
+    r = random.Random(9)
+    word = lambda: r.randrange(1 << 62)
+    template = [word() for _ in range(160)]
+    sets = [{*template, *(word() for _ in range(40))} for _ in range(1000)]  # 0.67 alike
+    planted = set()
+    for k in range(0, 200, 4):
+        near = set(sorted(sets[k])[: r.randrange(184, 200)]) | {word() for _ in range(r.randrange(4))}
+        if 100 * len(near & sets[k]) >= 80 * len(near | sets[k]):
+            planted.add((k, len(sets)))
+        sets.append(near)
+    pairs = {tuple(sorted(int.from_bytes(x, "big") for x in p)) for p in partenum.rare_pairs(*_hot_nodes(spark, sets, 80), 80).collect()}
+    assert planted and planted <= pairs and len(pairs) < len(sets)
+
+
 def test_similar_sets_share_a_signature():
     r = np.random.default_rng(5)
     for size in (6, 7, 10, 25, 60, 200, 900, 4000):
