@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, a new temporary folder for this session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on one machine, where the
+    session names none (tests), it is a new temporary folder, set for the session."""
     import tempfile
 
     sc = spark.sparkContext
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is to name a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="lamina-")
     sc.setCheckpointDir(path)
     return path
@@ -26,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
