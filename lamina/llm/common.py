@@ -13,6 +13,9 @@ from lamina.functions.ordering import written
 #: Rows that a Python step turns into one output batch; bounds its memory with long texts.
 SLICE_ROWS = 512
 SLICE_BYTES = 1 << 19
+#: Rows that a Python step gets at once.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: its lineage is cut, lost executors don't
-    repeat the work before it, and its size is known to the planner."""
-    return written(df, name)
+    repeat the work before it, and its size is known to the planner. Python steps on the way get batches
+    of BATCH_ROWS rows at most, as rows hold whole texts."""
+    conf = df.sparkSession.conf
+    rows = conf.get(_BATCH)
+    conf.set(_BATCH, str(min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS))
+    try:
+        return written(df, name)
+    finally:
+        conf.set(_BATCH, rows)
 
 
 def broadcast_below(df: DataFrame, most: int) -> DataFrame:

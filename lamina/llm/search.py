@@ -1,42 +1,44 @@
 """Exact top-k inner products by ball trees.
 
-Rows are dealt to shards and queries to blocks, both of a bounded size; for each block a shard's tree
-is searched by branch and bound, nodes in the order of their upper bound |q| * radius + q . centre. A first round searches one shard for
-each query and so finds a kth score that every other shard starts with; within a shard the kth score
-so far is shared by all nodes. What is at least as good as the kth is kept, and a window merges the
-shards' lists.
+Space is halved by cuts learned from a bounded sample, so that near rows share a cell. A cell is a ball
+around a fixed centre that holds all its rows; cells of many rows are dealt to shards of a bounded size,
+each of which is a ball tree. A query first searches one shard of the cell with the highest upper bound
+|q| * radius + q . centre, and then all cells whose bound reaches the kth score found there. Within a
+shard nodes come in the order of their bound, and the kth score so far is shared by all. What is at
+least as good as the kth is kept, and a window merges the shards' lists.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import stored
+from lamina.llm.common import slices, stored
 
 LEAF = 128
-#: Rows of a shard and queries of a block: both bound what a task holds, at any size of the table.
-SHARD_ROWS = 8192
-BLOCK_ROWS = 4096
+#: Rows of a shard, which a task holds as one tree, and queries that pass by it in one task.
+SHARD_ROWS, BLOCK_ROWS = 8192, 1 << 16
+#: Rows from which cuts are learned, and cells of a dimension at most: tasks get a table of their centres.
+SAMPLE, MOST_CELLS = 1 << 13, 1024
 #: Below this all products and sums are whole numbers that float64 holds exactly.
 EXACT = float(1 << 53)
 
 
 class BallTree:
-    """Ball tree over whole-number vectors (float64 if sums are exact in it, else Python integers)."""
+    """Ball tree over whole-number vectors (as float64)."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order, self.nodes = np.arange(len(ids)), []
         todo = [(0, len(ids), -1, 0)]
-        rough = rows.astype(np.float64)
         while todo:
             lo, hi, parent, side = todo.pop()
-            part = rough[order[lo:hi]]
+            part = rows[order[lo:hi]]
             centre = part.mean(axis=0)
             radius = float(np.sqrt(((part - centre) ** 2).sum(axis=1).max()))
             self.nodes.append([centre, radius, lo, hi, -1, -1])
@@ -48,16 +50,21 @@ class BallTree:
                 order[lo:hi] = order[lo:hi][np.argpartition(part[:, axis], mid)]
                 me = len(self.nodes) - 1
                 todo += [(lo, lo + mid, me, 0), (lo + mid, hi, me, 1)]
-        self.ids, self.rows, self.norm = ids[order], rows[order], float(np.sqrt((rough**2).sum(axis=1).max())) if len(ids) else 0.0
+        self.ids, self.rows, self._whole = ids[order], rows[order], None
+        self.norm, self.most = float(np.sqrt((rows**2).sum(axis=1).max())), float(np.abs(rows).max(initial=0))
         self.centres = np.array([n[0] for n in self.nodes])
         self.radii = np.array([n[1] for n in self.nodes])
 
+    def scores(self, lo: int, hi: int, q: np.ndarray) -> np.ndarray:
+        if len(q) * self.most * float(np.abs(q).max(initial=0)) < EXACT:
+            return self.rows[lo:hi] @ q
+        if self._whole is None:
+            self._whole = np.array([[int(x) for x in r] for r in self.rows.tolist()], dtype=object).reshape(self.rows.shape)
+        return self._whole[lo:hi] @ np.array([int(x) for x in q.tolist()], dtype=object)
+
     def search(self, query_id: int, q: np.ndarray, k: int, least: float) -> list[tuple[int, int]]:
         """The k best (score, id) with a score of `least` at least; of equal scores the smaller ids."""
-        rough = q.astype(np.float64)
-        size = float(np.sqrt((rough**2).sum()))
-        slack = 1e-9 * (size * self.norm + 1) * len(q)  # bounds are rounded, scores are not
-        bounds = self.centres @ rough + size * self.radii + slack
+        bounds = upper_bounds(q[None], self.centres, self.radii, self.norm)[0]
         queue, best, kth = [(-bounds[0], 0)], [], least
         while queue and -queue[0][0] >= kth:
             _, at = heapq.heappop(queue)
@@ -67,7 +74,7 @@ class BallTree:
                     if bounds[child] >= kth:
                         heapq.heappush(queue, (-bounds[child], child))
                 continue
-            scores = self.rows[lo:hi] @ q
+            scores = self.scores(lo, hi, q)
             for j in np.flatnonzero(scores >= kth).tolist():
                 i = int(self.ids[lo + j])
                 if i != query_id:
@@ -81,6 +88,43 @@ class BallTree:
         return [(s, -i) for s, i in best]
 
 
+def upper_bounds(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray, norm: float) -> np.ndarray:
+    """For each query and ball no less than any inner product with a row there; norm: of the longest row."""
+    size = np.sqrt((queries**2).sum(axis=1))
+    slack = 1e-9 * (size * norm + 1) * queries.shape[1]  # bounds are rounded, scores are not
+    return queries @ centres.T + size[:, None] * radii + slack[:, None]
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Cuts of a space in the order of a heap (1 the first, 2i and 2i + 1 below i), and the cells' centres."""
+
+    axis: np.ndarray
+    cut: np.ndarray
+    centres: np.ndarray
+
+    @classmethod
+    def of(cls, sample: np.ndarray, rows: int) -> Cells:
+        n = 1
+        while 2 * n <= min(MOST_CELLS, rows // SHARD_ROWS, len(sample) // 16):
+            n *= 2
+        axis, cut, parts = np.zeros(n, np.int64), np.zeros(n), {1: sample}
+        for at in range(1, n):
+            part = parts.pop(at)
+            axis[at] = np.argmax(part.max(axis=0) - part.min(axis=0)) if len(part) else 0
+            cut[at] = np.median(part[:, axis[at]]) if len(part) else 0.0
+            up = part[:, axis[at]] > cut[at]
+            parts[2 * at], parts[2 * at + 1] = part[~up], part[up]
+        zero = np.zeros(sample.shape[1])
+        return cls(axis, cut, np.array([parts[at].mean(axis=0) if len(parts[at]) else zero for at in range(n, 2 * n)]))
+
+    def find(self, rows: np.ndarray) -> np.ndarray:
+        at = np.ones(len(rows), np.int64)
+        while len(at) and at[0] < len(self.centres):
+            at = 2 * at + (rows[np.arange(len(rows)), self.axis[at]] > self.cut[at])
+        return at - len(self.centres)
+
+
 def whole_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """id_col and v, an array of floor(scale * x) as double. Rows whose id or vector is null, or that
     hold a null or non-finite component, are left out."""
@@ -92,6 +136,16 @@ def whole_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(ok, F.lit(False))).select(F.col(id_col).alias("id"), F.transform(vector_col, down).alias("v"))
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+
+
+def _of_each_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        yield dim, batch.filter(pa.array(dims == dim))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """For each query (id, v) the k rows of vectors (id, v; whole numbers as doubles) with the highest
     inner product, the query's own id left out, ties to the smaller id.
@@ -103,38 +157,100 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     if k < 1:
         raise ValueError("k is to be 1 or more")
     spark = vectors.sparkSession
-    vectors = stored(vectors.select("id", "v", F.size("v").alias("dim")), "vectors")
-    queries = stored(queries.select("id", "v", F.size("v").alias("dim")), "queries")
-    shards = {r["dim"]: max(1, -(-r["n"] // SHARD_ROWS)) for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).toLocalIterator()}
-    blocks = {r["dim"]: -(-r["n"] // BLOCK_ROWS) for r in queries.groupBy("dim").agg(F.count("*").alias("n")).toLocalIterator()}
-    schema = "dim int, shard int, query_id long, vec_id long, score long"
-    if not shards.keys() & blocks.keys():
+    vectors, queries = (df.select(F.col("id").cast("long").alias("id"), "v", F.size("v").alias("dim")) for df in (vectors, queries))
+    counts = {r["dim"]: r["n"] for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).toLocalIterator()}
+    queries = stored(queries, "queries")
+    blocks = -(-queries.count() // BLOCK_ROWS)
+    if not counts or not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    counts, parts = (F.create_map(*[F.lit(x) for pair in n.items() for x in pair]) for n in (shards, blocks))
-    block = F.pmod(F.xxhash64("id", F.lit(1)), parts[F.col("dim")]).cast("int")
-    dealt = vectors.where(F.col("dim").isin(list(blocks))).withColumn("shard", F.pmod(F.xxhash64("id"), counts[F.col("dim")]).cast("int"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), parts[F.col("dim")] - 1)))
-
-    def search(key, rows: Iterator[pd.DataFrame] | pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(asked):
-            own, other = np.array(rows["v"].tolist(), dtype=np.float64).reshape(len(rows), -1), np.array(asked["v"].tolist(), dtype=np.float64).reshape(len(asked), -1)
-            if own.shape[1] * np.abs(own).max(initial=0) * np.abs(other).max(initial=0) >= EXACT:
-                own, other = ([[int(x) for x in r] for r in a.tolist()] for a in (own, other))
-                own, other = np.array(own, dtype=object).reshape(len(rows), -1), np.array(other, dtype=object).reshape(len(asked), -1)
-            tree = BallTree(rows["id"].to_numpy(), own)
-            for i, q, least in zip(asked["id"].tolist(), other, asked["least"].tolist(), strict=True):
-                out += [(key[0], key[1], i, j, s) for s, j in tree.search(i, q, k, -np.inf if least is None or np.isnan(least) else least)]
-        return pd.DataFrame(out, columns=["dim", "shard", "query_id", "vec_id", "score"])
-
-    def searched(asked: DataFrame) -> DataFrame:
-        return dealt.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(search, schema)
-
-    queries = queries.where(F.col("dim").isin(list(shards))).withColumns({"home": F.pmod(F.xxhash64("id"), counts[F.col("dim")]).cast("int"), "block": block})
-    first = stored(searched(queries.select("id", "v", "dim", F.col("home").alias("shard"), "block", F.lit(None).cast("double").alias("least"))), "first-shard")
+    sample: dict[int, list] = {d: [] for d in counts}
+    for r in vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toLocalIterator():
+        sample[r["dim"]].append(r["v"])
+    cells = {d: Cells.of(np.array(rows, np.float64).reshape(len(rows), d), counts[d]) for d, rows in sample.items()}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for dim, part in _of_each_dim(batch):
+                rows = _matrix(part.column("v"), dim)
+                cell = cells[dim].find(rows)
+                far = np.sqrt(((rows - cells[dim].centres[cell]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.sqrt((rows**2).sum(axis=1)))], names=[*part.schema.names, "cell", "far", "norm"])
+
+    vectors = stored(vectors.mapInArrow(deal, "id long, v array<double>, dim int, cell int, far double, norm double"), "dealt-vectors")
+    parts = vectors.groupBy("dim", "cell").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("parts"), F.max("far").alias("far"), F.max("norm").alias("norm"))
+    parts = stored(parts, "cells")  # MOST_CELLS rows for each dimension
+    balls: dict[int, tuple] = {}
+    for r in parts.orderBy("dim", "cell").toLocalIterator():
+        at, radius, norm = balls.setdefault(r["dim"], ([], [], []))
+        at.append(r["cell"])
+        radius.append(r["far"])
+        norm.append(r["norm"])
+    balls = {d: (np.array(at), cells[d].centres[at], np.array(radius), max(norm)) for d, (at, radius, norm) in balls.items()}
+
+    def visits(every: bool):
+        """Of each query its best cell, or all cells that its kth score so far leaves, with the best as home."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                for dim, part in _of_each_dim(batch):
+                    if dim not in balls:
+                        continue
+                    at, centres, radii, norm = balls[dim]
+                    bounds = upper_bounds(_matrix(part.column("v"), dim), centres, radii, norm)
+                    home = bounds.argmax(axis=1)
+                    if every:
+                        least = part.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+                        who, cell = np.nonzero(~(bounds < least[:, None]))
+                    else:
+                        who, cell = np.arange(len(home)), home
+                    rows = part.take(pa.array(who))
+                    yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("v"), rows.column("dim"), rows.column("least"), pa.array(at[cell].astype(np.int32)), pa.array(cell == home[who])], names=["id", "v", "dim", "least", "cell", "home"])
+
+        return run
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of shards, in each the vectors before the queries."""
+        shard, held, tree = None, [], None
+        for batch in slices(batches):
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("dim", "cell", "part", "block", "asks")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            out: list[tuple[int, int, int]] = []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part, key = batch.slice(lo, hi - lo), keys[lo].tolist()
+                ids, rows = part.column("id").to_numpy(), _matrix(part.column("v"), key[0])
+                if key[:4] != shard:
+                    shard, held, tree = key[:4], [], None
+                if not key[4]:
+                    held.append((ids, rows))
+                elif held or tree:
+                    if tree is None:
+                        tree, held = BallTree(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])), []
+                    least = part.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+                    for i, q, kth in zip(ids.tolist(), rows, np.where(np.isnan(least), -np.inf, least).tolist(), strict=True):
+                        out += [(i, j, s) for s, j in tree.search(i, q, k, kth)]
+            if out and max(abs(s) for _, _, s in out) >> 63:
+                raise OverflowError("a score doesn't fit a long")
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 3)], names=["query_id", "vec_id", "score"])
+
+    dealt = vectors.join(F.broadcast(parts.select("dim", "cell", "parts")), ["dim", "cell"])
+    dealt = dealt.select("id", "v", F.lit(None).cast("double").alias("least"), "dim", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("asks"))
+
+    def searched(asked: DataFrame, every: bool) -> DataFrame:
+        asked = asked.mapInArrow(visits(every), "id long, v array<double>, dim int, least double, cell int, home boolean")
+        asked = asked.join(F.broadcast(parts.select("dim", "cell", "parts")), ["dim", "cell"])
+        own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
+        if every:
+            asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where(~F.col("home") | (F.col("part") != own))
+        else:
+            asked = asked.withColumn("part", own)
+        asked = asked.select("id", "v", "least", "dim", "cell", "part", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("asks"))
+        place = ["dim", "cell", "part", "block"]
+        used = dealt.join(asked.select(*place).distinct(), place, "left_semi") if not every else dealt
+        return used.unionByName(asked).repartition(*place).sortWithinPartitions(*place, "asks").mapInArrow(search, "query_id long, vec_id long, score long")
+
+    first = stored(searched(queries.withColumn("least", F.lit(None).cast("double")), False), "first-shard")
     least = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")).where(F.col("n") >= k)
-    asked = queries.join(least, queries["id"] == least["query_id"], "left").withColumn("shard", F.explode(F.sequence(F.lit(0), counts[F.col("dim")] - 1))).where("shard != home")
-    rest = searched(asked.select("id", "v", "dim", "shard", "block", "least"))
+    rest = searched(queries.join(least.select(F.col("query_id").alias("id"), "least"), "id", "left"), True)
     # a shard's list has k rows at most, so a query's group has k times the number of shards
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return first.unionByName(rest).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

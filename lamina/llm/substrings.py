@@ -7,8 +7,12 @@ anchors that two documents share, the sequences of full length are compared; all
 
 1. anchor hashes are counted by document (tasks combine first);
 2. the shared ones go to all tasks as a bit table of fixed size, so what passes it is a superset;
-3. sequences around passing anchors are grouped: the smallest document of each;
+3. passing anchors are extended on both sides to the sequences of full length around them, and these are
+   grouped: the smallest document of each;
 4. sequences that a smaller document has as well mark their words.
+
+Sequences are told apart by 96 bits: a group is found by 64, and where its other 32 differ, its sequences
+are grouped anew by all of them.
 """
 
 from __future__ import annotations
@@ -84,7 +88,7 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     shared = docs.select("text").mapInArrow(anchors, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     near = bit_table(stored(shared, "shared-anchors"))
 
-    def sequences(known: Broadcast | None):
+    def sequences(known: Broadcast | None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 found, at, hashes, text, left = _anchors(batch.column(2).to_pylist(), length)
@@ -93,20 +97,34 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
                 for back in range(period):
                     begin[(at - back)[at >= back]] = True
                 begin = np.flatnonzero(begin[: len(hashes)] & (left >= length))
-                full = windows.run_hashes(hashes, length)[begin]
+                full, more = full_hashes(hashes, length, begin)
                 if known is not None:
                     keep = passing(known.value, full)
-                    begin, full = begin[keep], full[keep]
+                    begin, full, more = begin[keep], full[keep], more[keep]
                 if len(begin):
                     start = begin - np.searchsorted(text, text[begin])
                     of = pa.array(text[begin])
-                    yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(start.astype(np.int32))], names=["h", "id", "version", "start"])
-
-        return docs.select("id", "version", "text").mapInArrow(run, f"h long, id {kind}, version long, start int")
-
-    first = stored(sequences(None).groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least"), "shared-sequences")
-    again = sequences(bit_table(first.select("h")))
-    return again.join(first, "h").where("id > least").select("id", "version", "start")
+                    yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), pa.array(more), batch.column(0).take(of), batch.column(1).take(of), pa.array(start.astype(np.int32))], names=["h", "more", "id", "version", "start"])
+
+        return docs.select("id", "version", "text").mapInArrow(run, f"h long, more int, id {kind}, version long, start int")
+
+    least, most = F.min("id").alias("least"), F.max("id").alias("most")
+    first = sequences(None).groupBy("h").agg(least, most, (F.min("more") == F.max("more")).alias("alike")).where("least < most")
+    first = stored(first.select("h", "least", "alike"), "shared-sequences")
+    known = bit_table(first.select("h"))
+    again = sequences(known).join(first.where("alike"), "h").where("id > least").select("id", "version", "start")
+    mixed = first.where("not alike")
+    if not mixed.isEmpty():
+        rows = stored(sequences(bit_table(mixed.select("h"))).join(mixed.select("h"), "h", "left_semi"), "mixed-sequences")
+        of = rows.groupBy("h", "more").agg(least, most).where("least < most")
+        again = again.unionByName(rows.join(of, ["h", "more"]).where("id > least").select("id", "version", "start"))
+    return again
+
+
+def full_hashes(hashes: np.ndarray, length: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of hashes of the sequences that begin at some places."""
+    more = windows.run_hashes(windows.mixed(hashes ^ np.uint64(0x5EED)), length)[begin]
+    return windows.run_hashes(hashes, length)[begin], (more >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _covered(starts: list[int] | None, n: int, length: int) -> np.ndarray:

@@ -220,6 +220,23 @@ def test_repeats_against_all_windows(spark, length):
     assert substrings.remove_repeats(docs_of(spark, [(1, "x")]).limit(0), 13).collect() == []
 
 
+def test_repeats_with_colliding_hashes(spark, monkeypatch):
+    """With few bits in the first hash the second one tells sequences apart."""
+    full = substrings.full_hashes
+    monkeypatch.setattr(substrings, "full_hashes", lambda *a: (full(*a)[0] & np.uint64(7), full(*a)[1]))
+    r = random.Random(2)
+    shared = [[str(r.randrange(10**6)) for _ in range(20)] for _ in range(5)]
+    texts = [" ".join(itertools.chain(*(r.choice(shared) if r.random() < 0.5 else [str(r.randrange(10**6)) for _ in range(9)] for _ in range(4)))) for _ in range(20)]
+    first = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t.split()) - 12):
+            first.setdefault(tuple(t.split()[k : k + 13]), i)
+    rows = {x["doc_id"]: x["n_removed"] for x in substrings.remove_repeats(docs_of(spark, texts), 13).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        assert rows[i] == len({k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(13)})
+
+
 @pytest.mark.parametrize("period", substrings.COVERS)
 def test_covers_hold_every_difference(period):
     cover = substrings.COVERS[period]
