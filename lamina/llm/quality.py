@@ -2,12 +2,16 @@
 
 Every line is good or bad. Its features are shapes of its own text and of the lines next to it; the
 chain's forward-backward marginals, weighted by line length, add up to the document's score, which a
-logistic curve fitted on the same documents sets on the scale of the labels. The fit runs on the
-driver over line features (never texts) of at most `sample` labelled documents.
+logistic curve fitted on the same documents sets on the scale of the labels. Labels are of documents, so
+the lines' own are latent: a good document is one in which good lines make up SHARE of the length at
+least, a bad one has that of bad lines, and expectation maximisation finds the likeliest lines under
+that. The fit runs on the driver over line features (never texts) of at most `sample` labelled documents
+with at most SAMPLE_LINES lines each.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +24,10 @@ from lamina.llm.common import slices, utf8
 
 #: Labelled documents that a fit reads at most; which ones, a hash of the id says.
 SAMPLE = 4000
+#: Lines in a row that a fit takes of a document; of longer ones a hash of the text says which.
+SAMPLE_LINES = 400
+#: Share of a document's length that lines of its label have at least.
+SHARE = 0.8
 #: Lines, with those that fill up shorter texts, of the texts that are taken together.
 CELLS = 1 << 15
 
@@ -155,9 +163,30 @@ class QualityModel:
         return np.round(1 / (1 + np.exp(-np.clip(a * self.mixed(good, lengths, counts) + b, -30, 30))), 12)
 
 
-def fit(own: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> QualityModel:
-    """Maximum likelihood with a quadratic penalty, by Adam. A document's label is that of all its lines;
-    a document of n lines weighs as the root of n. Without documents every score is 0.5."""
+def given_labels(node: np.ndarray, counts: np.ndarray, edge: np.ndarray, weight: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `marginals`, given the documents' labels: where the expected share of lines of a document's
+    label is below SHARE, the same odds are added to all its lines until it isn't."""
+    starts = np.cumsum(counts) - counts
+    toward = np.where(labels > 0.5, 1.0, -1.0)
+
+    def enough(good: np.ndarray) -> np.ndarray:
+        share = np.add.reduceat(good * weight, starts) / np.add.reduceat(weight, starts)
+        return np.where(labels > 0.5, share, 1 - share) >= SHARE
+
+    low, high = np.zeros(len(counts)), np.full(len(counts), 16.0)
+    high[enough(marginals(node, counts, edge)[0])] = 0.0
+    for _ in range(7):
+        mid = (low + high) / 2
+        fine = enough(marginals(node + np.repeat(mid * toward, counts), counts, edge)[0])
+        low, high = np.where(fine, low, mid), np.where(fine, mid, high)
+    return marginals(node + np.repeat(high * toward, counts), counts, edge)
+
+
+def fit(own: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: tuple[int, ...] = (70, 20, 20, 30), penalty: float = 1e-3) -> QualityModel:
+    """Maximum likelihood with a quadratic penalty, by Adam, in rounds of so many steps: in the first one
+    all lines have their document's label, in the others the labels expected by the round before. The first
+    learns from lines' own features alone, as neighbours would only tell it which document a line is in.
+    A document of n lines weighs as the root of n. Without documents every score is 0.5."""
     width = 3 * FEATURES + 3
     mean, scale = np.zeros(FEATURES), np.ones(FEATURES)
     theta = np.zeros(width + 4)
@@ -168,15 +197,22 @@ def fit(own: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np.nda
         weight = np.repeat(1 / np.sqrt(counts), counts)
         inner = np.ones(len(y), bool)
         inner[np.cumsum(counts) - counts] = False
-        m, v = np.zeros_like(theta), np.zeros_like(theta)
-        for step in range(1, steps + 1):
-            good, pair = marginals(x @ theta[:width], counts, theta[width:].reshape(2, 2))
-            same = np.zeros((len(y), 2, 2))
-            same[np.arange(len(y)), y.astype(int), y.astype(int)] = 1
-            edges = ((same - pair) * (weight * inner)[:, None, None]).sum(axis=0).ravel()
-            slope = np.concatenate([x.T @ ((y - good) * weight), edges]) / len(labels) - penalty * theta
-            m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
-            theta = theta + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        both = np.zeros((len(y), 2, 2))
+        both[np.arange(len(y)), y.astype(int), y.astype(int)] = 1
+        m, v, step = np.zeros_like(theta), np.zeros_like(theta), 0
+        alone = np.zeros(width + 4)
+        alone[:FEATURES] = alone[width - 1] = 1
+        for k, steps in enumerate(rounds):
+            if k:
+                y, both = given_labels(x @ theta[:width], counts, theta[width:].reshape(2, 2), lengths + 1.0, labels)
+            for _ in range(steps):
+                step += 1
+                good, pair = marginals(x @ theta[:width], counts, theta[width:].reshape(2, 2))
+                edges = ((both - pair) * (weight * inner)[:, None, None]).sum(axis=0).ravel()
+                slope = np.concatenate([x.T @ ((y - good) * weight), edges]) / len(labels) - penalty * theta
+                slope = slope if k else slope * alone
+                m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+                theta = theta + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     model = QualityModel(mean, scale, theta[:width], theta[width:].reshape(2, 2), (1.0, 0.0))
     if len(labels):
         z, a, b = model.mixed(model.lines(own, counts), lengths, counts), 1.0, 0.0
@@ -193,8 +229,8 @@ def fit(own: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np.nda
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
     """Fits on the documents of `docs` that `labels` (id_col, label_col 0 or 1) marks.
 
-    Null labels don't count; of several labels of one id the rounded mean holds. Only ids, labels and
-    texts are read, and only texts become features.
+    Null labels don't count; of several labels of one id the rounded mean holds; of several texts of one
+    id one takes part. Only ids, labels and texts are read, and only texts become features.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     few = marked.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most `sample` rows, so fit to broadcast
@@ -204,10 +240,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             own, lengths, counts = line_features(batch.column(2).to_pylist())
-            cut = np.concatenate([[0], np.cumsum(counts)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([own[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([lengths[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["id", "y", "own", "lengths"])
+            ends = np.cumsum(counts)
+            begin = ends - counts + np.array([zlib.crc32(t) for t in batch.column(2).to_pylist()]) % -(-counts // SAMPLE_LINES) * SAMPLE_LINES
+            cut = list(zip(begin.tolist(), np.minimum(begin + SAMPLE_LINES, ends).tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([own[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([lengths[a:b].tobytes() for a, b in cut], pa.binary())], names=["id", "y", "own", "lengths"])
 
-    rows = texts.mapInArrow(features, f"id {kind}, y int, own binary, lengths binary").orderBy("id", "own").collect()
+    rows = texts.mapInArrow(features, f"id {kind}, y int, own binary, lengths binary")
+    rows = rows.groupBy("id").agg(F.min(F.struct("own", "y", "lengths")).alias("r")).select("r.*", "id").orderBy("id").collect()
     lengths = [np.frombuffer(r["lengths"]) for r in rows]
     own = [np.frombuffer(r["own"], np.float32).reshape(-1, FEATURES) for r in rows]
     none = line_features([])

@@ -304,6 +304,26 @@ def test_quality_separates_and_scores_all(spark):
     assert quality.score_quality(docs.limit(0), model).collect() == []
 
 
+def test_labels_of_documents_give_mixed_lines():
+    """Junk lines inside good documents, and good ones inside junk, are told apart though no line has a label."""
+    r, texts, kinds = random.Random(6), [], []
+    fine = lambda: " ".join(r.choice(["the", "cat", "sat", "on", "a", "mat"]) for _ in range(9)).capitalize() + "."
+    junk = lambda: " ".join(r.choice(["BUY", "NOW", "$$$", "!!", "###"]) for _ in range(9))
+    for i in range(200):
+        own = [i % 2 == 1] * 10
+        for _ in range(r.choice([0, 0, 1, 2])):
+            own[r.randrange(10)] = i % 2 == 0
+        texts.append("\n".join(fine() if good else junk() for good in own).encode())
+        kinds += own
+    own, lengths, counts = quality.line_features(texts)
+    model = quality.fit(own, lengths, counts, np.arange(200.0) % 2)
+    good = model.lines(own, counts)
+    assert np.mean((good >= 0.5) == np.array(kinds)) > 0.97
+    assert all((model.documents(good, lengths, counts) >= 0.5) == (np.arange(200) % 2 == 1))
+    q, _ = quality.given_labels(np.zeros(30), np.array([10, 20]), np.zeros((2, 2)), np.ones(30), np.array([1.0, 0.0]))
+    assert 0.8 <= q[:10].mean() < 0.82 and 0.18 < q[10:].mean() <= 0.2
+
+
 # --- licences and languages ------------------------------------------------------------------------
 
 
