@@ -6,7 +6,9 @@ most; that partition is cut into four again, and for each two of these a signatu
 has there. One of them is equal for both sets. A set also gets the signatures of
 each band above that a similar set may be in. Where a signature would be of nothing, the set gets those
 of another cut as well; so does a similar set, for which it is of nothing too. The last cut's empty parts
-count, so none is lost.
+count, so none is lost. Sets of more than `few_cuts` partitions leave empty parts out at once: a pair would be
+lost only if all of its many equal parts were empty, which hashes give less than once in 10^15 pairs (the
+tests have the sum), more seldom than two shingles share a hash.
 
 Equal sets are one node, by 123 bits of hashes. In each group of nodes that share a signature all are
 compared with one of them, the hub, so a group of m gives m - 1 candidates. The hub is the node of whose
@@ -49,6 +51,11 @@ SKETCH = 16
 SALTS = 32
 
 
+def few_cuts(percent: int) -> int:
+    """So many partitions at most need another cut where a part is empty."""
+    return 40 if percent >= 80 else 256
+
+
 @lru_cache(maxsize=8)
 def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lowest size, highest size and number of partitions of each band up to the size `most`."""
@@ -94,7 +101,7 @@ def fingerprints(values: np.ndarray, sizes: np.ndarray, seed: int = 0xF1) -> np.
 
 def signatures(values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of all sets, and whose each is."""
-    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    none, few = (np.empty(0, np.uint64), np.empty(0, np.int64)), few_cuts(percent)
     if not len(values):
         return none
     low, _, cuts = bands(percent, 1 << int(sizes.max() * 200 // percent).bit_length())
@@ -134,10 +141,11 @@ def signatures(values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.
             inside = sum(total[:, j] * np.uint64(2 * j + 1) for j in subset)
             some = sum(filled[:, j] for j in subset) > 0
             empty[part_of[~some]] = True
-            use = some | (cut == CUTS - 1)
+            use = some | (cut == CUTS - 1) & (n1[part_of] <= few)
             out_sig.append(windows.mixed(windows.mixed(salt[use] * np.uint64(len(SUBSETS)) + np.uint64(k)) + inside[use]))
             out_set.append(whose[part_of[use]])
-        whose, band = whose[empty], band[empty]
+        again = empty & (n1 <= few)
+        whose, band = whose[again], band[again]
     return (np.concatenate(out_sig), np.concatenate(out_set)) if out_sig else none
 
 

@@ -170,6 +170,37 @@ def test_similar_sets_share_a_signature():
             assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", range(50, 98, 3))
+def test_empty_parts_lose_no_pair(percent):
+    """The chance that a similar pair has only empty parts in common, where other cuts don't follow: of all ways to
+    deal its differences over the partitions, those in which each partition has three or more or, with two at
+    most, agrees in empty parts alone. It only falls with more partitions."""
+    few = partenum.few_cuts(percent)
+    low, _, cuts = partenum.bands(percent, 1 << 20)
+    band = int(np.searchsorted(cuts, few, side="right"))
+    n, k = int(cuts[band]), 3 * int(cuts[band]) - 1
+    common = percent * low[band - 1] / 100  # the smaller set may be of the band below
+    empty = (1 - 1 / (2 * n)) ** common
+    ways = np.array([1 / np.prod(np.arange(1.0, j + 1)) for j in range(min(k, 150) + 1)])
+    bad = ways * np.where(np.arange(len(ways)) <= 2, empty, 1)
+
+    def dealt(one):
+        """log of the coefficient of x^k in one^n."""
+        log, p, out, scale = 0.0, one, np.ones(1), n
+        plog = 0.0
+        while scale:
+            if scale & 1:
+                out = np.convolve(out, p)[: k + 1]
+                log += plog + np.log(out.max())
+                out = out / out.max()
+            p = np.convolve(p, p)[: k + 1]
+            plog = 2 * plog + np.log(p.max())
+            p, scale = p / p.max(), scale >> 1
+        return log + np.log(out[k])
+
+    assert dealt(bad) - dealt(ways) < np.log(1e-15)
+
+
 @pytest.mark.parametrize("percent", [50, 60, 75, 79, 80, 85])
 def test_similar_sets_of_any_sizes_share_a_signature(percent):
     r = np.random.default_rng(percent)
