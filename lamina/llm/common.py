@@ -22,17 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """docs, after the session's Arrow batches are cut to BATCH_ROWS rows: a Python step holds two of them, on
+    either side of the pipe, and their rows are whole texts. Smaller settings stay."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return docs
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: its lineage is cut, lost executors don't
-    repeat the work before it, and its size is known to the planner. Python steps on the way get batches
-    of BATCH_ROWS rows at most, as rows hold whole texts."""
-    conf = df.sparkSession.conf
-    rows = conf.get(_BATCH)
-    conf.set(_BATCH, str(min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS))
-    try:
-        return written(df, name)
-    finally:
-        conf.set(_BATCH, rows)
+    repeat the work before it, and its size is known to the planner."""
+    return written(bounded_batches(df), name)
 
 
 def broadcast_below(df: DataFrame, most: int) -> DataFrame:

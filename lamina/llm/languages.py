@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import slices, stored, utf8
+from lamina.llm.common import bounded_batches, slices, stored, utf8
 
 BUCKETS = 1 << 14
 MOST_LANGUAGES = 256
@@ -28,8 +28,13 @@ TEMPER, MOST_GRAMS = 0.35, 400.0
 #: Pages' worth of weight that a level's prior has from the level above, and of a doubt in declarations.
 SMOOTHING = 4.0
 
+#: Three-letter codes of languages that have one of two letters (fixed values).
+CODES = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "swe": "sv", "dan": "da", "nor": "no", "nob": "nb", "nno": "nn", "fin": "fi", "isl": "is", "ice": "is", "pol": "pl", "ces": "cs", "cze": "cs", "slk": "sk", "slo": "sk", "slv": "sl", "hrv": "hr", "srp": "sr", "bul": "bg", "ron": "ro", "rum": "ro", "hun": "hu", "ell": "el", "gre": "el", "tur": "tr", "rus": "ru", "ukr": "uk", "est": "et", "lav": "lv", "lit": "lt", "gle": "ga", "cym": "cy", "wel": "cy", "cat": "ca", "eus": "eu", "baq": "eu", "glg": "gl", "ara": "ar", "heb": "he", "fas": "fa", "per": "fa", "hin": "hi", "ben": "bn", "urd": "ur", "tam": "ta", "zho": "zh", "chi": "zh", "jpn": "ja", "kor": "ko", "vie": "vi", "tha": "th", "ind": "id"}
+#: Labels below which names are given under a country's suffix (fixed values).
+SECOND = frozenset(("ac", "co", "com", "edu", "gov", "net", "or", "org"))
+
 _DROP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""")
+_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})(?![a-z])""")
 _URL = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::\d+)?([^?#]*)")
 
 
@@ -40,6 +45,18 @@ def _grams(text: bytes) -> np.ndarray:
     return (((b[:-2] * np.uint32(0x9E37) + b[1:-1]) * np.uint32(0x85EB) + b[2:]) * np.uint32(0x9E3779B1) >> np.uint32(18)).astype(np.int64)
 
 
+def code(tag: str) -> str:
+    """The language of a tag such as de-AT or deu, of two letters where it has such a code."""
+    first = tag.lower().split("-")[0].split("_")[0]
+    return CODES.get(first, first)
+
+
+def domain_of(labels: list[str]) -> str:
+    """What a host's name is registered as: two labels, or three below a country's second-level label."""
+    deep = len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND
+    return ".".join(labels[-3:] if deep else labels[-2:])
+
+
 def visible(page: str) -> bytes:
     return markup.unescape(_DROP.sub(b" ", page.encode()).decode("utf-8", "replace")).encode()
 
@@ -60,7 +77,7 @@ def trigram_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), utf8(text_col).alias("text")).mapInArrow(count, "lang string, bucket int, n long")
+    rows = bounded_batches(docs).where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), utf8(text_col).alias("text")).mapInArrow(count, "lang string, bucket int, n long")
     rows = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows.column(0).to_pylist()))
     counts = np.full((len(langs), BUCKETS), 0.5)
@@ -82,14 +99,14 @@ def _evidence(pages: DataFrame, langs: list[str], model: np.ndarray, id_col: str
                 m = _URL.match(url)
                 host, path = (m[1].lower().rstrip("."), m[2].lower()) if m else ("", "")
                 labels = host.split(".") if host else []
-                named = next((s[:2] for s in path.split("/") if s[:2] in langs and re.fullmatch(r"[a-z]{2}(-[a-z]{2})?", s)), None)
+                named = next((code(s) for s in path.split("/") if re.fullmatch(r"[a-z]{2,3}([-_][a-z]{2})?", s) and code(s) in langs), None)
                 if named is None and labels and labels[-1] in langs:
                     named = labels[-1]
                 d = _LANG.search(page)
                 grams = _grams(visible(page))
                 score = centred[:, grams].sum(axis=1) * TEMPER if len(grams) else np.zeros(len(langs))
                 score *= min(1.0, MOST_GRAMS / max(1, len(grams)))
-                out.append((host, ".".join(labels[-2:]), labels[-1] if labels else "", d[1].lower()[:2] if d else None, named, len(grams), (score - score.max(initial=0)).tolist()))
+                out.append((host, domain_of(labels), labels[-1] if labels else "", code(d[1]) if d else None, named, len(grams), (score - score.max(initial=0)).tolist()))
             columns = list(zip(*out, strict=True))
             kinds = (*[pa.string()] * 5, pa.int64(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["id", "host", "domain", "suffix", "declared", "named", "n_grams", "text"])

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import windows
-from lamina.llm.common import binary_of, slices, stored, utf8
+from lamina.llm.common import binary_of, bounded_batches, slices, stored, utf8
 from lamina.llm.components import components
 from lamina.llm.substrings import bit_table, passing
 
@@ -296,7 +296,7 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     """
     if not 50 <= percent <= 100:
         raise ValueError("the similarity is to be 50 to 100 percent")
-    docs = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    docs = bounded_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     rows, known = _nodes(docs, n, percent)
     sets = rows.where("id is not null and node is not null")
     nodes = stored(sets.groupBy("node").agg(F.min("id").alias("id"), F.first("key").alias("key"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("signatures").alias("signatures")), "nodes")

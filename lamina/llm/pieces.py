@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import binary_of, slices
+from lamina.llm.common import binary_of, bounded_batches, slices
 
 SPACE = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -267,7 +267,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     32-bit integers in one binary. One row for each input row, repeated ids too; a null text is an
     empty one (begin and end id alone); other columns of docs don't matter. No shuffle.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = bounded_batches(docs).schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)

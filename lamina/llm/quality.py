@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import slices, utf8
+from lamina.llm.common import bounded_batches, slices, utf8
 
 #: Labelled documents that a fit reads at most; which ones, a hash of the id says.
 SAMPLE = 4000
@@ -234,7 +234,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     few = marked.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most `sample` rows, so fit to broadcast
-    texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(F.broadcast(few), "id").select("id", "y", "text")
+    texts = bounded_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(F.broadcast(few), "id").select("id", "y", "text")
     kind = texts.schema["id"].dataType.simpleString()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     whole text. One row for each input row, repeated ids too. A null text is an empty one; an empty
     text is one empty line and gets a score as well. Other columns of docs don't matter. No shuffle.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = bounded_batches(docs).schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -272,7 +272,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 def label_lines(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line's label: id_col, line (from 0), n_bytes and p_good. Nulls and empty texts as in `score_quality`."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = bounded_batches(docs).schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lamina.llm import windows
-from lamina.llm.common import slices, stored, utf8
+from lamina.llm.common import bounded_batches, slices, stored, utf8
 
 #: Period -> places that hold every difference modulo the period (perfect difference sets; fixed values).
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -151,7 +151,7 @@ def remove_repeats(docs: DataFrame, length: int, id_col: str = "doc_id", text_co
     import re
 
     row = [F.struct(*carry).alias("row")] if carry else []
-    docs = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), *row).withColumn("version", F.xxhash64("text"))
+    docs = bounded_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), *row).withColumn("version", F.xxhash64("text"))
     # rows may be repeated: a set of starts is no longer for it
     starts = repeated_starts(docs.where("id is not null"), length).groupBy("id", "version").agg(F.collect_set("start").alias("starts"))
     starts = stored(starts, "repeated-starts")

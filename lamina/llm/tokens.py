@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import slices, stored, utf8
+from lamina.llm.common import bounded_batches, slices, stored, utf8
 
 #: Distinct chunks that a worker remembers, and pre-tokens that it counts before it hands them on.
 MEMORY = 1 << 18
@@ -124,7 +124,7 @@ def vocabulary(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([split.pieces(p) for p in batch.column(0).to_pylist()], pa.int64())], names=["pre_token", "n", "n_pieces"])
 
-    counted = docs.select(utf8(text_col).alias("text")).mapInArrow(count, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
+    counted = bounded_batches(docs).select(utf8(text_col).alias("text")).mapInArrow(count, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
     return counted.mapInArrow(pieces, "pre_token string, n long, n_pieces long")
 
 
@@ -137,7 +137,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     an empty table gives an empty result; other columns of docs don't matter.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    docs = bounded_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     known = stored(vocabulary(docs, tokenizer_path), "pre-tokens")
     most = {r[0]: r[1] for r in known.orderBy(F.desc("n"), "pre_token").limit(hot).select("pre_token", "n_pieces").toLocalIterator()}
     table = spark.sparkContext.broadcast(most)

@@ -432,6 +432,60 @@ def test_languages(spark):
     assert languages.identify_languages(pages.limit(0), langs, model).collect() == []
 
 
+def test_fusion_against_brute_force(spark):
+    """Every page's posterior, from its evidence and plain sums over all pages."""
+    r, n, smooth = random.Random(12), 3, languages.SMOOTHING
+    words = [["the", "with", "thing"], ["le", "avec", "chose"], ["der", "mit", "ding"]]
+    codes = ["en", "fr", "de"]
+    text = lambda k: " ".join(r.choice(words[k] + words[r.randrange(n)]) for _ in range(r.choice([1, 4, 30])))
+    docs = spark.createDataFrame([(text(k), codes[k]) for k in range(n) for _ in range(20)], "text string, lang string")
+    langs, model = languages.trigram_model(docs)
+    rows = []
+    for i in range(90):
+        k = r.randrange(n)
+        tag = r.choice(["", f' lang="{codes[k]}"', ' lang="eng"', ' lang="fil"', ' lang="de-AT"'])
+        host = r.choice(["a.x.com", "b.x.com", "c.y.fr", "d.z.co.uk", "e.z.co.uk", "f.w.co.uk"])
+        rows.append((i, f"http://{host}/{r.choice(['p', 'fr', 'deu', 'en-gb', 'frog'])}/q", f"<html{tag}><p>{text(k)}</p></html>"))
+    rows += [(90, None, None), (91, "http://a.x.com/", "")]
+    got = {x["page_id"]: x for x in languages.identify_languages(spark.createDataFrame(rows, "page_id long, url string, html string"), langs, model).collect()}
+
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    centred, like, declared, named, place = model - model.mean(axis=0), [], [], [], []
+    for _, url, page in rows:
+        grams = languages._grams(languages.visible(page or ""))
+        v = centred[:, grams].sum(axis=1) * languages.TEMPER * min(1.0, languages.MOST_GRAMS / max(1, len(grams))) if len(grams) else np.zeros(n)
+        like.append(v - v.max())
+        tag = (page or "").partition('lang="')[2].partition('"')[0]
+        declared.append({"": None, "eng": "en", "de-AT": "de"}.get(tag, tag))
+        parts = (url or "").split("/")
+        seen = {"fr": "fr", "deu": "de", "en-gb": "en"}.get(parts[3]) if len(parts) > 3 else None
+        host = parts[2] if url else ""
+        named.append(seen or ("fr" if host.endswith(".fr") else None))
+        place.append((host, ".".join(host.split(".")[-3:] if host.endswith(".co.uk") else host.split(".")[-2:]), host.split(".")[-1]))
+    p = [soft(v) for v in like]
+
+    def factor(says):
+        index = [langs.index(x) if x in langs else n if x is not None else n + 1 for x in says]
+        table = np.full((n + 2, n), smooth / (n + 2))
+        for i, row in zip(index, p, strict=True):
+            table[i] += row
+        return np.log(table / table.sum(axis=0))[index]
+
+    said = np.array(like) + factor(declared) + factor(named)
+    post = [soft(v) for v in said]
+    total = lambda level: {x: (sum(q for q, y in zip(post, place, strict=True) if y[level] == x), sum(y[level] == x for y in place)) for x in {y[level] for y in place}}
+    every = sum(post) + smooth / n
+    every = every / every.sum()
+    up = {x: (s + smooth * every) / (m + smooth) for x, (s, m) in total(2).items()}
+    mid, hosts = total(1), total(0)
+    for i, (h, d, x) in enumerate(place):
+        domain = (mid[d][0] + smooth * up[x]) / (mid[d][1] + smooth)
+        prior = (np.maximum(hosts[h][0] - post[i], 0) + smooth * domain) / (hosts[h][1] - 1 + smooth)
+        want = soft(said[i] + np.log(prior))
+        assert got[i]["lang"] == langs[int(want.argmax())] and abs(got[i]["confidence"] - want.max()) < 1e-9, i
+        assert (got[i]["declared"], got[i]["named"]) == (declared[i], named[i])
+
+
 # --- search ----------------------------------------------------------------------------------------
 
 
