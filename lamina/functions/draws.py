@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +36,13 @@ def below(n: Column | int, *key) -> Column:
 def weighted_clock(weight: Column, *key) -> Column:
     """Keys whose smallest k are a draw of k without replacement in proportion to weight; null for weights <= 0."""
     return F.when(weight > 0, -F.log(unit(*key)) / weight)
+
+
+def blake2b(text: Column | str, size: int = 8) -> Column:
+    """A BLAKE2b digest of a text's UTF-8 bytes, `size` bytes as hex: for keys that other systems made. No JVM
+    function has it, so this is a pandas function; SHA-2 and MD5 are native."""
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hashlib.blake2b(t.encode(), digest_size=size).hexdigest() if isinstance(t, str) else None)
+
+    return digest(text)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import erf, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.functions.draws import below, order_key
-from lamina.functions.text import tokens
+from lamina.functions.draws import below, order_key, unit
+from lamina.functions.text import edit_budget, tokens
 
 WORD = r"\p{L}(?:[\p{L}\p{M}]|['’](?=\p{L}))*"
 
@@ -85,14 +87,74 @@ def edited(df: DataFrame, edit: str, *key, text_col: str = "text", name: str = "
     return out.withColumn(name, F.when(F.col("__t") != F.array_join("__w", " "), F.col("__t"))).select(*[c for c in df.columns if c != name], name)
 
 
+#: Edits of one text at most.
+MOST_EDITS = 5
+
+
+def count_chances(most: int) -> list[float]:
+    """Chances of 1, ..., most edits by a normal law of mean (1 + most) / 2 and deviation (most - 1) / 6 of which
+    only draws from 1 to most count, rounded (halves up)."""
+    if most == 1:
+        return [1.0]
+    mean, deviation = (1 + most) / 2, (most - 1) / 6
+    below_ = lambda x: erf((min(max(x, 1.0), float(most)) - mean) / deviation / sqrt(2)) / 2
+    whole = below_(most) - below_(1)
+    return [(below_(k + 0.5) - below_(k - 0.5)) / whole for k in range(1, most + 1)]
+
+
 def edit_count(most: Column, *key) -> Column:
-    """A number of edits from 1 to `most` by a truncated normal law of mean (1 + most) / 2 and deviation
-    (most - 1) / 6, rounded: the sum of 12 uniform draws less 6 stands for the normal one."""
-    normal = sum((below(1_000_000, "edits", i, *key) / 1e6 for i in range(1, 12)), below(1_000_000, "edits", 0, *key) / 1e6) - 6.0
-    x = F.floor((1 + most) / 2 + normal * (most - 1) / 6 + 0.5)
-    return F.least(most, F.greatest(F.lit(1), x)).cast("int")
+    """A number of edits from 1 to `most` (MOST_EDITS at most) by the law of `count_chances`, drawn from one
+    uniform number by its cumulative chances."""
+    draw, out = unit("edits", *key), F.lit(None).cast("int")
+    for m in range(1, MOST_EDITS + 1):
+        upto, pick = 0.0, F.lit(m)
+        steps = []
+        for k, chance in enumerate(count_chances(m), 1):
+            upto += chance
+            steps.append((k, upto))
+        for k, top in reversed(steps[:-1]):
+            pick = F.when(draw < top, k).otherwise(pick)
+        out = F.when(most == m, pick).otherwise(out)
+    return out.cast("int")
+
+
+def drawn_edit_count(text: Column | str, *key) -> Column:
+    """A number of edits from 1 to what the text can bear, each equally likely."""
+    return (1 + below(edit_budget(text), "edit-count", *key)).cast("int")
 
 
 def word_spans(text: Column | str) -> Column:
-    """Words of letters, with marks and inner apostrophes, as an array."""
-    return F.regexp_extract_all(text if isinstance(text, Column) else F.col(text), F.lit(WORD), F.lit(0))
+    """Words of letters, with marks and inner apostrophes, as an array of struct(start, end, word); places
+    are code points from 0, `end` is after the word."""
+    t = text if isinstance(text, Column) else F.col(text)
+    words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+    gaps = F.split(t, WORD, -1)
+    first = F.array().cast("array<struct<start:int,end:int,word:string>>")
+    end = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
+
+    def add(acc: Column, x: Column) -> Column:
+        start = end(acc) + F.length(x["gap"])
+        return F.array_append(acc, F.struct(start.alias("start"), (start + F.length(x["word"])).alias("end"), x["word"].alias("word")))
+
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
+    return F.aggregate(pairs, first, add)
+
+
+def focused(spans: Column, start: Column, end: Column, radius: Column | int = 0) -> Column:
+    """Of the words (as `word_spans` gives them) those that overlap the focus from start to end, with `radius`
+    words more on either side; the nearest word where none overlaps (of equals the first); all words without
+    a focus (both null)."""
+    low, high = F.greatest(F.coalesce(start, F.lit(0)), F.lit(0)), F.greatest(F.coalesce(end, start, F.lit(0)), F.lit(0))
+    low, high = F.least(low, high), F.greatest(low, high)
+    marked = F.transform(spans, lambda s, i: F.struct(((s["end"] > low) & (s["start"] < high)).alias("hit"), F.abs(s["start"] + s["end"] - low - high).alias("off"), i.alias("at")))
+    hits = F.transform(F.filter(marked, lambda m: m["hit"]), lambda m: m["at"])
+    nearest = F.array_min(F.transform(marked, lambda m: F.struct(m["off"], m["at"])))["at"]
+    first, last = F.coalesce(F.array_min(hits), nearest), F.coalesce(F.array_max(hits), nearest)
+    r = F.greatest(radius if isinstance(radius, Column) else F.lit(radius), F.lit(0))
+    some = F.filter(spans, lambda s, i: (i >= first - r) & (i <= last + r))
+    return F.when(start.isNull() & end.isNull(), spans).otherwise(some)
+
+
+def case_like(word: Column, model: Column) -> Column:
+    """word in the case of another: all capitals (of more than one letter), a first capital, or as it is."""
+    return F.when((model == F.upper(model)) & (model != F.lower(model)) & (F.length(model) > 1), F.upper(word)).when(F.left(model, F.lit(1)) != F.lower(F.left(model, F.lit(1))), F.concat(F.upper(F.left(word, F.lit(1))), F.substring(word, F.lit(2), F.length(word)))).otherwise(word)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,15 +34,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "row_number") -> DataFrame:
-    """df with a 0-based row number in a global order, which should be total.
+def running_sum(df: DataFrame, by: list[str], order: list[Column], value: Column, name: str = "before") -> DataFrame:
+    """df with the sum of value over the rows of the same group that come before, in an order that should be
+    total within it; 0 for the first.
 
-    Rows are range-partitioned and written; each partition's rows are numbered on their own and moved
-    by the number of rows in the partitions before, a table of one row for each partition.
+    Rows are range-partitioned by group and order and written. Each partition sums on its own; where a group
+    goes on from the partitions before, their sums are added: a table of one row for each partition at most.
+    So neither a large group nor the whole table is one task's.
     """
-    part = f"__part_{uuid.uuid4().hex[:8]}"
-    rows = written(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ordered")
-    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))
-    before = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{part}_b"))
-    at = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    return rows.withColumn(f"{part}_n", at).join(F.broadcast(before), part).withColumn(name, F.col(f"{part}_b") + F.col(f"{part}_n") - 1).select(*df.columns, name)
+    part, item = f"__part_{uuid.uuid4().hex[:8]}", f"__item_{uuid.uuid4().hex[:8]}"
+    groups = [F.col(f"`{c}`") for c in by]
+    rows = df.withColumn(item, value).repartitionByRange(*groups, *order).withColumn(part, F.spark_partition_id())
+    rows = written(rows, "ordered")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, part).agg(F.sum(item).alias(f"{item}_s"))
+    sums = sums.withColumn(f"{item}_b", F.sum(f"{item}_s").over(upto(Window.partitionBy(*by, F.lit(0)).orderBy(part)))).where(F.col(f"{item}_b").isNotNull()).drop(f"{item}_s")
+    own = rows.withColumn(f"{item}_o", F.coalesce(F.sum(item).over(upto(Window.partitionBy(part, *by).orderBy(*order))), F.lit(0)))
+    keys = [F.col(f"o.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*by, part]]
+    total = F.col(f"o.{item}_o") + F.coalesce(F.col(f"s.{item}_b"), F.lit(0))
+    joined = own.alias("o").join(F.broadcast(sums.alias("s")), reduce(lambda a, b: a & b, keys), "left")
+    return joined.select(*[F.col(f"o.`{c}`") for c in df.columns], total.alias(name))
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "row_number") -> DataFrame:
+    """df with a 0-based row number in a global order, which should be total."""
+    return running_sum(df, [], list(order), F.lit(1), name)
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """by and a column for each of at: the quantile of value (numbers, nulls left out) between the two
+    nearest ranks. Distinct values are counted and the counts summed in order, so no task holds a group."""
+    cells = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__n"))
+    cells = running_sum(cells, by, [F.col("__x")], F.col("__n"), "__before")
+    place = lambda q: (F.col("__total") - 1) * F.lit(float(q))
+    holds = lambda k: (F.col("__before") <= k) & (k < F.col("__before") + F.col("__n"))
+    totals = cells.groupBy(*by).agg(F.sum("__n").alias("__total"))
+    if by:
+        cells = cells.join(totals, by)
+    else:
+        cells = cells.crossJoin(F.broadcast(totals))
+    picks = []
+    for name, q in at.items():
+        picks += [F.max(F.when(holds(F.floor(place(q))), F.col("__x"))).alias(f"{name}__l"), F.max(F.when(holds(F.ceil(place(q))), F.col("__x"))).alias(f"{name}__h")]
+    out = cells.groupBy(*by).agg(F.max("__total").alias("__total"), *picks)
+    share = lambda q: place(q) - F.floor(place(q))
+    return out.select(*by, *[(F.col(f"{n}__l") + (F.col(f"{n}__h") - F.col(f"{n}__l")) * share(q)).alias(n) for n, q in at.items()])

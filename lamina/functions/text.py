@@ -51,7 +51,7 @@ def slug(text: Column | str, most: int = 40) -> Column:
     return F.when(t == "", "value").otherwise(F.left(t, F.lit(most)))
 
 
-def shortened(text: Column | str, most: int, mark: str = "\n[TRUNCATED]") -> Column:
+def shortened(text: Column | str, most: int, mark: str = "\n\n[TRUNCATED]") -> Column:
     """The first `most` characters and a mark, if there are more; most <= 0 leaves texts whole."""
     t = _c(text)
     return t if most <= 0 else F.when(F.length(t) > most, F.concat(F.left(t, F.lit(most)), F.lit(mark))).otherwise(t)
@@ -86,11 +86,13 @@ def judge_score(raw: Column | str, low: float = 1.0, high: float = 5.0) -> Colum
     return F.when(finite(score), F.least(F.greatest(score, F.lit(low)), F.lit(high)))
 
 
-def rating(raw: Column | str) -> Column:
-    """The whole number from 1 to 5 after "[RESULT]" or "Rating:", outside thoughts; null if none."""
+def rating(raw: Column | str, form: str = "any") -> Column:
+    """The whole number from 1 to 5 after RESULT (in brackets or not, with or without a colon; form "result")
+    or after "Rating:" ("rating"), outside thoughts; null if none. "any" takes the first form that is there."""
     t = without_thought(F.coalesce(_c(raw), F.lit("")))
-    found = F.regexp_extract(t, r"(?i)(?:\[RESULT\]|Rating:)\s*([1-5])\b", 1)
-    return found.try_cast("int")
+    forms = {"result": r"(?i)(?:\[\s*RESULT\s*\]|\bRESULT\b)\s*:?\s*([1-5])\b", "rating": r"(?i)\bRating\s*:\s*([1-5])\b"}
+    found = [F.regexp_extract(t, pattern, 1).try_cast("int") for name, pattern in forms.items() if form in (name, "any")]
+    return F.coalesce(*found)
 
 
 def yes_no(raw: Column | str) -> Column:
@@ -144,6 +146,21 @@ def sigmoid(x: Column | str) -> Column:
     return 1 / (1 + F.exp(-_c(x)))
 
 
+def yes_probability(yes: Column | str, no: Column | str) -> Column:
+    """The share of Yes by the logits of the two answers."""
+    return sigmoid(_c(yes) - _c(no))
+
+
+def higher_is_better(value: Column | str, kind: str) -> Column:
+    """A score whose higher values are better: an error score is negated, a perplexity becomes minus its
+    logarithm; scores and mean log likelihoods stay."""
+    x = _c(value).cast("double")
+    kinds = {"score": x, "log_likelihood": x, "error": -x, "perplexity": F.when(x > 0, -F.log(x))}
+    if kind not in kinds:
+        raise ValueError(f"unknown kind of score {kind!r}")
+    return kinds[kind]
+
+
 def edit_budget(text: Column | str, per: int = 500, most: int = 5) -> Column:
     """Edits that a text can bear: one for each `per` characters, 1 to `most`."""
     return F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.length(_c(text)) / per))).cast("int")

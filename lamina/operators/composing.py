@@ -229,18 +229,25 @@ def chains_without_one_original(items: DataFrame) -> DataFrame:
 
 
 def regression_rows(items: DataFrame, score: str) -> DataFrame:
-    """Items whose score is finite, with it as label and the old label as layer."""
+    """Items whose score is finite, with it as label and the old label as layer. A score that is no number is an
+    error."""
     from lamina.functions.text import finite
 
+    if (kind := items.schema[score].dataType.simpleString()) not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not kind.startswith("decimal"):
+        raise TypeError(f"{score} is {kind}, not a number")
     return items.where(finite(score)).withColumn("layer", F.col("label")).withColumn("label", F.col(score).cast("double"))
 
 
 def min_max(rows: DataFrame, target: str, fit: Column) -> DataFrame:
-    """rows with scaled: target on the scale of the rows that `fit` marks (0 their least, 1 their most),
-    not cut to it; null if those rows are all equal."""
-    limits = rows.where(fit).agg(F.min(target).alias("__low"), F.max(target).alias("__high"))
+    """rows with scaled: target on the scale of the finite ones that `fit` marks (0 their least, 1 their most), not
+    cut to it. An error if those are all equal, or none."""
+    from lamina.functions.text import finite
+
+    limits = rows.where(fit).where(finite(target)).agg(F.min(target).alias("__low"), F.max(target).alias("__high"))
     span = F.col("__high") - F.col("__low")
-    return rows.crossJoin(F.broadcast(limits)).withColumn("scaled", F.when(span != 0, (F.col(target) - F.col("__low")) / span)).drop("__low", "__high")
+    constant = F.raise_error(F.lit(f"{target} is constant where it is fitted")).cast("double")
+    scaled = F.when(F.coalesce(span, F.lit(0)) == 0, constant).otherwise((F.col(target) - F.col("__low")) / span)
+    return rows.crossJoin(F.broadcast(limits)).withColumn("scaled", scaled).drop("__low", "__high")
 
 
 def chain_arrays(items: DataFrame, score: str | None = None) -> DataFrame:

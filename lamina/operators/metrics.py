@@ -5,18 +5,26 @@ Degenerate groups give null where a statistic isn't defined. Group columns may b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions.draws import below
-from lamina.functions.ordering import numbered
+from lamina.functions.ordering import numbered, quantiles, running_sum, written
 from lamina.functions.text import finite, finite_or_null, length_difference
 
+#: Checks of a run that one task folds at once.
+CHECKS = 4096
+
 
-def average_rank(x: str, by: list[str], descending: bool = False) -> Column:
-    """Rank from 1; equal values share the mean of their ranks."""
+def average_ranks(cells: DataFrame, by: list[str], x: str, n: str, name: str, descending: bool = False) -> DataFrame:
+    """by, x and rank of each distinct value, of cells with a count n: from 1, equal values share the mean of
+    their ranks. Counts are summed in order by range partitions, so no task holds a group."""
+    values = cells.groupBy(*by, x).agg(F.sum(n).alias("__m"))
     order = F.col(x).desc() if descending else F.col(x).asc()
-    return F.rank().over(Window.partitionBy(*by).orderBy(order)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
+    return running_sum(values, by, [order], F.col("__m"), "__b").select(*by, x, (F.col("__b") + (F.col("__m") + 1) / 2).alias(name))
 
 
 def correlation(a: str, b: str) -> Column:
@@ -24,11 +32,30 @@ def correlation(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def _on(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    return a.join(b, by) if by else a.crossJoin(F.broadcast(b))
+
+
+def _finite_pairs(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """by, __x, __y and their number __c, of finite pairs."""
+    ok = rows.where(finite(a) & finite(b)).select(*by, F.col(a).cast("double").alias("__x"), F.col(b).cast("double").alias("__y"))
+    return ok.groupBy(*by, "__x", "__y").agg(F.count("*").alias("__c"))
+
+
 def spearman(rows: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
-    """by, n and spearman of each group's pairs of finite numbers; null for fewer than two or a constant side."""
-    ok = rows.where(finite(label) & finite(score)).select(*by, F.col(label).cast("double").alias("__x"), F.col(score).cast("double").alias("__y"))
-    ranked = ok.withColumns({"__rx": average_rank("__x", by), "__ry": average_rank("__y", by)})
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("__rx", "__ry").alias("spearman"))
+    """by, n and spearman of each group's pairs of finite numbers; null for fewer than two or a constant
+    side. Equal pairs are counted first; ranks are those of distinct values."""
+    cells = written(_finite_pairs(rows, by, label, score), "cells")
+    for x in ("__x", "__y"):
+        cells = cells.join(average_ranks(cells, by, x, "__c", f"__r{x}"), [*by, x])
+    totals = cells.groupBy(*by).agg(F.sum("__c").alias("n"))
+    cells = _on(cells, totals, by)
+    # the mean of all ranks is (n + 1) / 2: sums of what is left are exact enough at any n
+    a, b = (F.col(f"__r{x}") - (F.col("n") + 1) / 2 for x in ("__x", "__y"))
+    c = F.col("__c")
+    sums = cells.groupBy(*by).agg(F.max("n").alias("n"), F.sum(c * a * b).alias("__ab"), F.sum(c * a * a).alias("__aa"), F.sum(c * b * b).alias("__bb"))
+    sums = sums if by else sums.where("n is not null")
+    return sums.select(*by, "n", F.try_divide(F.col("__ab"), F.sqrt("__aa") * F.sqrt("__bb")).alias("spearman"))
 
 
 def kendall(rows: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
@@ -36,33 +63,30 @@ def kendall(rows: DataFrame, by: list[str], label: str, score: str) -> DataFrame
 
     Discordant pairs are counted without making pairs: values are ranked, and for every bit of the
     score's rank a running sum over rows with the same higher bits counts, in the order of the label,
-    how many ones come before each zero. That is n log n rows.
+    how many ones come before each zero. That is n log n rows, summed by range partitions.
     """
-    ok = rows.where(finite(label) & finite(score)).select(*by, F.col(label).cast("double").alias("__x"), F.col(score).cast("double").alias("__y"))
-    cells = ok.groupBy(*by, "__x", "__y").agg(F.count("*").alias("__n"))
-    dense = cells.withColumn("__k", F.dense_rank().over(Window.partitionBy(*by).orderBy("__y")) - 1)
-    dense = dense.withColumn("__top", F.max("__k").over(Window.partitionBy(*by)))
-    bits = dense.withColumn("__bit", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.col("__top") + 1)).cast("int"), F.lit(1)) - 1)))
-    bits = bits.withColumns({"__high": F.expr("shiftright(cast(__k as int), __bit + 1)"), "__one": F.expr("shiftright(cast(__k as int), __bit) & 1")})
+    cells = written(_finite_pairs(rows, by, label, score).withColumnRenamed("__c", "__n"), "cells")
+    values = running_sum(cells.select(*by, "__y").distinct(), by, [F.col("__y")], F.lit(1), "__k")
+    values = written(values, "ranks")
+    tops = values.groupBy(*by).agg(F.max("__k").alias("__top"))
+    dense = _on(cells.join(values, [*by, "__y"]), tops, by)
+    width = F.length(F.conv(F.greatest("__top", F.lit(1)).cast("string"), 10, 2))
+    bits = dense.withColumn("__bit", F.explode(F.sequence(F.lit(0), width - 1)))
+    bits = bits.withColumns({"__high": F.expr("shiftright(__k, __bit + 1)"), "__one": F.expr("shiftright(__k, __bit) & 1")})
     # rows of equal labels are neither concordant nor discordant: only smaller labels count
-    before = Window.partitionBy(*by, "__bit", "__high").orderBy("__x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy(*by, "__bit", "__high", "__x")
-    ones = F.when(F.col("__one") == 1, F.col("__n")).otherwise(0)
-    bits = bits.withColumn("__ones", ones).withColumns({"__before": F.sum("__ones").over(before), "__same": F.sum("__ones").over(same)})
-    discordant = F.when(F.col("__one") == 0, F.col("__n") * (F.col("__before") - F.col("__same"))).otherwise(0)
-    worse = bits.withColumn("__d", discordant).groupBy(*by).agg(F.sum("__d").alias("__worse"))
+    at = [*by, "__bit", "__high"]
+    runs = bits.groupBy(*at, "__x").agg(F.sum(F.when(F.col("__one") == 1, F.col("__n")).otherwise(0)).alias("__ones"), F.sum(F.when(F.col("__one") == 0, F.col("__n")).otherwise(0)).alias("__zeros"))
+    runs = running_sum(runs, at, [F.col("__x")], F.col("__ones"), "__before")
+    worse = runs.groupBy(*by).agg(F.sum(F.col("__zeros") * F.col("__before")).alias("__worse"))
     half = lambda n: n * (n - 1) / 2
 
     def ties(*on: str) -> DataFrame:
         return cells.groupBy(*by, *on).agg(F.sum("__n").alias("__t")).groupBy(*by).agg(F.sum(half(F.col("__t"))).alias("__" + "".join(on).strip("_") + "_ties"))
 
     total = cells.groupBy(*by).agg(F.sum("__n").alias("n"))
-    parts = [ties("__x"), ties("__y"), ties("__x", "__y"), worse]
-    keys = by
-    if not keys:
-        total, parts, keys = total.withColumn("__g", F.lit(1)), [p.withColumn("__g", F.lit(1)) for p in parts], ["__g"]
-    for p in parts:
-        total = total.join(p, keys)
+    for p in (ties("__x"), ties("__y"), ties("__x", "__y"), worse):
+        total = _on(total, p, by)
+    total = total if by else total.where("n is not null")
     pairs = half(F.col("n"))
     better = pairs - F.col("__x_ties") - F.col("__y_ties") + F.col("__x__y_ties") - F.col("__worse")
     root = F.sqrt(pairs - F.col("__x_ties")) * F.sqrt(pairs - F.col("__y_ties"))
@@ -78,7 +102,8 @@ def preference(rows: DataFrame, by: list[str], preferred: str, dispreferred: str
     ok = ok.select(*by, d.alias("__d"), tied.alias("__tied"))
     win = F.when((F.col("__d") > 0) & ~F.col("__tied"), 1.0).otherwise(0.0)
     tie = F.when(F.col("__tied") | (F.col("__d") == 0), 1.0).otherwise(0.0)
-    return ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg(win).alias("strict_accuracy"), F.avg(win + 0.5 * tie).alias("tie_aware_accuracy"), F.avg(tie).alias("tie_rate"), F.avg("__d").alias("mean_delta"), F.median("__d").alias("median_delta"))
+    means = ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg(win).alias("strict_accuracy"), F.avg(win + 0.5 * tie).alias("tie_aware_accuracy"), F.avg(tie).alias("tie_rate"), F.avg("__d").alias("mean_delta"))
+    return _on(means, quantiles(ok, by, "__d", {"median_delta": 0.5}), by)
 
 
 def pairwise_accuracy(rows: DataFrame, by: list[str], chosen: str, rejected: str, tolerance: float = 1e-6) -> DataFrame:
@@ -89,10 +114,11 @@ def pairwise_accuracy(rows: DataFrame, by: list[str], chosen: str, rejected: str
 
 
 def regression(rows: DataFrame, by: list[str], target: str, prediction: str) -> DataFrame:
-    """n, mae, rmse, pearson and spearman; correlations that aren't defined are 0."""
-    d = F.col(target) - F.col(prediction)
-    ranked = rows.withColumns({"__rx": average_rank(target, by), "__ry": average_rank(prediction, by)})
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.coalesce(correlation(target, prediction), F.lit(0.0)).alias("pearson"), F.coalesce(correlation("__rx", "__ry"), F.lit(0.0)).alias("spearman"))
+    """n, mae, rmse, pearson and spearman of pairs of finite numbers; correlations that aren't defined are 0."""
+    ok = rows.where(finite(target) & finite(prediction)).select(*by, F.col(target).cast("double").alias("__t"), F.col(prediction).cast("double").alias("__p"))
+    d = F.col("__t") - F.col("__p")
+    sums = ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.coalesce(correlation("__t", "__p"), F.lit(0.0)).alias("pearson"))
+    return _on(sums, spearman(ok, by, "__t", "__p").select(*by, F.coalesce("spearman", F.lit(0.0)).alias("spearman")), by)
 
 
 def binary_accuracy(rows: DataFrame, by: list[str], label: str, logit: str) -> DataFrame:
@@ -111,30 +137,54 @@ def macro_average(dimensions: DataFrame, metric: str, categories: str = "categor
     return by_family.select(cols).unionByName(each.select(cols)).unionByName(overall.select(cols)).withColumn("name", F.replace("name", F.lit(" "), F.lit("_")))
 
 
+def draws_of_groups(sums: DataFrame, samples: int, seed: int) -> DataFrame:
+    """__sample (from 1), __g and the number of times that a sample draws the group: draw d of sample s takes
+    the group with the number h32(seed, s, d) mod groups. sums: a row for each group, numbered by __g."""
+    groups = sums.count()
+    draws = sums.sparkSession.range(samples * groups)
+    at = (F.floor(F.col("id") / F.lit(max(groups, 1))) + 1).alias("__sample"), (F.col("id") % F.lit(max(groups, 1)) + 1).alias("__draw")
+    draws = draws.select(*at).withColumn("__g", below(F.lit(max(groups, 1)), seed, F.col("__sample"), F.col("__draw")))
+    return draws.groupBy("__sample", "__g").agg(F.count("*").alias("__times"))
+
+
 def bootstrap(rows: DataFrame, group: str, value: str, samples: int = 1000, seed: int = 42) -> DataFrame:
     """Mean of value and its 95 % interval over `samples` resamplings of whole groups.
 
-    Draw d of sample s takes the group with the number h32(seed, s, d) mod groups, so the samples are
-    made by a join of the draws with sums of groups, not row by row.
+    Samples are made by a join of the draws, which are dealt over all tasks, with sums of groups, not row
+    by row.
     """
     sums = rows.where(finite(value)).groupBy(group).agg(F.sum(value).alias("__s"), F.count("*").alias("__n"))
-    sums = numbered(sums, F.col(group), name="__g")
-    n = sums.agg(F.count("*").alias("__groups"))
-    draws = n.select(F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("__sample"), "__groups").select("__sample", "__groups", F.explode(F.sequence(F.lit(1), F.col("__groups"))).alias("__draw"))
-    draws = draws.withColumn("__g", below(F.col("__groups"), seed, F.col("__sample"), F.col("__draw")))
-    means = draws.join(sums, "__g").groupBy("__sample").agg((F.sum("__s") / F.sum("__n")).alias("__mean"))
+    sums = written(numbered(sums, F.col(group), name="__g"), "groups")
+    means = draws_of_groups(sums, samples, seed).join(sums, "__g").groupBy("__sample").agg((F.sum(F.col("__s") * F.col("__times")) / F.sum(F.col("__n") * F.col("__times"))).alias("__mean"))
     limits = means.agg(F.percentile("__mean", F.lit(0.025)).alias("low"), F.percentile("__mean", F.lit(0.975)).alias("high"))
     return sums.agg((F.sum("__s") / F.sum("__n")).alias("mean")).crossJoin(limits)
 
 
+def bootstrap_of(rows: DataFrame, group: str, statistic: Callable[[DataFrame, list[str]], DataFrame], name: str, samples: int = 1000, seed: int = 42) -> DataFrame:
+    """As `bootstrap`, for any statistic: a function of rows and grouping columns that gives one row with the
+    column `name` for each group, such as `spearman`. Samples in which it isn't defined don't count.
+
+    Returns one row: name, low and high. A group that a sample draws twice is in it twice, so the rows that
+    the statistic gets are `samples` times as many as the input's, spread over all tasks.
+    """
+    groups = written(numbered(rows.select(group).where(F.col(group).isNotNull()).distinct(), F.col(group), name="__g"), "groups")
+    draws = draws_of_groups(groups, samples, seed).join(groups, "__g").select("__sample", group, F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))).alias("__copy"))
+    each = statistic(rows.join(draws, group), ["__sample"]).where(finite(name))
+    limits = each.agg(F.percentile(name, F.lit(0.025)).alias("low"), F.percentile(name, F.lit(0.975)).alias("high"))
+    return statistic(rows.where(F.col(group).isNotNull()), []).select(name).crossJoin(limits)
+
+
 def leaderboard(records: DataFrame, model: str, dataset: str, metrics: list[str], newest: str) -> DataFrame:
     """Models by mean rank over datasets: each model's newest record of a dataset, its mean metric, ranked
-    within the dataset (1 the highest), then mean and worst rank. Ordered by them and by name."""
-    last = Window.partitionBy(model, dataset).orderBy(F.col(newest).desc(), *[F.col(m).desc() for m in metrics])
-    rows = records.withColumn("__k", F.row_number().over(last)).where("__k = 1")
-    mean = sum((F.col(m) for m in metrics[1:]), F.col(metrics[0])) / len(metrics)
-    rows = rows.select(model, dataset, mean.alias("__mean"))
-    ranked = rows.withColumn("__rank", average_rank("__mean", [dataset], descending=True))
+    within the dataset (1 the highest), then mean and worst rank. Ordered by them and by name. A newest record
+    that lacks a metric is an error."""
+    last = F.max(F.struct(newest, *metrics))
+    rows = records.groupBy(model, dataset).agg(last.alias("r"))
+    lacks = reduce(lambda a, b: a | b, [~finite(f"r.{m}") for m in metrics])
+    mean = sum((F.col(f"r.{m}") for m in metrics[1:]), F.col(f"r.{metrics[0]}")) / len(metrics)
+    mean = F.when(lacks, F.raise_error(F.concat(F.lit("a metric is missing: "), F.col(model).cast("string"), F.lit(" "), F.col(dataset).cast("string"))).cast("double")).otherwise(mean)
+    rows = written(rows.select(model, dataset, mean.alias("__mean"), F.lit(1).alias("__c")), "records")
+    ranked = rows.join(average_ranks(rows, [dataset], "__mean", "__c", "__rank", descending=True), [dataset, "__mean"])
     return ranked.groupBy(model).agg(F.avg("__rank").alias("mean_rank"), F.max("__rank").alias("worst_rank"), F.count("*").alias("n_datasets")).orderBy("mean_rank", "worst_rank", model)
 
 
@@ -170,17 +220,35 @@ def regression_loss(rows: DataFrame, by: list[str], target: str, prediction: str
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(loss).alias("loss"))
 
 
-def early_stops(history: DataFrame, by: list[str], step: str, metric: str, patience: int, threshold: float = 0.0) -> DataFrame:
+def early_stops(history: DataFrame, by: list[str], step: str, metric: str, patience: int, threshold: float = 0.0, least_examples: int = 0) -> DataFrame:
     """Of each run: best, best_step and stop_step (null if it isn't stopped). A finite metric over best +
-    threshold is an improvement; `patience` finite checks in a row without one stop the run."""
-    seq = F.sort_array(F.collect_list(F.struct(F.col(step).alias("s"), F.col(metric).cast("double").alias("m"))))
-    zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("at"), F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop"))
+    threshold is an improvement; `patience` finite checks in a row without one stop the run. Checks at a
+    step below least_examples improve but don't count against the run.
 
-    def fold(acc, x):
-        up = acc["best"].isNull() | (x["m"] > acc["best"] + threshold)
-        bad = F.when(up, 0).otherwise(acc["bad"] + 1)
-        new = F.struct(F.when(up, x["m"]).otherwise(acc["best"]).alias("best"), F.when(up, x["s"].cast("long")).otherwise(acc["at"]).alias("at"), bad.alias("bad"), F.when(bad >= patience, x["s"].cast("long")).alias("stop"))
-        return F.when(acc["stop"].isNotNull(), acc).otherwise(new)
+    Runs are folded in blocks of CHECKS checks: a block's fold starts from the state that the block before
+    leaves, so a run of any length passes through tasks of bounded size, at one round for each block of the
+    longest run.
+    """
+    rows = history.where(finite(metric)).select(*by, F.col(step).alias("__s"), F.col(metric).cast("double").alias("__m"))
+    rows = running_sum(rows, by, [F.col("__s"), F.col("__m")], F.lit(1), "__i").withColumn("__block", F.floor(F.col("__i") / CHECKS).cast("int"))
+    rows = written(rows, "checks")
+    blocks = (rows.agg(F.max("__block").alias("b")).first()["b"] if not rows.isEmpty() else 0) + 1
+    kind = "struct<best:double,at:bigint,bad:int,stop:bigint>"
+    zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("at"), F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop"))
 
-    rows = history.where(finite(metric)).groupBy(*by).agg(F.aggregate(seq, zero, fold).alias("e"))
-    return rows.select(*by, F.col("e.best").alias("best"), F.col("e.at").alias("best_step"), F.col("e.stop").alias("stop_step"))
+    def fold(acc: Column, x: Column) -> Column:
+        up = acc["best"].isNull() | (x["__m"] > acc["best"] + threshold)
+        bad = F.when(up, 0).when(x["__s"] < least_examples, acc["bad"]).otherwise(acc["bad"] + 1)
+        new = F.struct(F.when(up, x["__m"]).otherwise(acc["best"]).alias("best"), F.when(up, x["__s"].cast("long")).otherwise(acc["at"]).alias("at"), bad.alias("bad"), F.when(bad >= patience, x["__s"].cast("long")).alias("stop"))
+        return F.when(acc["stop"].isNotNull(), acc).otherwise(new).cast(kind)
+
+    state = None
+    for k in range(blocks):
+        own = rows.where(F.col("__block") == k).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__i", "__s", "__m"))).alias("__seq"))
+        if state is None:
+            state = own.select(*by, F.aggregate("__seq", zero.cast(kind), fold).alias("e"))
+        else:
+            new = state.join(own, by, "left")
+            state = new.select(*by, F.aggregate(F.coalesce("__seq", F.array().cast(own.schema["__seq"].dataType)), F.col("e"), fold).alias("e"))
+        state = written(state, "stops")
+    return state.select(*by, F.col("e.best").alias("best"), F.col("e.at").alias("best_step"), F.col("e.stop").alias("stop_step"))

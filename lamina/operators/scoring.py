@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.draws import order_key
-from lamina.functions.ordering import numbered, written
+from lamina.functions.ordering import numbered, running_sum, written
 from lamina.functions.text import finite
 
 #: A scorer gets a frame of tasks and returns one number for each row; it may raise.
@@ -125,6 +127,25 @@ def chunks(tasks: DataFrame, key: list[str], size: int, order: str) -> DataFrame
     return numbered(unique, F.col(order), F.col("logical_key"), name="__i").withColumn("chunk", F.floor(F.col("__i") / size).cast("int")).drop("__i")
 
 
+def sized_chunks(requests: DataFrame, order: str, body: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """requests with custom_id (`request-` and a number in the given order) and chunk: at most most_rows
+    requests and most_bytes bytes of body in each. A request of more than half of that is an error."""
+    size = F.octet_length(body)
+    large = F.raise_error(F.concat(F.lit("a request is too large: "), F.col(order).cast("string"))).cast("int")
+    rows = requests.withColumn("__bytes", F.when(size > most_bytes // 2, large).otherwise(size))
+    rows = running_sum(rows, [], [F.col(order)], F.lit(1), "__i")
+    rows = running_sum(rows, [], [F.col(order)], F.col("__bytes"), "__upto")
+    # a block of most_rows is cut again where its bytes pass a multiple of half the limit
+    block = F.floor(F.col("__i") / most_rows)
+    begins = rows.groupBy(block.alias("__block")).agg(F.min("__upto").alias("__from"))
+    part = F.floor((F.col("__upto") - F.col("__from")) / F.greatest(F.lit(most_bytes // 2), F.lit(1)))
+    rows = rows.withColumn("__block", block).join(begins, "__block").withColumn("__part", part)
+    parts = rows.select("__block", "__part").distinct()
+    parts = running_sum(parts, [], [F.col("__block"), F.col("__part")], F.lit(1), "chunk")
+    name = F.concat(F.lit("request-"), F.lpad(F.col("__i").cast("string"), 9, "0"))
+    return rows.join(parts, ["__block", "__part"]).select(*requests.columns, name.alias("custom_id"), F.col("chunk").cast("int").alias("chunk"))
+
+
 def collected(requests: DataFrame, answers: DataFrame, on: str) -> DataFrame:
     """Each request with its newest answer (attempt, value, error): a success is never replaced by an
     error; a request without an answer has the error MissingBatchResult."""
@@ -153,13 +174,90 @@ def select_originals(df: DataFrame, id_col: str, n: int, seed: int = 42) -> Data
 
 
 def rekeyed(rows: DataFrame, mapping: DataFrame, columns: list[str]) -> DataFrame:
-    """rows with old ids in some columns replaced by new ones of mapping (old, new); null stays null, an
-    id that isn't mapped becomes null."""
+    """rows with old ids in some columns replaced by new ones of mapping (old, new); null stays null, an id
+    that isn't mapped is an error."""
     for c in columns:
-        rows = rows.join(mapping.select(F.col("old").alias(c), F.col("new").alias(f"__{c}")), c, "left").withColumn(c, F.col(f"__{c}")).drop(f"__{c}")
+        fault = F.raise_error(F.concat(F.lit(f"no new id for {c} "), F.col(c).cast("string"))).cast(mapping.schema["new"].dataType)
+        new = F.when(F.col(c).isNotNull() & F.col(f"__{c}").isNull(), fault).otherwise(F.col(f"__{c}"))
+        rows = rows.join(mapping.select(F.col("old").alias(c), F.col("new").alias(f"__{c}")), c, "left").withColumn(c, new).drop(f"__{c}")
     return rows
 
 
+def unmapped(rows: DataFrame, mapping: DataFrame, columns: list[str]) -> DataFrame:
+    """Ids of some columns that mapping (old, new) lacks: column and id."""
+    ids = reduce(DataFrame.unionByName, [rows.select(F.lit(c).alias("column"), F.col(c).alias("id")) for c in columns])
+    return ids.where("id is not null").distinct().join(mapping.select(F.col("old").alias("id")), "id", "left_anti").select("column", "id")
+
+
+def overlap(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """Keys that both sides have; none is to be in a training and a test set."""
+    return a.where(F.col(on).isNotNull()).select(on).distinct().join(b.select(on), on, "left_semi")
+
+
+def two_tier(errors: DataFrame, documents: DataFrame, id_col: str, position: str) -> DataFrame:
+    """Documents of error rows (custom_id): `doc-N` is the one at position N, anything else the one whose id it
+    is; fault is "unknown" for none and "ambiguous" for an id that several documents have."""
+    number = F.regexp_extract("custom_id", r"^doc-(\d+)$", 1).try_cast("long")
+    at = documents.select(F.col(position).cast("long").alias("__at"), F.col(id_col).alias("__by_place"))
+    ids = documents.groupBy(F.col(id_col).cast("string").alias("custom_id")).agg(F.count("*").alias("__n"), F.first(id_col).alias("__by_id"))
+    out = errors.withColumn("__at", number).join(at, "__at", "left").join(ids, "custom_id", "left")
+    found = F.coalesce("__by_place", F.when(F.col("__n") == 1, F.col("__by_id")))
+    fault = F.when(found.isNotNull(), None).when(F.col("__n") > 1, "ambiguous").otherwise("unknown")
+    return out.select(*errors.columns, found.alias("document"), fault.alias("fault"))
+
+
+def score_faults(scores: DataFrame, items: DataFrame) -> DataFrame:
+    """Score rows that can't be written, with their fault.
+
+    scores: candidate_id, base_text_id, perturbation_method, perturbation_run_id, target_layer, source_layer,
+    reference_candidate_id (may be null). items: candidate_id, base_text_id, method, run_id and label of all
+    originals and candidates. Faults: unknown_candidate, provenance, unknown_reference, reference_provenance
+    (of another source, or not of the score's source layer), repeated.
+    """
+    known = items.select(F.col("candidate_id"), F.col("base_text_id").alias("__base"), F.col("method").alias("__method"), F.col("run_id").alias("__run"), F.col("label").alias("__label"))
+    other = items.select(F.col("candidate_id").alias("reference_candidate_id"), F.col("base_text_id").alias("__rbase"), F.col("label").alias("__rlabel"))
+    times = scores.groupBy("candidate_id").agg(F.count("*").alias("__n"))
+    rows = scores.join(known, "candidate_id", "left").join(other, "reference_candidate_id", "left").join(times, "candidate_id")
+    same = (F.col("base_text_id") == F.col("__base")) & (F.col("perturbation_method") == F.col("__method")) & (F.col("perturbation_run_id") == F.col("__run")) & (F.col("target_layer") == F.col("__label"))
+    fault = F.when(F.col("__base").isNull(), "unknown_candidate").when(~F.coalesce(same, F.lit(False)), "provenance")
+    fault = fault.when(F.col("reference_candidate_id").isNotNull() & F.col("__rbase").isNull(), "unknown_reference")
+    fault = fault.when(F.col("reference_candidate_id").isNotNull() & ~F.coalesce((F.col("__rbase") == F.col("__base")) & (F.col("__rlabel") == F.col("source_layer")), F.lit(False)), "reference_provenance")
+    fault = fault.when(F.col("__n") > 1, "repeated")
+    return rows.withColumn("fault", fault).where("fault is not null").select(*scores.columns, "fault")
+
+
+def write_scores(scores: DataFrame, items: DataFrame, root: str, method: str, run: str, errors: DataFrame | None = None, metadata: dict | None = None) -> None:
+    """A score run as JSON lines under root/method=.../run=..., errors and metadata beside it, after all rows
+    have passed `score_faults`. Refuses a run that exists."""
+    from lamina.operators.lineage import enforce
+    from lamina.sources.jsonl import path_part, write_jsonl
+
+    enforce(score_faults(scores, items), "scores are of known candidates, once each")
+    at = f"{root}/scoring_method={path_part(method)}/scoring_run_id={path_part(run)}"
+    write_jsonl(scores, f"{at}/scores")
+    if errors is not None:
+        write_jsonl(errors, f"{at}/errors")
+    spark = scores.sparkSession
+    spark.createDataFrame([(json.dumps(metadata or {}, sort_keys=True, allow_nan=False),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{at}/metadata")
+
+
+def exported(items: DataFrame, splits: DataFrame, wanted: list[str], methods: list[str], mapping: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items of the wanted splits and their scores under new ids (mapping of candidate ids: old, new).
+
+    items: base_text_id, candidate_id, method, parent_candidate_id and others; splits: base_text_id, split. Every
+    source is to have all methods (RuleBroken otherwise); an id without a new one is an error.
+    """
+    from lamina.operators.lineage import enforce
+
+    rows = items.join(splits.where(F.col("split").isin(wanted)).select("base_text_id").distinct(), "base_text_id", "left_semi")
+    have = rows.where(F.col("method").isin(methods)).groupBy("base_text_id").agg(F.countDistinct("method").alias("n"))
+    lacking = rows.select("base_text_id").distinct().join(have, "base_text_id", "left").where(F.coalesce("n", F.lit(0)) < len(set(methods)))
+    enforce(lacking, "every source has an output of each method")
+    kept = scores.join(rows.select("candidate_id"), "candidate_id", "left_semi")
+    refs = [c for c in ("candidate_id", "reference_candidate_id") if c in scores.columns]
+    return rekeyed(rows, mapping, ["candidate_id", "parent_candidate_id"]), rekeyed(kept, mapping, refs)
+
+
 def first_spec(records: DataFrame, specs: DataFrame, id_col: str) -> DataFrame:
     """Each record with the first spec (by ordinal) that fits: equal benchmark, and an aspect that is the
     spec's, before any colon, or begins with it and a space or bracket. Specs are a small table; records

@@ -19,6 +19,13 @@ def complete_cases(outputs: dict[str, DataFrame], on: str = "base_text_id") -> D
     return both.groupBy(on).agg(F.count("*").alias("__n")).where(F.col("__n") == len(outputs)).select(on)
 
 
+def complete_groups(rows: DataFrame, kind: str, on: str) -> DataFrame:
+    """Ids that have a row of every kind there is."""
+    pairs = rows.select(on, kind).distinct()
+    n = pairs.select(kind).distinct().agg(F.count("*").alias("__all"))
+    return pairs.groupBy(on).agg(F.count("*").alias("__n")).crossJoin(F.broadcast(n)).where("__n = __all").select(on)
+
+
 def unchanged(candidates: DataFrame, originals: DataFrame, on: str = "base_text_id") -> DataFrame:
     """Candidates whose normalized text is their original's."""
     base = originals.select(on, normalized("text").alias("__base"))
@@ -59,17 +66,19 @@ def hash_split(df: DataFrame, id_col: str, shares: dict[str, int], seed: int = 4
     return df.withColumn("split", out)
 
 
-def stratified_split(df: DataFrame, id_col: str, stratum: Column, sizes: dict[str, int], seed: int = 42) -> DataFrame:
+def stratified_split(df: DataFrame, id_col: str, stratum: Column | list[Column], sizes: dict[str, int], seed: int = 42) -> DataFrame:
     """Exactly sizes[s] rows in each split (if there are so many), strata spread over the splits in
     proportion; rows beyond the sizes get "excluded".
 
-    All rows stand in the order of stratum and hash, so each stratum is a run. Row i of n goes to the
-    split whose turn it is in a pattern that repeats over the whole order: the fraction of i times the
+    All rows stand in the order of stratum (one column or several) and hash, so each stratum is a run. Row i of n
+    goes to the split whose turn it is in a pattern that repeats over the whole order: the fraction of i times the
     golden ratio is spread evenly over any run, and sorting by it gives each split its rows. No step
     looks at one row after another.
     """
-    rows = df.withColumn("__stratum", stratum).withColumn("__draw", order_key(seed, "stratum", F.col(id_col)))
-    rows = numbered(rows, F.col("__stratum"), F.col("__draw"), F.col(id_col), name="__i")
+    strata = stratum if isinstance(stratum, list) else [stratum]
+    names = [f"__stratum{k}" for k in range(len(strata))]
+    rows = df.withColumns({**dict(zip(names, strata, strict=True)), "__draw": order_key(seed, "stratum", F.col(id_col))})
+    rows = numbered(rows, *[F.col(n) for n in names], F.col("__draw"), F.col(id_col), name="__i")
     turn = F.pmod(F.col("__i") * F.lit(0.6180339887498949), F.lit(1.0))
     rows = numbered(rows.withColumn("__turn", turn), F.col("__turn"), F.col("__i"), name="__k")
     split, at = F.lit("excluded"), 0
@@ -79,6 +88,59 @@ def stratified_split(df: DataFrame, id_col: str, stratum: Column, sizes: dict[st
     return rows.withColumn("split", split).select(*df.columns, "split")
 
 
+def workflow_faults(outputs: dict[str, DataFrame], originals: DataFrame, on: str = "base_text_id") -> DataFrame:
+    """Rows of workflow outputs that break a rule: method, on and fault (repeated, or unknown to the originals)."""
+    all_ = reduce(DataFrame.unionByName, [df.select(on, F.lit(name).alias("method")) for name, df in outputs.items()])
+    per = all_.groupBy("method", on).agg(F.count("*").alias("__n"))
+    rows = per.join(originals.select(on, F.lit(True).alias("__known")).distinct(), on, "left")
+    fault = F.when(F.col("__n") > 1, "repeated").when(F.col("__known").isNull(), "unknown")
+    return rows.select("method", on, fault.alias("fault")).where("fault is not null")
+
+
+def exclusions(originals: DataFrame, outputs: dict[str, DataFrame], on: str = "base_text_id") -> DataFrame:
+    """Each original with why it can't be split: on and reason (missing_workflow where an output lacks,
+    identical_after_normalization where one repeats the original, duplicate_original of a smaller id with the same
+    normalized text among those left; null if it can), and same (the methods whose outputs repeat it).
+
+    Each output is joined once by id; duplicates are found by a minimum that tasks combine first."""
+    tagged = reduce(DataFrame.unionByName, [df.select(on, F.lit(name).alias("__method"), F.sha2(normalized("text"), 256).alias("__hash")) for name, df in outputs.items()])
+    base = originals.select(on, F.sha2(normalized(F.coalesce("text", F.lit(""))), 256).alias("__own"))
+    joined = base.join(tagged, on, "left").groupBy(on, "__own").agg(F.countDistinct("__method").alias("__n"), F.array_sort(F.collect_set(F.when(F.col("__hash") == F.col("__own"), F.col("__method")))).alias("same"))
+    joined = written(joined.withColumn("reason", F.when(F.col("__n") < len(outputs), "missing_workflow").when(F.size("same") > 0, "identical_after_normalization")), "workflow-sources")
+    first = joined.where("reason is null").groupBy("__own").agg(F.min(F.col(on).cast("string")).alias("__first"))
+    rows = joined.join(first, "__own", "left")
+    reason = F.when(F.col("reason").isNull() & (F.col(on).cast("string") != F.col("__first")), "duplicate_original").otherwise(F.col("reason"))
+    return rows.select(on, reason.alias("reason"), F.when(F.col("__n") == len(outputs), F.col("same")).otherwise(F.array().cast("array<string>")).alias("same"))
+
+
+def exclusion_funnel(excluded: DataFrame, round_to: int) -> DataFrame:
+    """Counts in long form: metric and n; sources, each reason, each method's repeats, usable sources, and how many are
+    left when these are rounded down."""
+    is_ = lambda r: F.count_if(F.col("reason") == r)
+    usable = F.count_if(F.col("reason").isNull())
+    sums = excluded.agg(F.count("*").alias("original_sources"), *[is_(r).alias(r) for r in ("missing_workflow", "identical_after_normalization", "duplicate_original")], usable.alias("usable_before_rounding"), (F.floor(usable / round_to) * round_to).alias("retained_sources"), (usable - F.floor(usable / round_to) * round_to).alias("excluded_by_rounding"))
+    out = sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("n")) for c in sums.columns])))
+    by = excluded.select(F.explode("same").alias("m")).groupBy("m").agg(F.count("*").alias("n"))
+    return out.unionByName(by.select(F.concat(F.lit("identical_by_method:"), "m").alias("metric"), "n"))
+
+
+def workflow_split(originals: DataFrame, outputs: dict[str, DataFrame], features: DataFrame, weight: Column, dev: int, test: int, round_to: int, seed: int = 42, on: str = "base_text_id") -> DataFrame:
+    """on and split of the sources that can be used: exactly so many of dev and test, the rest of the rounded number
+    train, those beyond it excluded (with split "excluded").
+
+    features: on, feature and n of each source. Sources stand in the order of their rarity, the rarest first, and of
+    their rarest feature, and are dealt to the splits by a pattern that spreads every run of that order in
+    proportion, so that rare features as well as common ones are in every split.
+    """
+    usable = written(originals.select(on).join(exclusions(originals, outputs, on).where("reason is null"), on, "left_semi"), "usable")
+    own = features.join(usable, on, "left_semi")
+    totals = written(own.groupBy("feature").agg(F.sum("n").alias("total")), "totals")
+    per = own.join(totals, "feature").groupBy(on).agg(F.sum(weight / F.col("total")).alias("__rarity"), F.min(F.struct("total", "feature")).alias("__least"))
+    rows = usable.join(per, on, "left")
+    sizes = rounded_sizes(rows.count(), dev, test, round_to)
+    return stratified_split(rows, on, [-F.coalesce(F.round("__rarity", 12), F.lit(0.0)), F.coalesce("__least.feature", F.lit(""))], sizes, seed).select(on, "split")
+
+
 def rounded_sizes(usable: int, dev: int, test: int, round_to: int) -> dict[str, int]:
     """Split sizes: usable rows rounded down, dev and test as given, the rest train."""
     if min(dev, test, round_to) < 1:
@@ -115,6 +177,19 @@ def hash_limit(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(order_key(seed, F.col(id_col)), F.col(id_col)).limit(n)
 
 
+def named_rows(df: DataFrame, id_col: str, ids: list) -> DataFrame:
+    """The rows with the given ids; an id that no row has is an error."""
+    wanted = df.sparkSession.createDataFrame([(i,) for i in ids], f"{id_col} {df.schema[id_col].dataType.simpleString()}").distinct()
+    if lacking := [r[0] for r in wanted.join(df.select(id_col), id_col, "left_anti").limit(5).collect()]:
+        raise LookupError(f"no rows with the ids {lacking}")
+    return df.join(F.broadcast(wanted), id_col, "left_semi")
+
+
+def ordered_distinct(df: DataFrame, value: str, order: str) -> DataFrame:
+    """Each value once, with the smallest place at which it stands: value and `order`, in that order."""
+    return df.groupBy(value).agg(F.min(order).alias(order)).orderBy(order, value)
+
+
 def train_dev(df: DataFrame, id_col: str, share: float, seed: int = 42) -> DataFrame:
     """df with split: dev has max(1, share of the rows, halves to even) rows."""
     rows = numbered(df.withColumn("__draw", order_key(seed, "dev", F.col(id_col))), F.col("__draw"), F.col(id_col), name="__i")

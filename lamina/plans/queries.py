@@ -80,12 +80,13 @@ def duplicate_keys(spark, sf):
     return lineage.duplicates(_t(spark, sf, "events"), "user_id", "event_type")
 
 
-@query("""SELECT event_id, list_filter([CASE WHEN NOT coalesce(value >= 10, false) THEN 'value' END, CASE WHEN NOT coalesce(event_type <> 'view', false) THEN 'type' END], lambda x: x IS NOT NULL)::VARCHAR AS broken
-FROM events WHERE NOT coalesce(value >= 10, false) OR NOT coalesce(event_type <> 'view', false)""")
+@query(f"""WITH {_ITEMS}, c AS (SELECT candidate_id, CASE WHEN label % 5 = 4 THEN label ELSE label - 1 END AS source_layer, label AS target_layer, CASE WHEN label > 1 THEN method END AS source_method, CASE WHEN label = 3 THEN 'web' ELSE 'trad' END AS source, length(text) % 3 AS edits, label = 2 AS twice, text FROM items WHERE label > 0)
+SELECT candidate_id, '[' || array_to_string(list_filter([CASE WHEN NOT (source_layer >= 0 AND target_layer > source_layer) THEN 'layer_order' END, CASE WHEN (source_layer = 0) <> (source_method IS NULL) THEN 'source_given' END, CASE WHEN source = 'web' THEN 'known_source' END, CASE WHEN edits <> 2 THEN 'edit_count' END, CASE WHEN twice THEN 'distinct_dimensions' END, CASE WHEN length(text) = 0 THEN 'text' END], lambda x: x IS NOT NULL), ', ') || ']' AS broken FROM c""")
 def rule_violations(spark, sf):
-    rules = {"value": F.col("value") >= 10, "type": F.col("event_type") != "view"}
-    out = lineage.coded(_t(spark, sf, "events"), rules).where(F.size("violations") > 0)
-    return out.select("event_id", F.concat(F.lit("["), F.array_join("violations", ", "), F.lit("]")).alias("broken"))
+    label = F.col("label")
+    c = items(spark, sf).where("label > 0").select("candidate_id", F.when(label % 5 == 4, label).otherwise(label - 1).alias("source_layer"), label.alias("target_layer"), F.when(label > 1, F.col("method")).alias("source_method"), F.when(label == 3, "web").otherwise("trad").alias("perturbation_source"), (F.length("text") % 3).alias("edit_count"), F.array(F.lit("a"), F.lit("b")).alias("perturbation_edits"), F.when(label == 2, F.array(F.lit("x"), F.lit("x"))).otherwise(F.array(F.lit("x"))).alias("target_dimensions"), "text")
+    out = lineage.coded(c, lineage.candidate_rules())
+    return out.select("candidate_id", F.concat(F.lit("["), F.array_join("violations", ", "), F.lit("]")).alias("broken"))
 
 
 @query("SELECT l.doc_id, 'left' AS side FROM (SELECT DISTINCT doc_id FROM documents) l ANTI JOIN labels USING (doc_id) UNION ALL SELECT l.doc_id, 'right' FROM (SELECT DISTINCT doc_id FROM labels) l ANTI JOIN documents USING (doc_id)")
@@ -111,8 +112,7 @@ def noop_candidates(spark, sf):
 @query("SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")
 def complete_case(spark, sf):
     e = _t(spark, sf, "events")
-    kinds = [r[0] for r in e.select("event_type").distinct().collect()]  # a fixed set of five
-    return splitting.complete_cases({k: e.where(F.col("event_type") == k) for k in kinds}, "user_id")
+    return splitting.complete_groups(e, "event_type", "user_id")
 
 
 @query("SELECT doc_id, CAST(least(9, floor(i * 10 / n)) AS INTEGER) AS bucket FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)")
@@ -191,7 +191,7 @@ SELECT (SELECT count(*) FROM r) AS n_rows, (SELECT count(*) FROM r WHERE tgt = '
 (SELECT round(avg(length(src)), 6) FROM r) AS mean_chars, CAST(max(length(src)) AS INTEGER) AS max_chars FROM s""")
 def labelled_audit(spark, sf):
     c = _t(spark, sf, "conversations").select(F.col("text").alias("src"), F.when(F.col("turn") % 2 == 0, "Yes").otherwise("No").alias("tgt"))
-    return importing.labelled_audit(c, "src", "tgt").withColumn("mean_chars", F.round("mean_chars", 6))
+    return importing.labelled_audit(c, "src", "tgt").withColumn("mean_chars", F.round("mean_chars", 6)).drop("rows_hash")
 
 
 _JUDGED = """CASE turn WHEN 0 THEN '{"score": ' || (conv_id % 7) || '}' WHEN 1 THEN '```json' || chr(10) || '{"score": 3.5, "why": "x"}' || chr(10) || '```' WHEN 2 THEN '<think>score: 1</think> Score: 4' WHEN 3 THEN 'I say {"score": "2"} here' WHEN 4 THEN 'nothing' ELSE 'score = 9.25 of 10' END"""
@@ -245,12 +245,16 @@ def swap_layer(spark, sf):
     return edits.edited(_t(spark, sf, "documents"), "swap", F.col("doc_id")).select("doc_id", F.col("edited").alias("text"))
 
 
-@query()
+@query(f"""{_TOK}, s AS (SELECT *, least(n, greatest(2, {_SPAN("'shuffle-length'")})) AS k FROM n), t AS (SELECT *, {_h("'shuffle-start'", 'doc_id')} % greatest(n - k + 1, 1) AS a FROM s),
+o AS (SELECT doc_id, n, array_to_string(w, ' ') AS was, array_to_string(list_concat(list_concat(w[1:a], list_transform(list_sort(list_transform(w[a + 1:a + k], lambda x, i: {{'k': md5('shuffle:' || (i - 1) || ':' || doc_id), 'w': x}})), lambda x: x.w)), w[a + k + 1:]), ' ') AS text FROM t)
+SELECT doc_id, CASE WHEN n > 1 AND text <> was THEN text END AS text FROM o""")
 def shuffle_layer(spark, sf):
     return edits.edited(_t(spark, sf, "documents"), "shuffle", F.col("doc_id")).select("doc_id", F.col("edited").alias("text"))
 
 
-@query()
+@query(f"""{_TOK}, l AS (SELECT *, list_filter(range(1, n + 1), lambda i: regexp_matches(w[i], '\\p{{L}}{{4}}')) AS l FROM n), p AS (SELECT *, l[{_h("'typo-word'", 'doc_id')} % greatest(len(l), 1) + 1] AS i FROM l), q AS (SELECT *, w[i] AS x, {_h("'typo-kind'", 'doc_id')} % 3 AS kind FROM p),
+r AS (SELECT *, {_h("'typo-place'", 'doc_id')} % greatest(length(x) - 1, 1) + 1 AS a FROM q), c AS (SELECT *, CASE kind WHEN 0 THEN substring(x, 1, a - 1) || substring(x, a + 1) WHEN 1 THEN substring(x, 1, a) || substring(x, a, 1) || substring(x, a + 1) ELSE substring(x, 1, a - 1) || substring(x, a + 1, 1) || substring(x, a, 1) || substring(x, a + 2) END AS y FROM r)
+SELECT doc_id, CASE WHEN len(l) > 0 AND x <> y THEN array_to_string(list_concat(list_concat(w[1:i - 1], [y]), w[i + 1:]), ' ') END AS text FROM c""")
 def typo_layer(spark, sf):
     return edits.edited(_t(spark, sf, "documents"), "typo", F.col("doc_id")).select("doc_id", F.col("edited").alias("text"))
 
@@ -524,7 +528,9 @@ def regression_losses(spark, sf):
     return metrics.regression_loss(e, ["event_type"], "t", "value").withColumn("loss", F.round("loss", 9))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 50 AS run, event_id AS step, CAST(value AS DOUBLE) AS m, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS k FROM events WHERE isfinite(value)),
+f AS (SELECT run, k, m AS best, step AS best_step, 0 AS bad, CAST(NULL AS BIGINT) AS stop FROM e WHERE k = 1 UNION ALL SELECT e.run, e.k, CASE WHEN e.m > f.best THEN e.m ELSE f.best END, CASE WHEN e.m > f.best THEN e.step ELSE f.best_step END, CASE WHEN e.m > f.best THEN 0 ELSE f.bad + 1 END, CASE WHEN e.m <= f.best AND f.bad + 1 >= 5 THEN e.step END
+FROM f JOIN e ON e.run = f.run AND e.k = f.k + 1 WHERE f.stop IS NULL) SELECT run, arg_max(best, k) AS best, arg_max(best_step, k) AS best_step, max(stop) AS stop_step FROM f GROUP BY run""")
 def early_stopping(spark, sf):
     e = _t(spark, sf, "events").select((F.col("user_id") % 50).alias("run"), F.col("event_id").alias("step"), "value")
     return metrics.early_stops(e, ["run"], "step", "value", 5)
@@ -554,16 +560,20 @@ def mean_of_annotators(spark, sf):
     return e.select("vec_id", F.size(benchmarks.finite_scores("embedding")).alias("n_valid"), F.round(benchmarks.mean_score("embedding"), 6).alias("mean"))
 
 
-@query(f"SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON {_norm('d.text')} = {_norm('b.text')}")
+@query(f"""SELECT DISTINCT a.conv_id, b.conv_id AS other FROM conversations a JOIN conversations b ON {_norm('a.text')} = {_norm('b.text')} WHERE a.conv_id % 10 = 0 AND b.conv_id % 10 <> 0
+UNION SELECT d.doc_id, -b.item_id FROM documents d JOIN benchmark b ON {_norm('d.text')} = {_norm('b.text')}""")
 def benchmark_overlap(spark, sf):
     key = F.sha2(text.normalized("text"), 256).alias("k")
-    d, b = _t(spark, sf, "documents").select("doc_id", key), _t(spark, sf, "benchmark").select("item_id", key)
-    return d.join(b, "k").select("doc_id", "item_id").distinct()
+    c = _t(spark, sf, "conversations").select("conv_id", key)
+    turns = c.where("conv_id % 10 = 0").join(c.where("conv_id % 10 != 0").select(F.col("conv_id").alias("other"), "k"), "k").select("conv_id", "other")
+    d, b = _t(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), key), _t(spark, sf, "benchmark").select((-F.col("item_id")).alias("other"), key)
+    return turns.unionByName(d.join(b, "k").select("conv_id", "other")).distinct()
 
 
-@query("SELECT user_id, avg(CASE WHEN isfinite(value) THEN value END) IS NOT NULL AND count(*) FILTER (isfinite(value)) = 10 AS complete, CAST(count(*) FILTER (isfinite(value)) AS BIGINT) AS n_valid FROM events GROUP BY user_id")
+@query("""SELECT user_id, CASE WHEN n = 3 THEN round(s / 3, 9) END AS mean, n AS n_valid FROM (SELECT user_id, count(*) AS n, sum(value) AS s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 3 GROUP BY user_id)""")
 def judge_sample_means(spark, sf):
-    return scoring.mean_of_samples(_t(spark, sf, "events"), ["user_id"], "value", 10).select("user_id", F.col("mean").isNotNull().alias("complete"), "n_valid")
+    first = metrics.running_sum(_t(spark, sf, "events"), ["user_id"], [F.col("event_id")], F.lit(1), "k").where("k < 3")
+    return scoring.mean_of_samples(first, ["user_id"], "value", 3).select("user_id", F.round("mean", 9).alias("mean"), "n_valid")
 
 
 @query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k <= 25")

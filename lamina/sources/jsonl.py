@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StructType
 
-from lamina.functions.ordering import numbered
+from lamina.functions.ordering import numbered, running_sum, written
 from lamina.functions.text import finite
 from lamina.operators.lineage import duplicates, enforce
 
@@ -28,11 +29,74 @@ def malformed(lines: DataFrame) -> DataFrame:
 
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their numbers (from 1) as the files have them. Each file's lines come
-    from one split of the whole file, so files should be of a size that fits a task."""
+    """Lines of text files with their numbers (from 1) as the files have them: file, line, value. Files are read
+    in blocks; within a block lines have rising ids, and blocks stand in the order of their places, so a
+    large file is read and numbered by many tasks."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), "value", F.monotonically_increasing_id().alias("__id")]
+    rows = written(spark.read.text(path).select(*at), "lines")
+    return running_sum(rows, ["file"], [F.col("__block"), F.col("__id")], F.lit(1), "__k").select("file", (F.col("__k") + 1).alias("line"), "value")
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files of JSON: file and record (null where malformed). A file is one value, so it fits in a task."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = rows.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "value"))
-    return lines.withColumn("line", F.col("line") + 1)
+    return rows.select("file", F.try_parse_json("value").alias("record"))
+
+
+def entries(files: DataFrame) -> DataFrame:
+    """The elements of JSON files that hold a list, or the values of those that hold an object: file, at (from 0)
+    and entry. Anything else is an error."""
+    record = F.col("record")
+    kind = F.schema_of_variant(record)
+    ok = F.coalesce(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(False))
+    checked = F.when(ok, record).otherwise(F.raise_error(F.concat(F.lit("neither a list nor an object: "), F.col("file"))))
+    return files.select("file", checked.alias("v")).lateralJoin(files.sparkSession.tvf.variant_explode(F.col("v").outer())).select("file", F.col("pos").alias("at"), F.col("value").alias("entry"))
+
+
+def path_part(name: str) -> str:
+    """A name that may be a folder's; separators and dots alone are refused."""
+    if not name or any(c in name for c in "/\\=") or name in (".", ".."):
+        raise ValueError(f"no name for a folder: {name!r}")
+    return name
+
+
+def read_originals(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """The originals of a JSON lines file, after all its rows are sound, their ids distinct, and there is one."""
+    rows = written(originals(read_lines(spark, path), dataset), "originals")
+    enforce(rows.where("fault is not null").select("base_text_id", "fault"), "originals are sound")
+    enforce(duplicates(rows, "base_text_id"), "originals have ids of their own")
+    if rows.isEmpty():
+        raise ValueError("there are no originals")
+    return rows.drop("fault")
+
+
+def write_originals(rows: DataFrame, path: str) -> None:
+    """Originals (dataset_name, base_text_id, text) as JSON lines: of one dataset, with ids of their own and texts."""
+    enforce(duplicates(rows, "base_text_id"), "originals have ids of their own")
+    enforce(rows.where("coalesce(base_text_id, '') = '' or coalesce(text, '') = ''").select("base_text_id"), "originals have ids and texts")
+    if rows.select("dataset_name").distinct().limit(2).count() != 1:
+        raise ValueError("originals are of one dataset")
+    write_jsonl(rows, path)
+
+
+def read_scores(spark: SparkSession, root: str, methods: list[str] | None = None, runs: list[str] | None = None) -> DataFrame:
+    """Score rows below root/scoring_method=.../scoring_run_id=.../scores, errors left out. Only the folders asked
+    for are read. Rows are to be sound, to name the method and run of their folder, and to score a candidate
+    once in a run."""
+    part = lambda wanted: "*" if wanted is None else "{" + ",".join(map(path_part, wanted)) + "}"
+    lines = read_lines(spark, f"{root}/scoring_method={part(methods)}/scoring_run_id={part(runs)}/scores")
+    of = lambda key: F.url_decode(F.regexp_extract("file", f"/{key}=([^/]+)/", 1))
+    rows = scores(lines.withColumns({"__m": of("scoring_method"), "__r": of("scoring_run_id")}), ["__m", "__r"])
+    rows = written(rows, "scores")
+    enforce(rows.where("fault is not null"), "scores are sound")
+    enforce(rows.where("scoring_method != __m or scoring_run_id != __r"), "scores are of their folder's method and run")
+    enforce(duplicates(rows, "candidate_id", "scoring_method", "scoring_run_id"), "a run scores a candidate once")
+    return rows.drop("fault", "__m", "__r")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """file, bytes and sha256 of whole files (of a size that fits a task)."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def identifier(record, key: str):
@@ -51,22 +115,46 @@ def originals(lines: DataFrame, dataset: str) -> DataFrame:
     return lines.select(F.lit(dataset).alias("dataset_name"), F.coalesce(a, b).alias("base_text_id"), text.alias("text"), F.to_json("record").alias("metadata"), fault.alias("fault"))
 
 
-def scores(lines: DataFrame) -> DataFrame:
-    """candidate_id, scoring_method, scoring_run_id, score_value and fault."""
+def scores(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """candidate_id, scoring_method, scoring_run_id, score_value and fault, and columns of lines to keep."""
     get = lambda k, t="string": F.try_variant_get("record", f"$.{k}", t)
-    rows = lines.select(identifier(F.col("record"), "candidate_id").alias("candidate_id"), get("scoring_method").alias("scoring_method"), get("scoring_run_id").alias("scoring_run_id"), get("score_value", "double").alias("score_value"), "record")
+    rows = lines.select(identifier(F.col("record"), "candidate_id").alias("candidate_id"), get("scoring_method").alias("scoring_method"), get("scoring_run_id").alias("scoring_run_id"), get("score_value", "double").alias("score_value"), "record", *(keep or []))
     fault = F.when(F.col("record").isNull(), "malformed").when(F.col("candidate_id").isNull() | F.col("scoring_method").isNull() | F.col("scoring_run_id").isNull(), "incomplete").when(~finite("score_value"), "not_finite")
     return rows.withColumn("fault", fault).drop("record")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines with sorted keys, each row's nulls kept. Refuses a path that exists."""
+    """JSON lines with sorted keys, each row's nulls kept. Refuses a path that exists, and numbers that JSON
+    doesn't have."""
+    for c, t in df.dtypes:
+        if t in ("double", "float"):
+            df = df.withColumn(c, F.when(F.col(c).isNull() | finite(c), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} isn't finite")).cast(t)))
     df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(path)
 
 
 def finite_only(df: DataFrame) -> DataFrame:
-    """df with null for NaN and infinite numbers."""
-    return df.withColumns({c: F.when(finite(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
+    """df with null for NaN and infinite numbers, in structs and arrays as well."""
+
+    def clean(x: Column, kind: DataType) -> Column:
+        if isinstance(kind, DoubleType | FloatType):
+            return F.when(finite(x), x)
+        if isinstance(kind, ArrayType):
+            return F.transform(x, lambda e: clean(e, kind.elementType))
+        if isinstance(kind, StructType):
+            return F.when(x.isNotNull(), F.struct(*[clean(x[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        return x
+
+    return df.select(*[clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def append_results(df: DataFrame, path: str) -> None:
+    """Result rows as JSON lines, added to those that are there, without NaN and infinite numbers."""
+    finite_only(df).select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
+
+
+def write_table(df: DataFrame, path: str, order: list[str]) -> None:
+    """A small result as one CSV file with a header, rows in a given order."""
+    df.orderBy(*order).coalesce(1).write.mode("errorifexists").csv(path, header=True)
 
 
 class Layers:
@@ -96,16 +184,22 @@ class Layers:
                 rows = rows.where(F.col(column).isin(wanted))
         return rows
 
+    def get(self, method: str, run_id: str, layer: int) -> DataFrame:
+        """The rows of one layer; LookupError if there is none."""
+        return self.read([method], [run_id], [layer])
+
     def write(self, rows: DataFrame, method: str, run_id: str, layer: int, created_at_utc: str, source_layer: int = 0, source_method: str | None = None, source_run_id: str | None = None, config: dict | None = None, input_count: int | None = None) -> None:
         """A new snapshot of a layer; the former one stays on disk."""
         for part in (method, run_id):
-            if not part or "/" in part or part in (".", ".."):
-                raise ValueError(f"no name for a folder: {part!r}")
+            path_part(part)
+        for column, own in (("perturbation_method", method), ("run_id", run_id), ("target_layer", layer)):
+            if column in rows.columns:
+                enforce(rows.where(~F.col(column).eqNullSafe(F.lit(own))).select("candidate_id", column), "candidates are of their layer")
         if (source_layer == 0) != (source_method is None) or layer <= source_layer:
             raise ValueError("the source doesn't fit the layer")
         snapshot = uuid.uuid4().hex
         path = f"{self.root}/layers/method={method}/run_id={run_id}/target_layer={layer}/snapshot={snapshot}"
-        rows.write.parquet(path)
+        rows.drop(*self.KEY).write.parquet(path)
         back = self.spark.read.parquet(path)
         enforce(duplicates(back, "candidate_id"), "candidate ids are unique in a layer")
         n = back.count()
@@ -115,6 +209,9 @@ class Layers:
     def read(self, methods: list[str] | None = None, runs: list[str] | None = None, layers: list[int] | None = None) -> DataFrame:
         """Rows of the layers that fit, with their partition columns; only their folders are read."""
         keys = [tuple(r) for r in self.catalog(methods, runs, layers).select(*self.KEY, "snapshot").collect()]  # a row for each layer
+        for k, wanted in enumerate((methods, runs, layers)):
+            if lacking := sorted(set(wanted or []) - {key[k] for key in keys}):
+                raise LookupError(f"no layer with {self.KEY[k]} {lacking}")
         if not keys:
             raise LookupError("no such layer")
         paths = [f"{self.root}/layers/method={m}/run_id={r}/target_layer={n}/snapshot={s}" for m, r, n, s in keys]

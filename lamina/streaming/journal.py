@@ -16,20 +16,55 @@ def fingerprint(items: DataFrame, settings: dict[str, str], id_col: str, text_co
     return r[0]
 
 
-def run_journaled(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], files_per_batch: int = 1) -> None:
-    """Reads new files of `source` (parquet), works on each micro-batch and writes it as batch=<id>.
+JOURNAL = "batch int, n_rows long, fingerprint string"
 
-    A batch that is repeated after a failure overwrites its own folder, so each is there once. All that
-    is there is worked off and the run ends; the next one takes only files that came since.
+
+class Changed(ValueError):
+    """A run was resumed with other settings or inputs than it began with."""
+
+
+def run_journaled(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], files_per_batch: int = 1, fingerprint: str = "") -> None:
+    """Reads new files of `source` (parquet), works on each micro-batch and writes it as out/rows/batch=<id>,
+    then its row of out/journal (batch, n_rows, fingerprint).
+
+    A batch that is repeated after a failure overwrites its own folders, so each is there once. All that
+    is there is worked off and the run ends; the next one takes only files that came since. It is refused
+    where the journal has another fingerprint or lacks a batch. Empty batches have a journal row as well.
     """
+    known = read_journal(spark, out)
+    if known.where(F.col("fingerprint") != fingerprint).limit(1).count():
+        raise Changed("the journal is of a run with other settings or inputs")
+    if gaps := [r["batch"] for r in missing_batches(known, "batch").limit(5).collect()]:
+        raise ValueError(f"the journal lacks batches {gaps}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def batch(df: DataFrame, n: int) -> None:
-        work(df).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        path = f"{out}/rows/batch={n}"
+        work(df).write.mode("overwrite").parquet(path)
+        rows = df.sparkSession.read.parquet(path).agg(F.count("*").alias("n_rows"))
+        rows.select("n_rows", F.lit(fingerprint).alias("fingerprint")).coalesce(1).write.mode("overwrite").parquet(f"{out}/journal/batch={n}")
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def read_journal(spark: SparkSession, out: str) -> DataFrame:
+    """The journal's rows; none where nothing has run yet."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{out}/journal")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], JOURNAL)
+    return spark.read.schema(JOURNAL).parquet(f"{out}/journal")
+
+
+def run_summary(journal: DataFrame, attempts: DataFrame, items: DataFrame, id_col: str, ok: str) -> DataFrame:
+    """One row: n_inputs, n_attempted, n_ready, n_failed, complete (all attempted), all_ready and n_batches.
+    attempts: the folded state, with a boolean column `ok`."""
+    state = items.select(id_col).distinct().join(attempts.select(id_col, F.col(ok).alias("__ok")), id_col, "left")
+    counts = state.agg(F.count("*").alias("n_inputs"), F.count("__ok").alias("n_attempted"), F.count_if("__ok").alias("n_ready"), F.count_if(~F.col("__ok")).alias("n_failed"))
+    counts = counts.withColumns({"complete": F.col("n_attempted") == F.col("n_inputs"), "all_ready": F.col("n_ready") == F.col("n_inputs")})
+    return counts.crossJoin(F.broadcast(journal.agg(F.count("*").alias("n_batches"))))
+
+
 def folded(attempts: DataFrame, by: list[str], order: list[str], ok: str) -> DataFrame:
     """Each item's state over its attempts: the newest success, else the newest failure, with n_attempts.
     A success is never undone by a later failure."""

@@ -30,7 +30,7 @@ def test_white_space_is_that_of_python(spark):
 def test_judge_scores(spark):
     cases = {'{"score": 4}': 4, '```json\n{"score": "2"}\n```': 2, "<think>score: 1</think>\nScore: 3.5": 3.5, 'x {"score": 9} y': 5, '{"why": "he said "no"", "score": 2}': 2, "none": None, None: None, '{"why": 1}': None, '{"score": "NaN"}': None, "score=-3": 1}
     assert run(spark, list(cases), text.judge_score) == list(cases.values())
-    assert run(spark, ["[RESULT] 3", "Rating: 4.", "<think>Rating: 1</think>", "Rating: 9", None], text.rating) == [3, 4, None, None, None]
+    assert run(spark, ["[RESULT] 3", "Rating: 4.", "<think>Rating: 1</think>", "Rating: 9", None, "Rating : 4", "RESULT: 4", "[ result ]:2", "results 3"], text.rating) == [3, 4, None, None, None, 4, 4, 2, None]
     assert run(spark, ["Yes", "no.", "so\nYES!", "<think>No</think> it is yes or no", "", None, "maybe"], text.yes_no) == ["Yes", "No", "Yes", "No", "INVALID", "INVALID", "INVALID"]
 
 
@@ -42,6 +42,7 @@ def test_assessments(spark):
 def test_small_text_functions(spark):
     assert run(spark, ["Hello, World!", "--", "x" * 60], text.slug) == ["Hello-World", "value", "x" * 40]
     assert run(spark, ["abcdef", "ab"], lambda c: text.shortened(c, 3, "~")) == ["abc~", "ab"]
+    assert run(spark, ["abcdef"], lambda c: text.shortened(c, 3)) == ["abc\n\n[TRUNCATED]"]
     assert run(spark, ["English", "de-AT", "xx", None], text.language_code) == ["eng", "deu", None, None]
     assert run(spark, [".", "b", "", None], lambda c: text.joined(F.lit("a "), c)) == ["a.", "a b", "a", "a"]
     assert run(spark, ["1.5", " 2 ", "inf", "x", None], text.number) == [1.5, 2.0, None, None, None]
@@ -222,7 +223,7 @@ def test_layers(spark, tmp_path):
 def test_conllu(spark, tmp_path):
     (tmp_path / "x.conllu").write_text("# newdoc id = news-1\n# meta::title = T\n# text = T\n1\tT\n\n# text = Second one.\n# newdoc id = web-2\n# meta::genre = blog\n# text = Alone\n")
     lines = jsonl.read_numbered_lines(spark, str(tmp_path / "x.conllu"))
-    got = {r["doc_id"]: (r["genre"], r["title"], r["text"], r["n_sentences"]) for r in benchmarks.conllu_documents(lines, drop_title=True).collect()}
+    got = {r["doc_id"]: (r["genre"], r["title"], r["text"], r["n_sentences"]) for r in benchmarks.conllu_documents(lines, "drop").collect()}
     assert got == {"news-1": ("news", "T", "Second one.", 1), "web-2": ("blog", None, "Alone", 1)}
 
 
@@ -241,13 +242,20 @@ def test_benchmark_records(spark):
 
 def test_journal(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    spark.range(5).write.parquet(source)
-    work = lambda df: df.withColumn("twice", F.col("id") * 2)
-    journal.run_journaled(spark, source, "id long", out, state, work)
-    spark.range(5, 8).write.mode("append").parquet(source)
-    journal.run_journaled(spark, source, "id long", out, state, work)
-    rows = spark.read.parquet(out)
-    assert sorted(r["twice"] for r in rows.collect()) == [2 * i for i in range(8)]
-    assert journal.missing_batches(rows, "batch").count() == 0
+    spark.range(5).repartition(3).write.parquet(source)
+    work = lambda df: df.where("id != 6").withColumn("twice", F.col("id") * 2)
+    journal.run_journaled(spark, source, "id long", out, state, work, fingerprint="a")
+    spark.range(5, 8).repartition(3).write.mode("append").parquet(source)
+    journal.run_journaled(spark, source, "id long", out, state, work, fingerprint="a")
+    rows, log = spark.read.parquet(f"{out}/rows"), journal.read_journal(spark, out)
+    assert sorted(r["twice"] for r in rows.collect()) == [0, 2, 4, 6, 8, 10, 14]
+    # a batch without rows (id 6 alone) has a row of the journal, so it is no gap
+    assert journal.missing_batches(log, "batch").count() == 0 and log.agg(F.sum("n_rows")).first()[0] == 7
+    assert [r["batch"] for r in journal.missing_batches(log.where("batch != 1"), "batch").collect()] == [1]
+    with pytest.raises(journal.Changed):
+        journal.run_journaled(spark, source, "id long", out, state, work, fingerprint="b")
+    done = spark.createDataFrame([(0, True), (1, False)], "id long, ok boolean")
+    (s,) = journal.run_summary(log, done, spark.range(3), "id", "ok").collect()
+    assert (s["n_inputs"], s["n_attempted"], s["n_ready"], s["n_failed"], s["complete"], s["n_batches"]) == (3, 2, 1, 1, False, log.count())
     df = spark.createDataFrame([("a", "x"), ("b", None)], "id string, text string")
     assert journal.fingerprint(df, {"k": "1"}, "id", "text") == journal.fingerprint(df.orderBy(F.desc("id")), {"k": "1"}, "id", "text") != journal.fingerprint(df, {"k": "2"}, "id", "text")
