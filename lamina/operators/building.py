@@ -121,6 +121,7 @@ def training_set(items: DataFrame, assignments: DataFrame, scores: DataFrame | N
         raise BuildError("the regression form needs a score")
     lineage.enforce(lineage.orphans(items), "parents exist")
     lineage.enforce(lineage.foreign_parents(items), "parents are of the same source")
+    lineage.enforce(split_faults(assignments, items), "assignments are of known sources, once each")
     names: list[str] = []
     if scores is not None:
         own = scores if score_names is None else scores.where(F.col("scoring_method").isin(score_names))
@@ -134,7 +135,6 @@ def training_set(items: DataFrame, assignments: DataFrame, scores: DataFrame | N
             items = scoring.eligible_chains(items, score_names, list(composing.CHAIN))
     elif score_names:
         raise BuildError("no scores are given")
-    lineage.enforce(split_faults(assignments, items), "assignments are of known sources, once each")
     rows = written(items.join(assignments.select("base_text_id", "split"), "base_text_id"), "split-items")
     lineage.enforce(lineage.leaks(rows, list(composing.CHAIN)), "a source is in one split")
     rows = composing.compose(rows, composition, weights, per_source, seed)
@@ -144,7 +144,7 @@ def training_set(items: DataFrame, assignments: DataFrame, scores: DataFrame | N
         out = rows
     if form == "grouped":
         if pair_policy != "none":
-            sides = [out.select("split", F.col(f"dataset_name"), "pair_id", "sources", *[F.col(f"{s}_{c}").alias(c) for c in ("candidate_id", "text", "label", "method", "parent_candidate_id")]) for s in ("left", "right")]
+            sides = [out.select("split", "dataset_name", "pair_id", "sources", *[F.col(f"{s}_{c}").alias(c) for c in ("candidate_id", "text", "label", "method", "parent_candidate_id")]) for s in ("left", "right")]
             out = shuffled_chains(sides[0].unionByName(sides[1]).withColumn("base_text_id", F.lit(None).cast("string")).withColumnRenamed("pair_id", "__chain").withColumnRenamed("sources", "__sources"), F.col("__chain"), F.col("__sources"), [], seed)
         else:
             out = shuffled_chains(out, F.concat_ws(":", *composing.CHAIN), F.array("base_text_id"), names, seed)
