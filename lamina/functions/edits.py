@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import erf, sqrt
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,19 +127,15 @@ def drawn_edit_count(text: Column | str, *key) -> Column:
 
 def word_spans(text: Column | str) -> Column:
     """Words of letters, with marks and inner apostrophes, as an array of struct(start, end, word); places
-    are code points from 0, `end` is after the word."""
-    t = text if isinstance(text, Column) else F.col(text)
-    words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
-    gaps = F.split(t, WORD, -1)
-    first = F.array().cast("array<struct<start:int,end:int,word:string>>")
-    end = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
+    are code points from 0, `end` is after the word. No expression has the places of all matches in linear
+    time, so this is a pandas function."""
+    find = regex.compile(WORD).finditer
 
-    def add(acc: Column, x: Column) -> Column:
-        start = end(acc) + F.length(x["gap"])
-        return F.array_append(acc, F.struct(start.alias("start"), (start + F.length(x["word"])).alias("end"), x["word"].alias("word")))
+    @F.pandas_udf("array<struct<start:int,end:int,word:string>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": m.start(), "end": m.end(), "word": m[0]} for m in find(t)] if isinstance(t, str) else None)
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
-    return F.aggregate(pairs, first, add)
+    return spans(text if isinstance(text, Column) else F.col(text))
 
 
 def focused(spans: Column, start: Column, end: Column, radius: Column | int = 0) -> Column:
@@ -155,6 +153,13 @@ def focused(spans: Column, start: Column, end: Column, radius: Column | int = 0)
     return F.when(start.isNull() & end.isNull(), spans).otherwise(some)
 
 
+def replaced(text: Column, spans: Column) -> Column:
+    """text with new words at some places: spans is an array of struct(start, end, word), places from 0 in the text as
+    it is, without overlaps, in any order. Later places are replaced first, so the others stay where they are."""
+    late = F.reverse(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["word"].alias("word")))))
+    return F.aggregate(late, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), s["word"], F.substring(t, s["end"] + 1, F.length(t))))
+
+
 def case_like(word: Column, model: Column) -> Column:
     """word in the case of another: all capitals (of more than one letter), a first capital, or as it is."""
     return F.when((model == F.upper(model)) & (model != F.lower(model)) & (F.length(model) > 1), F.upper(word)).when(F.left(model, F.lit(1)) != F.lower(F.left(model, F.lit(1))), F.concat(F.upper(F.left(word, F.lit(1))), F.substring(word, F.lit(2), F.length(word)))).otherwise(word)

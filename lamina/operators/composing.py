@@ -26,6 +26,11 @@ def union_items(originals: DataFrame, candidates: DataFrame) -> DataFrame:
     return base.unionByName(candidates, allowMissingColumns=True)
 
 
+def composed_order() -> list[Column]:
+    """The order of a chain's composed items: the original, then label, method and id."""
+    return [F.when(F.col("method") == "original", 0).otherwise(1), F.col("label"), F.col("method"), F.col("candidate_id")]
+
+
 def _weights(weights: dict[str, float] | None, default: float) -> Column:
     if weights is not None and (min(weights.values(), default=0) < 0 or not any(weights.values())):
         raise ValueError("weights are to be 0 or more and not all 0")

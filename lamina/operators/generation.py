@@ -85,7 +85,7 @@ def plan_faults(plan: DataFrame, catalog: DataFrame, methods: tuple[str, ...] =
     known = planned_edits(plan, catalog).groupBy("base_text_id", "method").agg(F.max(F.col("target_dimensions").isNull()).alias("__unknown"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "target_dimensions"))), lambda x: F.coalesce(x["target_dimensions"], F.array().cast("array<string>"))))).alias("__dims"))
     rows = plan.join(times, ["base_text_id", "method"], "left").join(known, ["base_text_id", "method"], "left")
     fault = F.when(F.coalesce("base_text_id", F.lit("")) == "", "no_id").when(~F.coalesce(F.col("method").isin(*methods), F.lit(False)), "method")
-    fault = fault.when(F.coalesce((F.col("edit_count") < 1) | (F.col("edit_count") != F.size("edits")), F.lit(True)), "edit_count").when(F.size(F.array_distinct("edits")) != F.size("edits"), "repeated_edit")
+    fault = fault.when(F.coalesce((F.col("edit_count") < 1) | (F.col("edit_count") != F.size("edits")) | (F.col("method") == "llm_single") & (F.col("edit_count") != 1), F.lit(True)), "edit_count").when(F.size(F.array_distinct("edits")) != F.size("edits"), "repeated_edit")
     fault = fault.when(~F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False)), "severity").when(F.col("__n") > 1, "repeated").when(F.col("__unknown"), "unknown_edit").when(F.col("__dims") != F.col("target_dimensions"), "dimensions")
     return rows.select("base_text_id", "method", fault.alias("fault")).where("fault is not null")
 
@@ -141,6 +141,26 @@ def edited_chains(rows: DataFrame, count: Column, *key, text_col: str = "text",
     return out.select(*keep, F.when(changed, F.col("__now")).alias("edited"), "applied", "audit", F.when(~F.col("__on"), "no_change").alias("reason"))
 
 
+def rule_outputs(rows: DataFrame, rules: list[str], mode: str, *key, text_col: str = "text") -> DataFrame:
+    """rows with rule, output and reason, one for each rule that changes the text (mode "all"), for the first of the
+    given rules that does ("first_success") or for one drawn from those that do ("random_success"). A row that no
+    rule changes stays once, without a rule and with the reason "no_verified_edit". The modes that take one pick it
+    within the row, so nothing is shuffled."""
+    if mode not in ("all", "first_success", "random_success"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if unknown := [r for r in rules if r not in damage.EDITS]:
+        raise ValueError(f"unknown rules {unknown}")
+    out = rows
+    for name in rules:
+        out = damage.edited(out, name, "rule", *key, text_col=text_col, name=f"__{name}")
+    draw = lambda i, name: F.lit(f"{i:06d}") if mode != "random_success" else order_key("rule-choice", *key, name)
+    tries = F.array(*[F.struct(draw(i, name).alias("draw"), F.lit(name).alias("rule"), F.col(f"__{name}").alias("output")) for i, name in enumerate(rules)])
+    hits = F.array_sort(F.filter(tries, lambda t: t["output"].isNotNull()))
+    out = out.withColumn("__hits", hits if mode == "all" else F.slice(hits, F.lit(1), F.lit(1)))
+    each = out.select(*rows.columns, F.explode_outer("__hits").alias("__h"))
+    return each.select(*rows.columns, F.col("__h.rule").alias("rule"), F.col("__h.output").alias("output"), F.when(F.col("__h").isNull(), "no_verified_edit").alias("reason"))
+
+
 # --- results ---------------------------------------------------------------------------------------
 
 

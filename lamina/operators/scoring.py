@@ -18,6 +18,23 @@ from lamina.functions.text import finite
 Scorer = Callable[[pd.DataFrame], "pd.Series | list[float]"]
 
 
+#: name -> a scorer.
+SCORERS: dict[str, Scorer] = {}
+
+
+def register_scorer(name: str, scorer: Scorer) -> None:
+    """Adds a scorer; a name is taken once."""
+    if name in SCORERS:
+        raise ValueError(f"the scorer {name!r} is there already")
+    SCORERS[name] = scorer
+
+
+def scorer(name: str) -> Scorer:
+    if name not in SCORERS:
+        raise LookupError(f"no scorer {name!r}; there are {sorted(SCORERS)}")
+    return SCORERS[name]
+
+
 def attach(items: DataFrame, scores: DataFrame, methods: list[str]) -> DataFrame:
     """items with a column for each scoring method; items without a score keep null. Scores of other
     candidates don't matter."""

@@ -139,9 +139,9 @@ def trial_comparison(spark, sf):
     return trials.compared(s, "trial", "loss", ["a", "b"]).select("trial", "loss", F.round("mean_score", 6).alias("mean_score"), "place", "best_of_loss")
 
 
-@query("SELECT doc_id, 'm' || doc_id AS model, lang AS language, CASE WHEN doc_id % 2 = 0 THEN 'clumsy_x' ELSE 'trad' END AS kind, CASE WHEN doc_id % 2 = 0 THEN '3' ELSE '5' END AS layers FROM documents")
+@query("SELECT doc_id, 'm' || doc_id AS model, lang AS language, CASE WHEN doc_id % 2 = 0 THEN 'mixed_x' ELSE 'trad' END AS kind, CASE WHEN doc_id % 2 = 0 THEN '3' ELSE '5' END AS layers FROM documents")
 def run_names(spark, sf):
-    name = F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit("_"), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, "_clumsy_x_3").otherwise("_trad"))
+    name = F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit("_"), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, "_mixed_x_3").otherwise("_trad"))
     p = trials.run_name_parts(name)
     return _t(spark, sf, "documents").select("doc_id", p["model"].alias("model"), p["language"].alias("language"), p["kind"].alias("kind"), p["layers"].alias("layers"))
 
@@ -194,3 +194,53 @@ def line_lookup(spark, sf):
     lines = d.where("doc_id < 40").select(name(F.expr("doc_id div 20")).alias("file"), (F.col("doc_id") % 20 + 1).alias("line"), F.concat("lang", F.col("doc_id").cast("string")).alias("value"))
     rows = d.select("doc_id", name(F.col("doc_id") % 3).alias("f"), (F.col("doc_id") % 20 + 1).alias("n"))
     return benchmarks.line_lookup(rows, lines, "f", "n").select("doc_id", "text")
+
+
+@query("SELECT 's:' || conv_id || ':' || turn || ':' || a AS id, CAST(v AS DOUBLE) AS human_score FROM (SELECT conv_id, turn, text, 'length' AS a, length(text) AS v FROM conversations UNION ALL SELECT conv_id, turn, text, 'turn', turn FROM conversations) WHERE trim(coalesce(text, '')) <> ''")
+def zipped_list_records(spark, sf):
+    c = _t(spark, sf, "conversations").withColumn("t", F.coalesce("text", F.lit("")))
+    packed = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "t"))).alias("p"))
+    lists = packed.select("conv_id", F.transform("p", lambda x: x["t"]).alias("texts"), F.transform("p", lambda x: F.length(x["t"]).cast("double")).alias("length"), F.transform("p", lambda x: x["turn"].cast("double")).alias("turns"))
+    return benchmarks.zipped_lists(lists, "conv_id", "texts", {"length": "length", "turn": "turns"}, "S", "s").select("id", "human_score")
+
+
+@query("SELECT 'e:' || doc_id || ':' || s || ':' || a AS id, CAST(v AS DOUBLE) AS human_score FROM (SELECT doc_id, 'lang' AS s, lang AS t, 'long' AS a, n_chars AS v FROM documents UNION ALL SELECT doc_id, 'lang', lang, 'odd', doc_id % 2 FROM documents UNION ALL SELECT doc_id, 'source', source, 'long', n_chars FROM documents) WHERE trim(coalesce(t, '')) <> ''")
+def wide_essay_records(spark, sf):
+    d = _t(spark, sf, "documents").withColumn("odd", F.col("doc_id") % 2)
+    return benchmarks.wide_essays(d, "doc_id", {"lang": {"long": "n_chars", "odd": "odd"}, "source": {"long": "n_chars"}}, "E", "e").select("id", "human_score")
+
+
+@query("""WITH x AS (SELECT doc_id, lang AS s, unnest([source, lang, '', NULL]) AS c FROM documents) SELECT CAST(doc_id AS VARCHAR) AS source_id, trim(c) AS preferred_text, trim(s) AS dispreferred_text FROM x WHERE trim(coalesce(c, '')) <> '' AND trim(coalesce(s, '')) <> '' AND trim(c) <> trim(s)""")
+def correction_preferences(spark, sf):
+    d = _t(spark, sf, "documents").withColumn("fixes", F.array("source", "lang", F.lit(""), F.lit(None).cast("string")))
+    return benchmarks.corrections(d, "doc_id", "lang", "fixes")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS source_id, CASE doc_id % 3 WHEN 1 THEN source ELSE lang END AS preferred_text, CASE doc_id % 3 WHEN 1 THEN lang ELSE source END AS dispreferred_text, doc_id % 3 = 2 AS tie FROM documents")
+def choice_preferences(spark, sf):
+    pick = F.when(F.col("doc_id") % 3 == 0, "A is better").when(F.col("doc_id") % 3 == 1, " b wins").otherwise("Equally good")
+    return benchmarks.choices(_t(spark, sf, "documents").withColumn("pick", pick), "doc_id", "lang", "source", "pick")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS source_id, 'Once. ' || lang AS preferred_text, 'Once.!' AS dispreferred_text FROM documents WHERE trim(coalesce(lang, '')) <> ''")
+def story_preferences(spark, sf):
+    d = _t(spark, sf, "documents").where("trim(lang) != ''").withColumns({"c": F.lit("Once. "), "wrong": F.lit("!")})
+    return benchmarks.stories(d, "doc_id", "c", "lang", "wrong")
+
+
+@query("SELECT user_id AS segment, CAST(max(CASE WHEN event_type = 'view' THEN v END) AS DOUBLE) AS view, CAST(max(CASE WHEN event_type = 'click' THEN v END) AS DOUBLE) AS click FROM (SELECT user_id, event_type, round(-avg(value), 6) AS v FROM events GROUP BY 1, 2) GROUP BY user_id")
+def score_matrix(spark, sf):
+    e = benchmarks.negated(_t(spark, sf, "events"), "value")
+    out = benchmarks.score_matrix(e, "event_type", "user_id", "value", ["view", "click"])
+    return out.select(F.col("user_id").alias("segment"), F.round("view", 6).alias("view"), F.round("click", 6).alias("click"))
+
+
+@query("SELECT DISTINCT lang AS name, 'better' AS value FROM documents WHERE lang IS NOT NULL")
+def registered_scorers(spark, sf):
+    from lamina.operators import scoring
+
+    if "first-letter" not in scoring.SCORERS:
+        scoring.register_scorer("first-letter", _length_scorer)
+    d = _t(spark, sf, "documents").select(F.col("lang").alias("name"), F.col("lang").alias("text")).where("name is not null").distinct()
+    out = scoring.distinct_scored(d, ["text"], scoring.scorer("first-letter"))
+    return out.select("name", F.when(F.col("score_value") > 0, "better").alias("value"))

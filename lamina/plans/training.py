@@ -306,6 +306,28 @@ def word_spans(spark, sf):
     return d.select("doc_id", F.size("s").alias("n"), F.try_element_at("s", F.lit(1))["word"].alias("first"), F.try_element_at("s", F.lit(-1))["word"].alias("last"))
 
 
+@query("""WITH d AS (SELECT doc_id, regexp_extract_all(text, '\\p{L}(?:[\\p{L}\\p{M}]|[''’]\\p{L})*') AS w, text FROM documents) SELECT doc_id, CASE WHEN len(w) > 0 THEN CASE WHEN starts_with(text, w[1]) THEN '[' || w[1] || ']' || substring(text, length(w[1]) + 1) END END AS text FROM d""")
+def first_words_replaced(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", "text", edits.word_spans("text").alias("s")).withColumn("f", F.try_element_at("s", F.lit(1)))
+    new = edits.replaced(F.col("text"), F.array(F.struct(F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.concat(F.lit("["), "f.word", F.lit("]")).alias("word"))))
+    return d.select("doc_id", F.when((F.size("s") > 0) & (F.col("f.start") == 0), new).alias("text"))
+
+
+@query(f"""WITH d AS ({_TOK}), n AS (SELECT *, len(w) AS n FROM d), s AS (SELECT *, least(n, greatest(1, {_SPAN("'deletion-length'", ["'rule'", "doc_id"])})) AS k, {_h("'swap'", "'rule'", "doc_id")} % greatest(n - 1, 1) AS sa FROM n), t AS (SELECT *, {_h("'deletion-start'", "'rule'", "doc_id")} % greatest(n - k + 1, 1) AS a FROM s),
+c AS (SELECT doc_id, array_to_string(w, ' ') AS was, CASE WHEN n > k AND n > 1 THEN array_to_string(list_concat(w[1:a], w[a + k + 1:]), ' ') END AS deletion, CASE WHEN n > 1 THEN array_to_string(list_concat(list_concat(w[1:sa], [w[sa + 2], w[sa + 1]]), w[sa + 3:]), ' ') END AS swap FROM t),
+l AS (SELECT doc_id, rule, out FROM (SELECT doc_id, was, unnest(['swap', 'deletion']) AS rule, unnest([swap, deletion]) AS out FROM c) WHERE out <> was) SELECT d.doc_id, rule, out AS output, CASE WHEN rule IS NULL THEN 'no_verified_edit' END AS reason FROM d LEFT JOIN l USING (doc_id)""")
+def rule_outputs(spark, sf):
+    return generation.rule_outputs(_t(spark, sf, "documents").select("doc_id", "text"), ["swap", "deletion"], "all", F.col("doc_id")).select("doc_id", "rule", "output", "reason")
+
+
+@query(f"WITH {_ITEMS} SELECT candidate_id, row_number() OVER (PARTITION BY base_text_id ORDER BY CASE WHEN method = 'original' THEN 0 ELSE 1 END, label, method, candidate_id) AS place FROM items")
+def composed_order(spark, sf):
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy(*composing.CHAIN).orderBy(*composing.composed_order()))
+    return items(spark, sf).select("candidate_id", at.cast("long").alias("place"))
+
+
 # --- answers and prompts ---------------------------------------------------------------------------
 
 _COMPLETED = """CASE turn WHEN 0 THEN '{"text": "a\\\\nb", "applied_edits": {"e1": 2}} tail' WHEN 1 THEN '<think>x</think> done ' WHEN 2 THEN '{"text": "kept", "applied_ed' WHEN 3 THEN '{"text": "cut of' WHEN 4 THEN '<think>only' ELSE '```json' || chr(10) || '{"text": "  "}' || chr(10) || '```' END"""
@@ -363,6 +385,39 @@ def prompt_overrides(spark, sf):
     return prompts.with_overrides(table, new, ["task", "aspect"], "prompt")
 
 
+@query("SELECT conv_id, turn, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS cleaned, CASE WHEN turn % 2 = 0 THEN 'Well, ' || trim(text) ELSE trim(text) || '.' END AS joined FROM conversations WHERE trim(coalesce(text, '')) <> ''")
+def joined_texts(spark, sf):
+    c = _t(spark, sf, "conversations").where(text.cleaned("text") != "")
+    return c.select("conv_id", "turn", text.cleaned("text").alias("cleaned"), F.when(F.col("turn") % 2 == 0, text.joined(F.lit(" Well, "), "text")).otherwise(text.joined("text", F.lit(". "))).alias("joined"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' WHEN 'da' THEN 'dan' WHEN 'fi' THEN 'fin' WHEN 'sv' THEN 'swe' END AS code, source AS genre FROM documents")
+def languages_and_genres(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", text.language_code(F.concat(F.lit(" "), F.upper("lang"), F.lit("-XX"))).alias("code"), text.genre(F.concat("source", F.lit("-12-3"))).alias("genre"))
+
+
+@query("""WITH a AS (SELECT user_id, event_id AS attempt, CASE WHEN event_type = 'view' THEN 'failed' END AS error, value FROM events), b AS (SELECT user_id, arg_max(value, (error IS NULL, attempt)) AS value, arg_max(coalesce(error, ''), (error IS NULL, attempt)) AS error FROM a GROUP BY user_id), r AS (SELECT DISTINCT user_id FROM events UNION SELECT -1)
+SELECT r.user_id, b.value, CASE WHEN b.user_id IS NULL THEN 'MissingBatchResult' ELSE nullif(b.error, '') END AS error FROM r LEFT JOIN b USING (user_id)""")
+def collected_answers(spark, sf):
+    e = _t(spark, sf, "events")
+    a = e.select("user_id", F.col("event_id").alias("attempt"), "value", F.when(F.col("event_type") == "view", "failed").alias("error"))
+    return scoring.collected(e.select("user_id").unionByName(spark.createDataFrame([(-1,)], "user_id long")), a, "user_id")
+
+
+@query("SELECT source, lang, count(*) AS n FROM (SELECT source, lang FROM documents WHERE doc_id % 3 <> 0 EXCEPT ALL SELECT source, lang FROM documents WHERE doc_id % 2 = 0) GROUP BY 1, 2")
+def row_differences(spark, sf):
+    from lamina.operators.lineage import same_rows
+
+    d = _t(spark, sf, "documents").select("doc_id", "source", "lang")
+    out = same_rows(d.where("doc_id % 3 != 0").drop("doc_id"), d.where("doc_id % 2 = 0").drop("doc_id"))
+    return out.where("side = 'left'").groupBy("source", "lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 40")
+def selected_originals(spark, sf):
+    return scoring.select_originals(_t(spark, sf, "documents"), "doc_id", 40)
+
+
 # --- budgets ---------------------------------------------------------------------------------------
 
 _SIZED = f"d AS (SELECT doc_id, len(list_filter(string_split_regex(text, '{_WS}'), lambda x: x <> '')) AS n FROM documents)"

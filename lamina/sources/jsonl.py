@@ -132,6 +132,17 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(path)
 
 
+def with_metadata(df: DataFrame, known: list[str]) -> DataFrame:
+    """The known columns, and all others as JSON in one column `metadata`."""
+    rest = [c for c in df.columns if c not in known]
+    return df.select(*known, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("metadata") if rest else F.lit("{}").alias("metadata"))
+
+
+def without_metadata(df: DataFrame, schema: str) -> DataFrame:
+    """The inverse of `with_metadata`, for other columns of the given schema."""
+    return df.withColumn("__m", F.from_json("metadata", schema)).select(*[c for c in df.columns if c != "metadata"], "__m.*")
+
+
 def finite_only(df: DataFrame) -> DataFrame:
     """df with null for NaN and infinite numbers, in structs and arrays as well."""
 

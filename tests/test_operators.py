@@ -259,6 +259,22 @@ def test_words_and_focus(spark):
     assert [case("word", m) for m in ("ABC", "Abc", "abc", "A")] == ["WORD", "Word", "word", "Word"]
 
 
+def test_rules_and_spans(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x")], "k long, text string")
+    every = generation.rule_outputs(df, ["swap", "deletion", "typo"], "all", F.col("k")).collect()
+    assert {x["rule"] for x in every if x["k"] == 1} == {"swap", "deletion"} and [(x["rule"], x["reason"]) for x in every if x["k"] == 2] == [(None, "no_verified_edit")]
+    first = generation.rule_outputs(df, ["typo", "swap", "deletion"], "first_success", F.col("k")).where("k = 1").collect()
+    assert [x["rule"] for x in first] == ["swap"] and generation.rule_outputs(df, ["swap", "deletion"], "random_success", F.col("k")).count() == 2
+    with pytest.raises(ValueError):
+        generation.rule_outputs(df, ["none"], "all")
+    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(w).alias("word")) for a, b, w in ((4, 5, "long"), (0, 1, ""), (2, 3, "X"))])
+    assert df.where("k = 1").select(edits.replaced(F.col("text"), spans)).first()[0] == " X long d e f g h"
+    packed = jsonl.with_metadata(df.withColumn("n", F.col("k") * 2), ["text"])
+    assert sorted(tuple(x) for x in jsonl.without_metadata(packed, "k long, n long").collect()) == [("a b c d e f g h", 1, 2), ("x", 2, 4)]
+    with pytest.raises(LookupError):
+        scoring.scorer("none")
+
+
 def test_other_hashes(spark, tmp_path):
     import hashlib
 
