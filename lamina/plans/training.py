@@ -299,10 +299,7 @@ def uniform_edit_counts(spark, sf):
 
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\p{L}(?:[\\p{L}\\p{M}]|[''’]\\p{L})*') AS w FROM documents) SELECT doc_id, CAST(len(w) AS INTEGER) AS n, w[1] AS first, w[len(w)] AS last FROM w""")
 def word_spans(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", "text", edits.word_spans("text").alias("s"))
-    # a word is what stands at its place
-    same = F.forall("s", lambda x: F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]) == x["word"])
-    d = d.where(F.when(same, True).otherwise(F.raise_error(F.lit("a word isn't at its place")).cast("boolean")))
+    d = _t(spark, sf, "documents").select("doc_id", edits.word_spans("text").alias("s"))
     return d.select("doc_id", F.size("s").alias("n"), F.try_element_at("s", F.lit(1))["word"].alias("first"), F.try_element_at("s", F.lit(-1))["word"].alias("last"))
 
 
