@@ -48,7 +48,9 @@ def utf8(text: Column | str) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches cut to SLICE_ROWS rows and about SLICE_BYTES bytes each."""
+    """The batches cut to SLICE_ROWS rows and about SLICE_BYTES bytes each. After each batch Arrow's pool gives
+    back what it holds beyond its use: workers live on for other stages."""
+    pool = pa.default_memory_pool()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -56,6 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = max(1, min(SLICE_ROWS, int(n * SLICE_BYTES / max(1, batch.nbytes))))
         for at in range(0, n, rows):
             yield batch.slice(at, rows)
+        pool.release_unused()
 
 
 def binary_of(values: list[bytes]) -> pa.Array:
