@@ -139,7 +139,7 @@ def word_spans(text: Column | str) -> Column:
 
 
 def focused(spans: Column, start: Column, end: Column, radius: Column | int = 0) -> Column:
-    """Of the words (as `word_spans` gives them) those that overlap the focus from start to end, with `radius`
+    """Of the words (a column that `word_spans` made before) those that overlap the focus from start to end, with `radius`
     words more on either side; the nearest word where none overlaps (of equals the first); all words without
     a focus (both null)."""
     low, high = F.greatest(F.coalesce(start, F.lit(0)), F.lit(0)), F.greatest(F.coalesce(end, start, F.lit(0)), F.lit(0))

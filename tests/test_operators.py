@@ -252,7 +252,7 @@ def test_words_and_focus(spark):
     t = "Don't stop, éáb 12 x’y 'end'"
     (r,) = spark.createDataFrame([(t,)], "t string").select(edits.word_spans("t").alias("s")).collect()
     assert [(t[x["start"] : x["end"]]) for x in r["s"]] == [x["word"] for x in r["s"]] == ["Don't", "stop", "éáb", "x’y", "end"]
-    pick = lambda a, b, radius: [x["word"] for x in spark.createDataFrame([(t,)], "t string").select(edits.focused(edits.word_spans("t"), F.lit(a).cast("int"), F.lit(b).cast("int"), radius).alias("f")).first()["f"]]
+    pick = lambda a, b, radius: [x["word"] for x in spark.createDataFrame([(t,)], "t string").select(edits.word_spans("t").alias("s")).select(edits.focused(F.col("s"), F.lit(a).cast("int"), F.lit(b).cast("int"), radius).alias("f")).first()["f"]]
     assert pick(6, 8, 0) == ["stop"] and pick(6, 8, 1) == ["Don't", "stop", "éáb"] and len(pick(None, None, 0)) == 5
     assert pick(17, 18, 0) == ["éáb"] or pick(17, 18, 0) == ["x’y"]
     case = lambda w, m: spark.range(1).select(edits.case_like(F.lit(w), F.lit(m))).first()[0]
