@@ -12,7 +12,7 @@ from lamina.functions.ordering import written
 
 #: Rows that a Python step turns into one output batch; bounds its memory with long texts.
 SLICE_ROWS = 512
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Rows that a Python step gets at once.
 BATCH_ROWS = 1024
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
