@@ -45,7 +45,7 @@ PARTS, DIFFER = 4, 2
 SUBSETS = tuple(combinations(range(PARTS), PARTS - DIFFER))
 CUTS = 4
 #: Nodes that share a signature and are all compared with each other.
-MANY = 64
+MANY = 4096
 #: 64-bit words of a sketch.
 SKETCH = 16
 SALTS = 32
