@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import chat, decontaminate, languages, licenses, partenum, pieces, quality, search, substrings, tokens
+from lamina.llm import chat, decontaminate, languages, licenses, merkle, partenum, pieces, quality, search, substrings, tokens
 from lamina.llm.common import table
 
 
@@ -67,14 +67,43 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.chat_examples(turns.unionByName(own)))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_license_scan, op4_language_id, op5_substring_dedup, op6_token_counts, op7_exact_topk, op8_decontaminate, op9_piece_codec, op10_chat_format)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.translate("text", upper, upper.lower()))
+    out = merkle.proofs(merkle.document_manifest(table(spark, sf_dir, "documents"), tampered))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_license_scan, op4_language_id, op5_substring_dedup, op6_token_counts, op7_exact_topk, op8_decontaminate, op9_piece_codec, op10_chat_format, op11_merkle_manifest)}
 
 _VECTORS = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
 
 _WORDS = "list_filter(string_split_regex({text}, '[ \\x09-\\x0D]+'), lambda x: x <> '')"
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END"
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: list_reduce(range(8), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(a, b)), 4294967295), 4294967295)"""
+
 ORACLE_SQL = {
+    "op11_merkle_manifest": f"""WITH RECURSIVE e AS (SELECT *, {" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head,
+  {_CRC} % 5 = 0 AS tampered, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents),
+h AS (SELECT doc_id, source, sha256(head || {_FIELD.format("text")}) AS leaf, CASE WHEN tampered THEN sha256(head || {_FIELD.format("lowered")}) END AS changed FROM e),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM h),
+own AS (SELECT s, 0 AS level, i, n AS size, leaf AS d FROM l UNION ALL
+  SELECT s, any_value(level) + 1, i // 16, (any_value(size) + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM own WHERE size > 1 GROUP BY s, i // 16),
+top AS (SELECT -1 AS s, 0 AS level, s AS i, count(*) OVER () AS size, d FROM own WHERE size = 1 UNION ALL
+  SELECT s, any_value(level) + 1, i // 16, (any_value(size) + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM top WHERE size > 1 GROUP BY s, i // 16),
+r AS (SELECT s, level, i // 16 AS run, list(d ORDER BY i) AS ds FROM (FROM own UNION ALL FROM top) WHERE size > 1 GROUP BY s, level, i // 16),
+v AS (SELECT DISTINCT s, level FROM r),
+w AS (SELECT l.s, l.i, v.s AS tree, level, l.i // CAST(16 ** level AS BIGINT) AS j FROM l JOIN v ON v.s = l.s UNION ALL
+  SELECT l.s, l.i, -1, level, l.s // CAST(16 ** level AS BIGINT) FROM l JOIN v ON v.s = -1),
+p AS (SELECT w.s, w.i, row_number() OVER (PARTITION BY w.s, w.i ORDER BY tree < 0, w.level) AS k, array_to_string(ds[1:j % 16], '') AS lefts, array_to_string(ds[j % 16 + 2:], '') AS rights
+  FROM w JOIN r ON r.s = tree AND r.level = w.level AND run = j // 16),
+f AS (SELECT s, i, 0 AS k, coalesce(changed, leaf) AS d FROM l UNION ALL SELECT f.s, f.i, p.k, sha256(lefts || d || rights) FROM f JOIN p ON p.s = f.s AND p.i = f.i AND p.k = f.k + 1),
+g AS (SELECT s, i, arg_max(d, k) AS folded_root FROM f GROUP BY s, i),
+q AS (SELECT s, i, sha256(string_agg(lefts || rights, '' ORDER BY k)) AS proof_sha256 FROM p GROUP BY s, i)
+SELECT l.doc_id, leaf, o.d AS subroot, t.d AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = t.d AS verified
+FROM l JOIN g USING (s, i) LEFT JOIN q USING (s, i) JOIN (SELECT s, d FROM own WHERE size = 1) o ON o.s = l.s CROSS JOIN (SELECT d FROM top WHERE size = 1) t""",
     "op2_ngram_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
