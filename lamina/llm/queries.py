@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import chat, decontaminate, languages, licenses, merkle, partenum, pieces, quality, search, substrings, tokens
+from lamina.llm import alignment, chat, decontaminate, languages, licenses, merkle, partenum, pieces, quality, search, substrings, tokens
 from lamina.llm.common import table
 
 
@@ -74,7 +74,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_license_scan, op4_language_id, op5_substring_dedup, op6_token_counts, op7_exact_topk, op8_decontaminate, op9_piece_codec, op10_chat_format, op11_merkle_manifest)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_license_scan, op4_language_id, op5_substring_dedup, op6_token_counts, op7_exact_topk, op8_decontaminate, op9_piece_codec, op10_chat_format, op11_merkle_manifest, op12_token_alignment)}
 
 _VECTORS = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
