@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import alignment, chat, decontaminate, languages, licenses, merkle, partenum, pieces, quality, search, substrings, tokens
+from lamina.llm import alignment, chat, decontaminate, languages, licenses, merkle, partenum, pieces, quality, search, substrings, suffixes, tokens
 from lamina.llm.common import table
 
 
@@ -80,7 +80,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_license_scan, op4_language_id, op5_substring_dedup, op6_token_counts, op7_exact_topk, op8_decontaminate, op9_piece_codec, op10_chat_format, op11_merkle_manifest, op12_token_alignment)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_license_scan, op4_language_id, op5_substring_dedup, op6_token_counts, op7_exact_topk, op8_decontaminate, op9_piece_codec, op10_chat_format, op11_merkle_manifest, op12_token_alignment, op13_suffix_dedup)}
 
 _VECTORS = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
@@ -91,6 +96,16 @@ _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VA
 _CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: list_reduce(range(8), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(a, b)), 4294967295), 4294967295)"""
 
 ORACLE_SQL = {
+    "op13_suffix_dedup": """WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT r, i, md5_number(substr(x, 2 * i + 1, 800)) AS t FROM (SELECT r, x, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+q AS (SELECT r, i FROM s SEMI JOIN (SELECT t FROM s GROUP BY t HAVING count(*) > 1) USING (t)),
+z AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM q),
+u AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM z),
+v AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM u GROUP BY r, k),
+w AS (SELECT r, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, count(*) AS n_spans, sum(b - a) AS n_removed FROM v GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(0, coalesce(n_spans, 0) + 1), lambda j: substr(x, 2 * coalesce(b[j], 0) + 1, 2 * (coalesce(a[j + 1], n) - coalesce(b[j], 0)))), ''))) AS kept_sha256
+FROM d LEFT JOIN w USING (r)""",
     "op11_merkle_manifest": f"""WITH RECURSIVE e AS (SELECT *, {" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head,
   {_CRC} % 5 = 0 AS tampered, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents),
 h AS (SELECT doc_id, source, sha256(head || {_FIELD.format("text")}) AS leaf, CASE WHEN tampered THEN sha256(head || {_FIELD.format("lowered")}) END AS changed FROM e),
