@@ -58,23 +58,24 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     """Places in the order of their suffixes, by Larsson and Sadakane's refinement: `known` bytes tell groups apart; only groups
     of several places are sorted again, by the rank of what follows these bytes, and `known` doubles."""
     n = len(data)
+    small = np.int32 if n < 1 << 31 else np.int64
     first = _eight(data, 0)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first).astype(small)
     sorted_ = first[order]
     head = np.ones(n, bool)
     head[1:] = sorted_[1:] != sorted_[:-1]
-    rank = np.empty(n + 9, np.int64)
+    rank = np.empty(n + 9, small)
     rank[n:] = -1 - np.arange(9)  # beyond the end: the shorter suffix goes first
     rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
-    at, known = np.arange(n), 8
+    at, known = np.arange(n, dtype=small), 8
     while True:
         single = head & np.append(head[1:], True)
         at = at[~single]
         if not len(at):
             return order
         places = order[at]
-        key = rank[places] * (n + 16) + rank[places + known] + 10
-        by = np.argsort(key, kind="stable")
+        key = rank[places].astype(np.int64) * (n + 16) + rank[places + known] + 10
+        by = np.argsort(key, kind="stable")  # runs of equal keys are long
         places, key = places[by], key[by]
         head = np.ones(len(at), bool)
         head[1:] = key[1:] != key[:-1]
@@ -83,14 +84,14 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         known *= 2
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int, lane: int = 256) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int, lane: int = 64) -> np.ndarray:
     """Bytes, `depth` at most, that each suffix shares with the one before it in the order, by Kasai's pass: from one place
     to the next the common prefix loses one byte at most. Lanes of places run side by side."""
     n = len(data)
     eight = _eight(data, depth + 8)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, order.dtype)
     before[order[1:]] = order[:-1]
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     begin = np.arange(0, n, lane)
     same = np.zeros(len(begin), np.int64)
     for k in range(min(lane, n)):
@@ -261,20 +262,22 @@ def _runs(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return of[first], at[first], at[np.append(first[1:] - 1, len(of) - 1)] if len(of) else at
 
 
-_FOUND = "h long, d1 long, d2 long, first int, last int, share int, w1 long, w2 long"
+#: A class of a shard: the digest of its string, and the stretch and start that it has there if it has one alone (else -1).
+_CLASS = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("d1", "<i8"), ("d2", "<i8"), ("at", "<i4")])
+_FOUND = "h long, d1 long, d2 long, first int, last int, share int, run binary"
 _FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
 
 
 def _shards(length: int, shard_bytes: int):
-    """Of stretches ordered by anchor and part: runs of starts that repeat within a shard, and, of anchors with several parts, the
-    classes (w1, w2: digest; share: its range) with their start where they have one alone."""
+    """Of stretches ordered by anchor and part: runs of starts that repeat within a shard, and, of anchors with several parts, runs of
+    classes in the order of their digests, one for each range of digests (share)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: dict[tuple[int, bytes], list[int]] = {}
         at, size = None, 0
 
         def batch_of(columns: list) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_FOUND_NAMES)
 
         def searched() -> Iterator[pa.RecordBatch]:
@@ -283,8 +286,9 @@ def _shards(length: int, shard_bytes: int):
                 kinds[h] = kinds.get(h, 0) + 1
             whole = [(h, v[1], v[2], 0, len(t) - length) for (h, t), v in shard.items() if v[0] > 1]
             if whole:  # a stretch that occurs more than once repeats from end to end
-                yield batch_of([*zip(*whole, strict=True), *[[None] * len(whole)] * 3])
-            rest = [(h, t, v) for (h, t), v in shard.items() if kinds[h] > 1 or v[3] > 1]
+                yield batch_of([*zip(*whole, strict=True), *[[None] * len(whole)] * 2])
+            open_ = {h for (h, _), v in shard.items() if v[3] > 1 or (v[0] == 1 and kinds[h] > 1)}
+            rest = [(h, t, v) for (h, t), v in shard.items() if h in open_]
             if not rest:
                 return
             texts = [t for _, t, _ in rest]
@@ -296,19 +300,20 @@ def _shards(length: int, shard_bytes: int):
             of, first, last = _runs(text[hit], place[hit])
             if len(of):
                 names = [rest[k] for k in of.tolist()]
-                yield batch_of([[h for h, *_ in names], [v[1] for *_, v in names], [v[2] for *_, v in names], first, last, *[[None] * len(of)] * 3])
-            one = np.full(len(members), -1)
-            one[number] = np.arange(len(number))
-            rows = []
-            for k in one.tolist():
+                yield batch_of([[h for h, *_ in names], [v[1] for *_, v in names], [v[2] for *_, v in names], first, last, *[[None] * len(of)] * 2])
+            member = np.full(len(members), -1)
+            member[number] = np.arange(len(number))
+            runs: dict[tuple[int, int], list[tuple]] = {}
+            for k, n in zip(member.tolist(), total.tolist(), strict=True):
                 h, raw, v = rest[text[k]]
                 if v[3] > 1:
-                    digest = xxhash.xxh3_128_digest(raw[place[k] : place[k] + length])
+                    at = int(place[k])
+                    digest = xxhash.xxh3_128_digest(raw[at : at + length])
                     w1, w2 = (int.from_bytes(digest[a : a + 8], "big", signed=True) for a in (0, 8))
-                    alone = total[number[k]] == 1
-                    rows.append((h, v[1] if alone else None, v[2] if alone else None, int(place[k]) if alone else None, int(place[k]) if alone else None, w2 % v[3], w1, w2))
-            for k in range(0, len(rows), 1 << 14):
-                yield batch_of(list(zip(*rows[k : k + (1 << 14)], strict=True)))
+                    runs.setdefault((h, w2 % v[3]), []).append((w1, w2, v[1], v[2], at if n == 1 else -1))
+            for names in (list(runs)[k : k + 256] for k in range(0, len(runs), 256)):
+                none = [None] * len(names)
+                yield batch_of([[h for h, _ in names], *[none] * 4, [share for _, share in names], [np.sort(np.array(runs[x], _CLASS), order=["w1", "w2"]).tobytes() for x in names]])
 
         for batch in slices(batches):
             for h, part, parts, d1, d2, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -329,14 +334,16 @@ def _shards(length: int, shard_bytes: int):
     return run
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    """Classes of several shards, of one range of digests: starts alone in their shard whose class another shard has too."""
-    w1, w2 = (table.column(c).to_numpy() for c in ("w1", "w2"))
-    pairs = np.empty(len(w1), [("a", np.int64), ("b", np.int64)])
-    pairs["a"], pairs["b"] = w1, w2
-    runs = np.sort(pairs)
-    held = np.searchsorted(runs, pairs, "right") - np.searchsorted(runs, pairs, "left")
-    return table.filter(pa.array(held > 1)).filter(pa.compute.field("d1").is_valid()).select(["h", "d1", "d2", "first", "last"])
+def _merged(key: tuple, table: pa.Table) -> pa.Table:
+    """Of the runs of all shards for one range of digests: starts alone in their shard whose class another shard has too."""
+    runs = [np.frombuffer(r, _CLASS) for r in table.column("run").to_pylist()]
+    every = np.sort(np.concatenate(runs)[["w1", "w2"]].copy())
+    found = []
+    for run in runs:
+        own = run[["w1", "w2"]].copy()
+        found.append(run[(np.searchsorted(every, own, "right") - np.searchsorted(every, own, "left") > 1) & (run["at"] >= 0)])
+    out = np.concatenate(found)
+    return pa.table({"h": pa.array(np.full(len(out), key[0].as_py())), "d1": out["d1"], "d2": out["d2"], "first": out["at"], "last": out["at"]})
 
 
 def repeated_runs(docs: DataFrame, length: int, limit: int = LIMIT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -350,8 +357,8 @@ def repeated_runs(docs: DataFrame, length: int, limit: int = LIMIT, shard_bytes:
     texts = rows.where("text is not null").select("h", "part", "parts", "d1", "d2", "n", "text")
     found = texts.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(_shards(length, shard_bytes), _FOUND)
     found = stored(found, "repeated-starts")
-    more = found.where("w1 is not null").groupBy("h", "share").applyInArrow(_merged, "h long, d1 long, d2 long, first int, last int")
-    runs = found.where("w1 is null").select("h", "d1", "d2", "first", "last").unionByName(more)
+    more = found.where("run is not null").select("h", "share", "run").groupBy("h", "share").applyInArrow(_merged, "h long, d1 long, d2 long, first int, last int")
+    runs = found.where("run is null").select("h", "d1", "d2", "first", "last").unionByName(more)
     runs = runs.groupBy("h", "d1", "d2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     places = rows.where("text is null").select("h", "d1", "d2", "k1", "k2", "places")
     return places.join(stored(runs, "runs"), ["h", "d1", "d2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("places", "runs")).alias("stretches"))
