@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,6 @@ HOT = 1 << 17
 SHORT = 64
 SPACE = "▁"
 
-Word = tuple[int, int, int, int, str, tuple[str, ...]]
-
-
 def _byte_letters() -> dict[str, int]:
     """Characters that stand for bytes in byte-level vocabularies: printable Latin-1 bytes are themselves, the others
     follow from U+0100 on."""
@@ -62,15 +59,22 @@ class Aligner:
         self.a.encode_special_tokens = True
         letters = _byte_letters()
         self._a_text = {i: bytes(letters.get(c, 63) for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self._a_length = np.zeros(max(self._a_text) + 1, np.int64)
+        self._a_length[list(self._a_text)] = [len(t) for t in self._a_text.values()]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         n = self.b.vocab_size()
         self._b_text = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
+        self._b_length = np.array([len(t) for t in self._b_text])
+        self._digits = [str(i) for i in range(max(n, len(self._a_length)))]
+        self._known: dict[str, list[int] | None] = {}
+        self._number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.sides = np.zeros((1 << 12, 2), np.int64)
         if any(" " in t.decode().lstrip(" ") for i, t in enumerate(self._b_text) if not self.b.is_byte(i)):
             raise ValueError("pieces with a space after another character can't be encoded by words")
         probe = "a b  c\n d"
         if self.groups(probe) != [g for w in self.words(" " + probe) for g in self.groups(w[1:])]:
             raise ValueError("a tokenizer doesn't cut before a space that follows a word")
-        self._known: dict[str, Word | None] = {}
 
     #: A space after what is no white space, for either tokenizer, begins a word.
     _cut = re.compile(r"(?<=\S)(?= )").split
@@ -78,41 +82,77 @@ class Aligner:
     def words(self, text: str) -> list[str]:
         return self._cut(text)
 
-    def groups(self, text: str) -> list[tuple[list[int], list[int]]] | None:
-        """Groups of a text as a whole, to which both put a space in front; None where tokens don't give back its bytes."""
-        raw = (" " + text).encode()
+    def encoded(self, text: str) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of A and B of a text to which both put a space in front, and of each group: the end in bytes and in the ids
+        of A and of B. None where tokens don't give back the bytes."""
         a = self.a.encode(" " + text, add_special_tokens=False).ids
         b = self.b.encode(text) if text else [self.b.piece_to_id(SPACE)]  # the space that a text ends with
-        at, bt = [self._a_text.get(i, b"") for i in a], [self._b_text[i] for i in b]
-        if b"".join(at) != raw or b"".join(bt) != raw:
+        raw = (" " + text).encode()
+        if b"".join([self._a_text.get(i, b"") for i in a]) != raw or b"".join([self._b_text[i] for i in b]) != raw:
             return None
-        out, k, left, right, ga, gb = [], 0, 0, 0, [], []
-        for i, t in zip(a, at, strict=True):
-            ga.append(i)
-            left += len(t)
-            while right < left:
-                gb.append(b[k])
-                right += len(bt[k])
-                k += 1
-            if left == right:
-                out.append((ga, gb))
-                ga, gb = [], []
+        ends_a, ends_b = np.cumsum(self._a_length[a]), np.cumsum(self._b_length[b])
+        at = np.minimum(np.searchsorted(ends_b, ends_a), len(b) - 1)
+        both = np.flatnonzero(ends_b[at] == ends_a)
+        return a, b, ends_a[both], both + 1, at[both] + 1
+
+    def groups(self, text: str) -> list[str] | None:
+        """A text's groups as `a1,a2|b1`."""
+        found = self.encoded(text)
+        return None if found is None else self._keys(*found)
+
+    def _keys(self, a: list[int], b: list[int], _, to_a: np.ndarray, to_b: np.ndarray) -> list[str]:
+        x, y = [self._digits[i] for i in a], [self._digits[i] for i in b]
+        out, i, j = [], 0, 0
+        for k, m in zip(to_a.tolist(), to_b.tolist(), strict=True):
+            out.append(f"{x[i]}|{y[j]}" if k - i == m - j == 1 else f"{','.join(x[i:k])}|{','.join(y[j:m])}")
+            i, j = k, m
+        return out
+
+    def interned(self, words: set[str]) -> dict[str, list[int] | None]:
+        """The groups of words, by their numbers in the worker's dictionary (names, sides). New words are encoded as one text,
+        in which they stand one behind the other."""
+        known = self._known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > MEMORY:
+            known.clear()
+            self._number.clear()
+            self.names.clear()
+            new = list(words)
+        for k in range(0, len(new), 2048):
+            some = new[k : k + 2048]
+            found = self.encoded("".join(some)[1:]) if not any(w[-1].isspace() for w in some) else None
+            if found is None:  # white space at a text's end, or a word that isn't given back
+                for w in some:
+                    keys = self.groups(w[1:])
+                    known[w] = None if keys is None else self._numbers(keys)
+                continue
+            numbers = self._numbers(self._keys(*found))
+            cuts = np.searchsorted(found[2], np.cumsum([len(w.encode()) for w in some])) + 1
+            at = 0
+            for w, cut in zip(some, cuts.tolist(), strict=True):
+                known[w] = numbers[at:cut]
+                at = cut
+        return known
+
+    def _numbers(self, keys: list[str]) -> list[int]:
+        number, names, out = self._number, self.names, []
+        for key in keys:
+            k = number.get(key)
+            if k is None:
+                k = number[key] = len(names)
+                names.append(key)
+                if k >= len(self.sides):
+                    self.sides = np.concatenate([self.sides, np.zeros_like(self.sides)])
+                a, b = key.split("|")
+                self.sides[k] = a.count(",") + 1, b.count(",") + 1
+            out.append(k)
         return out
 
-    def word(self, text: str) -> Word | None:
-        """Of a word with its space: numbers of A and B tokens, groups and links, the groups' text, their keys."""
-        known = self._known.get(text, 0)
-        if known != 0:
-            return known
-        found = self.groups(text[1:])
-        if found is not None:
-            keys = tuple(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in found)
-            found = sum(len(a) for a, _ in found), sum(len(b) for _, b in found), len(found), sum(len(a) * len(b) for a, b in found), ";".join(keys), keys
-        if len(text) < SHORT:
-            if len(self._known) >= MEMORY:
-                self._known.clear()
-            self._known[text] = found
-        return found
+    def forget(self, words: Iterable[str]) -> None:
+        """Long words aren't remembered."""
+        for w in words:
+            if len(w) >= SHORT:
+                self._known.pop(w, None)
 
 
 @lru_cache(maxsize=2)
@@ -137,12 +177,17 @@ def grouped(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
         both = aligner(a_path, b_path)
         for batch in slices(batches):
             rows = []
-            for raw in batch.column(1).to_pylist():
-                words = [both.word(w) for w in both.words(" " + raw.decode())] if raw else []
-                if None in words:
-                    words = []
-                keys = Counter(k for w in words for k in w[5])
-                rows.append((*(sum(w[c] for w in words) for c in range(4)), ";".join(w[4] for w in words), list(keys), list(keys.values())))
+            texts = [both.words(" " + raw.decode()) if raw else [] for raw in batch.column(1).to_pylist()]
+            every = set().union(*texts)
+            known = both.interned(every)
+            for words in texts:
+                found = [known[w] for w in words]
+                numbers = [] if None in found else list(chain.from_iterable(found))
+                once, n = np.unique(np.array(numbers, np.int64), return_counts=True)
+                a, b = both.sides[once].T
+                name = both.names
+                rows.append((int(a @ n), int(b @ n), len(numbers), int((a * b) @ n), ";".join([name[k] for k in numbers]), [name[k] for k in once.tolist()], n))
+            both.forget(every)
             types = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["id", "n_a", "n_b", "n_groups", "n_links", "groups", "keys", "times"])
 
