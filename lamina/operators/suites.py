@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lamina.functions.draws import h32
 from lamina.functions.ordering import running_sum, written
 from lamina.functions.text import cleaned, finite
 from lamina.operators import metrics, scoring
@@ -229,6 +230,36 @@ def tie_calibrated(rows: DataFrame, item: str, system: str, metric: str, human:
     return best.crossJoin(F.broadcast(total)).select((-F.col("b.d")).alias("epsilon"), ((F.col("all_ordered") + F.col("b.gain")) / F.col("pairs")).alias("accuracy"), F.col("pairs").alias("n_pairs"))
 
 
+def soft_pairwise_accuracy(rows: DataFrame, item: str, system: str, metric: str, human: str, draws: int = 1024, seed: int = 42) -> DataFrame:
+    """n_systems, n_items, n_pairs and accuracy: the mean over all pairs of systems of 1 - |p - q|, with p and q the one-sided p-values
+    of the metric's and of humans' difference between two systems.
+
+    p-values come from a paired permutation test: in each draw every item's difference keeps or changes its sign, by a hash of seed, item and
+    draw, and p is the share of draws whose sum is no smaller than the sum there is. Signs are the same for all pairs, so a pair's
+    sum is the difference of two systems' sums: each row is added to its system's sum of every draw, in tasks before the
+    shuffle (32 draws from one hash), and pairs are made of systems alone. Items count that every system has both finite scores
+    of; systems without any take no part. Draws are rounded up to whole hashes. Rows of one item and system are averaged.
+    """
+    blocks = -(-draws // 32)
+    ok = rows.where(finite(metric) & finite(human)).groupBy(F.col(item).alias("item"), F.col(system).alias("system")).agg(F.avg(metric).alias("m"), F.avg(human).alias("h"))
+    ok = written(ok, "segments")
+    n = ok.agg(F.countDistinct("system").alias("__n"))
+    whole = ok.groupBy("item").agg(F.count("*").alias("__k")).join(F.broadcast(n), F.expr("__k = __n")).select("item")
+    ok = ok.join(whole, "item").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    bits = h32(seed, "sign", F.col("item"), F.col("block"))
+    sums = []
+    for name in ("m", "h"):
+        sums.append(F.array(*[F.sum(F.when(F.shiftright("bits", k).bitwiseAND(1) == 1, F.col(name)).otherwise(-F.col(name))) for k in range(32)]).alias(f"{name}s"))
+    sums = written(ok.withColumn("bits", bits).groupBy("system", "block").agg(*sums, F.sum("m").alias("m"), F.sum("h").alias("h"), F.count("*").alias("k")), "signed-sums")
+    a, b = (sums.select("block", *[F.col(c).alias(f"{c}_{k}") for c in ("system", "ms", "hs", "m", "h", "k")]) for k in "ab")
+    # systems are what takes part in a comparison: tens of rows for each block
+    pairs = a.join(b, "block").where("system_a < system_b")
+    above = lambda c: F.size(F.filter(F.zip_with(f"{c}s_a", f"{c}s_b", lambda x, y: x - y), lambda d: d >= F.col(f"{c}_a") - F.col(f"{c}_b")))
+    per = pairs.groupBy("system_a", "system_b").agg((F.sum(above("m")) / (32 * blocks)).alias("p"), (F.sum(above("h")) / (32 * blocks)).alias("q"), F.max("k_a").alias("k"))
+    out = per.agg(F.count("*").alias("n_pairs"), F.max("k").alias("n_items"), F.avg(1 - F.abs(F.col("p") - F.col("q"))).alias("accuracy"))
+    return out.crossJoin(F.broadcast(sums.agg(F.countDistinct("system").alias("n_systems")))).select("n_systems", "n_items", "n_pairs", "accuracy")
+
+
 def history(evaluations: DataFrame, run: str, step: str, values: list[str]) -> DataFrame:
     """evaluations with number (from 1 in each run, in the order of steps) and values as finite numbers or null."""
     from lamina.functions.text import finite_or_null

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.plans import evaluation, training  # noqa: F401  they add their queries
+from lamina.plans import evaluation, runs, training  # noqa: F401  they add their queries
 from lamina.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "pairwise_accuracy_tol"
