@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ class Aligner:
     def encoded(self, text: str) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids of A and B of a text to which both put a space in front, and of each group: the end in bytes and in the ids
         of A and of B. None where tokens don't give back the bytes."""
-        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids  # no offsets are asked for
         b = self.b.encode(text) if text else [self.b.piece_to_id(SPACE)]  # the space that a text ends with
         raw = (" " + text).encode()
         if b"".join([self._a_text.get(i, b"") for i in a]) != raw or b"".join([self._b_text[i] for i in b]) != raw:
@@ -198,18 +199,32 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     """pair and n: in how many rows (keys) some group links the pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        one: dict[str, int] = {}  # groups of one A and one B token, which most are
+        more: dict[str, list[int]] = {}
         held, size = [], 0
 
-        def pairs(key: str) -> np.ndarray:
-            out = known.get(key)
-            if out is None:
-                out = np.fromiter(links_of(key), np.int64)
-                if len(key) < SHORT:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[key] = out
-            return out
+        def pairs(keys: list[str]) -> np.ndarray:
+            out, rest = [], []
+            for k in keys:
+                p = one.get(k)
+                if p is None:
+                    rest.append(k)
+                else:
+                    out.append(p)
+            for k in rest:
+                found = more.get(k)
+                if found is None:
+                    found = list(links_of(k))
+                    if len(k) < SHORT:
+                        if len(one) + len(more) >= MEMORY:
+                            one.clear()
+                            more.clear()
+                        if len(found) == 1:
+                            one[k] = found[0]
+                        else:
+                            more[k] = found
+                out += found
+            return np.unique(np.array(out, np.int64))
 
         def flushed() -> pa.RecordBatch:
             pair, n = np.unique(np.concatenate(held), return_counts=True)
@@ -218,7 +233,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
         for batch in slices(batches):
             for keys in batch.column(0).to_pylist():
                 if keys:
-                    held.append(np.unique(np.concatenate([pairs(k) for k in keys])))
+                    held.append(pairs(keys))
                     size += len(held[-1])
                 if size > 8 * MEMORY:
                     yield flushed()
@@ -266,28 +281,27 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     spark = docs.sparkSession
     rows = stored(grouped(docs, a_path, b_path, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "token-groups")
     values = stored(group_values(rows), "group-values")
-    most = {r[0]: (r[1], r[2]) for r in values.orderBy(F.desc("frequency"), "key").limit(hot).select("key", "n_best", "count_sum").toLocalIterator()}
-    table = spark.sparkContext.broadcast(most)
+    frequent = list(values.orderBy(F.desc("frequency"), "key").limit(hot).select("key", "n_best", "count_sum").toLocalIterator())
+    numbers = {r[0]: k for k, r in enumerate(frequent)}
+    sums = np.array([(r[1], r[2]) for r in frequent] + [(0, 0)], np.int64)  # the last is of all others
+    table = spark.sparkContext.broadcast((numbers, sums))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with the sums over frequent groups, and one for each other group."""
-        known = table.value
+        known, sums = table.value
         for batch in slices(batches):
             of, best, count, key, n = [], [], [], [], []
-            for row, keys, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = y = 0
-                rest = []
-                for k, t in zip(keys, times, strict=True):
-                    v = known.get(k)
-                    if v is None:
-                        rest.append((k, t))
-                    else:
-                        x, y = x + t * v[0], y + t * v[1]
+            freq, cuts = batch.column(2).flatten().to_numpy(), np.cumsum([0, *pa.compute.fill_null(pa.compute.list_value_length(batch.column(2)), 0).to_pylist()])
+            for k, (row, keys) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                at = np.array([known.get(x, -1) for x in keys], np.int64)
+                times = freq[cuts[k] : cuts[k + 1]]
+                x, y = (sums[at] * times[:, None]).sum(axis=0).tolist()
+                rest = np.flatnonzero(at < 0).tolist()
                 of += [row] * (1 + len(rest))
                 best += [x] + [0] * len(rest)
                 count += [y] + [0] * len(rest)
-                key += [None, *(k for k, _ in rest)]
-                n += [0, *(t for _, t in rest)]
+                key += [None, *(keys[i] for i in rest)]
+                n += [0, *times[rest].tolist()]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (of, best, count)), pa.array(key, pa.string()), pa.array(n, pa.int64())], names=["row", "n_best", "count_sum", "key", "times"])
 
     parts = rows.select("row", "keys", "times").mapInArrow(run, "row long, n_best long, count_sum long, key string, times long")
@@ -295,5 +309,5 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     parts = parts.withColumn("key", F.coalesce("key", F.concat(F.lit("#"), F.col("row").cast("string"))))
     joined = parts.join(values.select("key", F.col("n_best").alias("b"), F.col("count_sum").alias("c")), "key", "left")
     share = lambda name, of: F.sum(F.col(name) + F.col("times") * F.coalesce(of, F.lit(0))).alias(name)
-    sums = joined.groupBy("row").agg(share("n_best", "b"), share("count_sum", "c"))
-    return rows.select("row", "id", "n_a", "n_b", "n_groups", "n_links", "groups").join(sums, "row").select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
+    added = joined.groupBy("row").agg(share("n_best", "b"), share("count_sum", "c"))
+    return rows.select("row", "id", "n_a", "n_b", "n_groups", "n_links", "groups").join(added, "row").select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
