@@ -284,3 +284,32 @@ def first_spec(records: DataFrame, specs: DataFrame, id_col: str) -> DataFrame:
     named = specs.select(F.col("ordinal"), F.col("name").alias("spec"), F.col("benchmark"), F.col("aspect").alias("spec_aspect"))
     hits = records.join(F.broadcast(named), "benchmark").where(fits)
     return hits.withColumn("__k", F.row_number().over(Window.partitionBy(id_col).orderBy("ordinal"))).where("__k = 1").drop("__k", "ordinal", "spec_aspect")
+
+
+#: Specs up to this number go to all tasks; more meet their records by a shuffle.
+MOST_SPECS = 10_000
+
+
+def matched_records(records: DataFrame, specs: DataFrame, line: str, scores: str, prefix: str = "line") -> DataFrame:
+    """Records with the first spec (by ordinal) that fits: id (prefix and line number), spec, human_scores (the finite ones), human_score
+    (their mean) and all columns of records.
+
+    records: benchmark, aspect, task, original_data, the line number and an array of scores. specs: ordinal, name, benchmark, aspect, and
+    task and original_data, which are to be equal where a spec has them. A record without a finite score has no spec, so it isn't
+    there; nor is one that no spec fits. Null arrays have no scores; repeated lines are records of their own.
+    """
+    fine = F.filter(F.col(scores).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    ok = records.withColumn("human_scores", fine).where(F.size("human_scores") > 0)
+    base = F.trim(F.split_part("aspect", F.lit(":"), F.lit(1)))
+    wanted = F.col("__aspect")
+    fits = (base == wanted) | base.startswith(F.concat(wanted, F.lit(" "))) | base.startswith(F.concat(wanted, F.lit("(")))
+    named = specs.select("benchmark", F.col("aspect").alias("__aspect"), *[F.col(c).alias(f"__{c}") for c in ("ordinal", "name", "task", "original_data")])
+    same = [F.col(f"__{c}").isNull() | F.col(f"__{c}").eqNullSafe(F.col(c)) for c in ("task", "original_data")]
+    if named.limit(MOST_SPECS + 1).count() <= MOST_SPECS:
+        named = F.broadcast(named)
+    hits = ok.withColumn("__row", F.monotonically_increasing_id())
+    first = hits.join(named, "benchmark").where(fits & same[0] & same[1])
+    k = F.row_number().over(Window.partitionBy("__row").orderBy("__ordinal"))  # as many rows as specs at most
+    first = first.withColumn("__k", k).where("__k = 1")
+    mean = F.aggregate("human_scores", F.lit(0.0), lambda a, x: a + x) / F.size("human_scores")
+    return first.select(F.concat(F.lit(f"{prefix}:"), F.col(line).cast("string")).alias("id"), F.col("__name").alias("spec"), "human_scores", mean.alias("human_score"), *records.columns)

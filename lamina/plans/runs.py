@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.functions import diffs
-from lamina.operators import balancing, splitting, suites
+from lamina.operators import balancing, scoring, splitting, suites
 from lamina.plans.queries import _ITEMS, _WS, _h, _t, items, query
 from lamina.streaming import prefix
 
@@ -84,3 +84,23 @@ def split_balance(spark, sf):
     per = balancing.deviations(out, features, F.lit(1.0), "doc_id").join(F.broadcast(out.groupBy("split").agg(F.count("*").alias("size"))), "split")
     off = F.abs(F.col("observed") - F.col("target"))
     return per.select("feature", "split", "size", "total", F.round("target", 6).alias("target"), (off <= F.greatest(F.lit(6.0), F.col("target") / 10)).alias("within"))
+
+
+_SPECS = [(0, "german", "en-de", "style", "de", None), (1, "french web", "en-de", "style", "fr", "web"), (2, "style", "en-de", "style", None, None), (3, "never", "en-de", "style", None, None), (4, "rest", "other", "length", None, None)]
+
+
+@query(f"""WITH s AS (SELECT * FROM (VALUES {", ".join(str(x).replace("None", "NULL") for x in _SPECS)}) t(ordinal, name, benchmark, aspect, task, original_data)),
+r AS (SELECT d.doc_id, CASE WHEN d.doc_id % 5 < 4 THEN 'en-de' ELSE 'other' END AS benchmark, CASE d.doc_id % 4 WHEN 0 THEN 'style: of words' WHEN 1 THEN 'style (all)' WHEN 2 THEN 'styles' ELSE 'length' END AS aspect,
+  lang AS task, CASE WHEN n_chars % 2 = 0 THEN 'web' END AS original_data, list_filter([CASE WHEN n_chars % 7 = 0 THEN NULL ELSE CAST(quality AS DOUBLE) END, CASE WHEN n_chars % 3 = 0 THEN NULL ELSE CAST(toxic AS DOUBLE) END], lambda x: x IS NOT NULL) AS v FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s.ordinal) AS k FROM r JOIN s ON s.benchmark = r.benchmark AND (trim(split_part(r.aspect, ':', 1)) = s.aspect OR trim(split_part(r.aspect, ':', 1)) LIKE s.aspect || ' %' OR trim(split_part(r.aspect, ':', 1)) LIKE s.aspect || '(%')
+  AND (s.task IS NULL OR s.task = r.task) AND (s.original_data IS NULL OR s.original_data = r.original_data) WHERE len(v) > 0)
+SELECT 'doc:' || doc_id AS id, name AS spec, CAST(len(v) AS INTEGER) AS n, round(list_sum(v) / len(v), 9) AS human_score FROM h WHERE k = 1""")
+def spec_records(spark, sf):
+    """Labelled documents as records of a benchmark; scores that aren't there are null or no number."""
+    rows = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id")
+    aspect = F.element_at(F.array(*[F.lit(a) for a in ("style: of words", "style (all)", "styles", "length")]), (F.col("doc_id") % 4).cast("int") + 1)
+    score = lambda c, k, none: F.when(F.col("n_chars") % k != 0, F.col(c).cast("double")).otherwise(F.lit(none))
+    records = rows.select("doc_id", F.when(F.col("doc_id") % 5 < 4, "en-de").otherwise("other").alias("benchmark"), aspect.alias("aspect"), F.col("lang").alias("task"), F.when(F.col("n_chars") % 2 == 0, "web").alias("original_data"), F.array(score("quality", 7, float("nan")), score("toxic", 3, None)).alias("scores"))
+    specs = spark.createDataFrame(_SPECS, "ordinal int, name string, benchmark string, aspect string, task string, original_data string")
+    out = scoring.matched_records(records, specs, "doc_id", "scores", "doc")
+    return out.select("id", "spec", F.size("human_scores").alias("n"), F.round("human_score", 9).alias("human_score"))
