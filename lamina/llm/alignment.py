@@ -80,7 +80,12 @@ class Aligner:
     #: A space after what is no white space, for either tokenizer, begins a word.
     _cut = re.compile(r"(?<=\S)(?= )").split
 
+    _loose = re.compile(r"[^\S ] ").search
+
     def words(self, text: str) -> list[str]:
+        """The words of a text that begins with a space."""
+        if "  " not in text and text[-1] != " " and not self._loose(text):  # every space begins one
+            return [" " + w for w in text[1:].split(" ")]
         return self._cut(text)
 
     def encoded(self, text: str) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray] | None:
@@ -115,10 +120,12 @@ class Aligner:
         known = self._known
         new = [w for w in words if w not in known]
         if len(known) + len(new) > MEMORY:
+            kept = {w: [self.names[k] for k in known[w]] for w in words if known.get(w) is not None}  # frequent words among them
             known.clear()
             self._number.clear()
             self.names.clear()
-            new = list(words)
+            known.update((w, self._numbers(keys)) for w, keys in kept.items())
+            new = [w for w in words if w not in known]
         for k in range(0, len(new), 2048):
             some = new[k : k + 2048]
             found = self.encoded("".join(some)[1:]) if not any(w[-1].isspace() for w in some) else None

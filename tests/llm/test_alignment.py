@@ -77,6 +77,18 @@ def test_alignment_is_that_of_whole_texts(spark, hot):
     assert sum(w[2] > 0 for w in want) > 150 and any(t and w[2] == 0 for t, w in zip(texts, want, strict=True))
 
 
+def test_words_that_are_forgotten_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(alignment, "MEMORY", 40)
+    r = random.Random(6)
+    both = alignment.Aligner(A, B)
+    texts = [" ".join(r.choice(["the", "of", f"w{r.randrange(500)}", "x\t", "", "é "]) for _ in range(20)) or "a" for _ in range(60)]
+    for text in texts:
+        words = both.words(" " + text)
+        assert words == both._cut(" " + text) and "".join(words) == " " + text
+        known = both.interned(set(words))
+        assert [both.names[k] for w in words for k in known[w]] == both.groups(text)
+
+
 def test_alignment_of_odd_tables(spark):
     assert alignment.align_tokens(docs_of(spark, []), A, B).collect() == []
     rows = alignment.align_tokens(docs_of(spark, [(7, "a word"), (7, "a word"), (7, "other"), (None, "a word"), (None, None)]), A, B).collect()
