@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lamina.functions import diffs
+from lamina.functions.ordering import shared_dir
 from lamina.operators import balancing, scoring, splitting, suites
-from lamina.plans.queries import _ITEMS, _WS, _h, _t, items, query
+from lamina.plans.queries import _ITEMS, _WS, _h, _norm, _t, items, query
+from lamina.sources.jsonl import Layers
 from lamina.streaming import prefix
+from lamina.streaming.layers import LayerJob, layer_items
 
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END"
 _CHUNKS = f"SELECT number // 32 AS chunk, count(*) AS n, sha256(string_agg(h, '' ORDER BY number)) AS hash FROM (SELECT h, row_number() OVER (ORDER BY doc_id, h) - 1 AS number FROM (SELECT doc_id, sha256({_FIELD.format('doc_id')} || {_FIELD.format('text')}) AS h FROM {{0}})) GROUP BY 1"
@@ -104,3 +109,27 @@ def spec_records(spark, sf):
     specs = spark.createDataFrame(_SPECS, "ordinal int, name string, benchmark string, aspect string, task string, original_data string")
     out = scoring.matched_records(records, specs, "doc_id", "scores", "doc")
     return out.select("id", "spec", F.size("human_scores").alias("n"), F.round("human_score", 9).alias("human_score"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, coalesce({_norm("text")}, '') = '' AS blank FROM documents),
+a AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'no_answer' WHEN text IS NULL OR doc_id % 7 = 1 AND blank THEN 'empty_output' WHEN doc_id % 7 = 1 THEN 'unchanged_output' END AS r0 FROM d),
+b AS (SELECT *, CASE WHEN r0 IS NULL THEN NULL WHEN doc_id % 3 <> 0 THEN 'no_answer' WHEN text IS NULL THEN 'empty_output' END AS r1, CAST(r0 IS NOT NULL AS INTEGER) AS attempt FROM a)
+SELECT CAST(doc_id AS VARCHAR) AS base_text_id, r1 IS NULL AS ok, attempt, r1 AS reason, CAST(attempt + 1 AS BIGINT) AS n_attempts, CASE WHEN r1 IS NULL THEN sha256('draft ' || attempt || ': ' || text) END AS text_sha256 FROM b""")
+def layer_job_state(spark, sf):
+    """A layer of all documents as a job whose generator fails for some, with one more attempt of these: state, and published texts."""
+    layers = Layers(spark, f"{shared_dir(spark)}/layers-{uuid.uuid4().hex}")
+    originals = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("base_text_id"), "text")
+
+    def work(rows):
+        number, first = F.col("base_text_id").cast("long"), F.col("attempt") == 0
+        says = F.concat(F.lit("draft "), F.col("attempt").cast("string"), F.lit(": "), F.col("text"))
+        fails = F.when(F.when(first, number % 7 == 0).otherwise(number % 3 != 0), "no_answer")
+        return rows.select(F.col("candidate_id").alias("parent_candidate_id"), "base_text_id", F.when(first & (number % 7 == 1), F.col("text")).otherwise(says).alias("text"), fails.alias("generation_failure"))
+
+    job = LayerJob(layers, layer_items(layers, "docs", originals), "docs", "drafts", "run0", 1, work)
+    job.run()
+    job.run(retry_failed=True)
+    job.publish("2024-01-01T00:00:00Z")
+    texts = layers.get("drafts", "run0", 1).select("parent_candidate_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    base = F.substring_index("parent_candidate_id", "__", -1).alias("base_text_id")
+    return job.state().join(texts, "parent_candidate_id", "left").select(base, "ok", "attempt", "reason", "n_attempts", "text_sha256")

@@ -12,6 +12,8 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, Struct
 from lamina.functions.ordering import numbered, running_sum, written
 from lamina.functions.text import finite
 from lamina.operators.lineage import duplicates, enforce
+from lamina.streaming.journal import Changed
+from lamina.streaming.prefix import publish_once
 
 ORIGINAL_KEYS = ("custom_id", "head_id")
 
@@ -168,6 +170,10 @@ def write_table(df: DataFrame, path: str, order: list[str]) -> None:
     df.orderBy(*order).coalesce(1).write.mode("errorifexists").csv(path, header=True)
 
 
+class Conflict(ValueError):
+    """Another writer was first."""
+
+
 class Layers:
     """Layers of candidates under one folder: method, run_id and target_layer are partitions of immutable
     snapshots, and a small catalog says which snapshot holds. A layer is seen only after its catalog row
@@ -199,8 +205,8 @@ class Layers:
         """The rows of one layer; LookupError if there is none."""
         return self.read([method], [run_id], [layer])
 
-    def write(self, rows: DataFrame, method: str, run_id: str, layer: int, created_at_utc: str, source_layer: int = 0, source_method: str | None = None, source_run_id: str | None = None, config: dict | None = None, input_count: int | None = None) -> None:
-        """A new snapshot of a layer; the former one stays on disk."""
+    def _stored(self, rows: DataFrame, method: str, run_id: str, layer: int, source_layer: int, source_method: str | None) -> tuple[str, int]:
+        """Rows as an immutable snapshot that no catalog row names yet: its name and number of rows."""
         for part in (method, run_id):
             path_part(part)
         for column, own in (("perturbation_method", method), ("run_id", run_id), ("target_layer", layer)):
@@ -213,10 +219,56 @@ class Layers:
         rows.drop(*self.KEY).write.parquet(path)
         back = self.spark.read.parquet(path)
         enforce(duplicates(back, "candidate_id"), "candidate ids are unique in a layer")
-        n = back.count()
-        entry = (method, run_id, layer, snapshot, source_layer, source_method, source_run_id, json.dumps(config or {}, sort_keys=True), input_count, n, created_at_utc)
+        return snapshot, back.count()
+
+    def _enter(self, entry: tuple) -> None:
         self.spark.createDataFrame([entry], self.SCHEMA).coalesce(1).write.mode("append").json(f"{self.root}/catalog")
 
+    def write(self, rows: DataFrame, method: str, run_id: str, layer: int, created_at_utc: str, source_layer: int = 0, source_method: str | None = None, source_run_id: str | None = None, config: dict | None = None, input_count: int | None = None) -> None:
+        """A new snapshot of a layer; the former one stays on disk."""
+        snapshot, n = self._stored(rows, method, run_id, layer, source_layer, source_method)
+        self._enter((method, run_id, layer, snapshot, source_layer, source_method, source_run_id, json.dumps(config or {}, sort_keys=True), input_count, n, created_at_utc))
+
+    def newest(self, method: str, run_id: str, layer: int) -> dict | None:
+        """A layer's newest catalog row. A snapshot that was claimed by a publisher who died before its catalog row is entered first."""
+        while True:
+            row = self.catalog([method], [run_id], [layer]).first()
+            row = None if row is None else {c: row[c] for c in self.columns()}
+            claim = self._claim(method, run_id, layer, None if row is None else row["snapshot"])
+            if not self._exists(claim):
+                return row
+            text = (self.spark.read.text(claim, wholetext=True).first() or [""])[0].strip()
+            if not text:
+                raise Conflict(f"{claim} is being made, or its maker died; remove it if none runs")
+            self._enter(tuple(json.loads(text)))
+
+    @classmethod
+    def columns(cls) -> list[str]:
+        return [c.split()[0] for c in cls.SCHEMA.split(", ")]
+
+    def _claim(self, method: str, run_id: str, layer: int, after: str | None) -> str:
+        return f"{self.root}/claims/method={method}/run_id={run_id}/target_layer={layer}/after-{after or 'nothing'}"
+
+    def publish(self, rows: DataFrame, method: str, run_id: str, layer: int, created_at_utc: str, expected: str | None, source_layer: int = 0, source_method: str | None = None, source_run_id: str | None = None, config: dict | None = None, input_count: int | None = None) -> str:
+        """A new snapshot in place of the newest one that the caller has seen (`expected`, None for no layer yet), and its name.
+
+        Conflict where another snapshot is the newest by now, or another writer has claimed to follow it. The claim is a
+        file that one writer can make; it holds the catalog row, so a writer who dies behind it has published.
+        """
+        now = self.newest(method, run_id, layer)
+        if (None if now is None else now["snapshot"]) != expected:
+            raise Conflict(f"the newest snapshot is {None if now is None else now['snapshot']}, not {expected}")
+        if now is not None and now["created_at_utc"] >= created_at_utc:
+            raise ValueError(f"the newest snapshot is of {now['created_at_utc']}")
+        snapshot, n = self._stored(rows, method, run_id, layer, source_layer, source_method)
+        entry = (method, run_id, layer, snapshot, source_layer, source_method, source_run_id, json.dumps(config or {}, sort_keys=True), input_count, n, created_at_utc)
+        try:
+            publish_once(self.spark, self._claim(method, run_id, layer, expected), json.dumps(entry))
+        except Changed as e:
+            raise Conflict(str(e)) from e
+        self._enter(entry)
+        return snapshot
+
     def read(self, methods: list[str] | None = None, runs: list[str] | None = None, layers: list[int] | None = None) -> DataFrame:
         """Rows of the layers that fit, with their partition columns; only their folders are read."""
         keys = [tuple(r) for r in self.catalog(methods, runs, layers).select(*self.KEY, "snapshot").collect()]  # a row for each layer
