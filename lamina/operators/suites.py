@@ -54,15 +54,18 @@ def t_probability(r: float, n: int) -> float | None:
 
 
 def kendall_probability(tau: float | None, n: int, x_ties: list[int], y_ties: list[int]) -> float | None:
-    """Two-sided probability of Kendall's tau-b: exact without ties for up to 33 pairs, else by the normal law with
-    the variance that ties leave. x_ties, y_ties: sizes of groups of equal values."""
+    """Two-sided probability of Kendall's tau-b: exact without ties for up to 33 pairs
+    and for at most one discordant (or concordant) pair, else by the normal law with the variance that ties leave. x_ties, y_ties: sizes of groups of equal values."""
     if n < 2 or tau is None or not isfinite(tau):
         return None
     pairs = n * (n - 1) // 2
     two = lambda ts: sum(t * (t - 1) // 2 for t in ts)
     if not two(x_ties) and not two(y_ties):
         worse = round((1 - tau) / 2 * pairs)
-        if n <= 33 or min(worse, pairs - worse) <= 1:
+        few = min(worse, pairs - worse)
+        if n > 33 and few <= 1:  # one permutation is in perfect order, and n - 1 are one exchange away
+            return exp(log(2) - lgamma(n + (1 - few)))
+        if n <= 33:
             ways = [1]  # permutations of k values by inversions
             for k in range(2, n + 1):
                 sums, s = [], 0
@@ -70,7 +73,6 @@ def kendall_probability(tau: float | None, n: int, x_ties: list[int], y_ties: li
                     s += (ways[i] if i < len(ways) else 0) - (ways[i - k] if i >= k else 0)
                     sums.append(s)
                 ways = sums
-            few = min(worse, pairs - worse)
             return min(1.0, 2 * sum(ways[: few + 1]) / sum(ways)) if 2 * few != pairs else 1.0
     three = lambda ts: sum(t * (t - 1) * (t - 2) for t in ts)
     wide = lambda ts: sum(t * (t - 1) * (2 * t + 5) for t in ts)

@@ -146,10 +146,26 @@ def run_names(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", p["model"].alias("model"), p["language"].alias("language"), p["kind"].alias("kind"), p["layers"].alias("layers"))
 
 
-@query("SELECT a.v AS rate, b.v AS batch, c.v AS loss FROM (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE]) AS v) a, (SELECT unnest([32::BIGINT, 64::BIGINT, 128::BIGINT]) AS v) b, (SELECT DISTINCT lang AS v FROM documents) c")
+@query("""WITH l AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS place, count(*) AS n, max(n_chars) AS m FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+g AS (SELECT lang, row_number() OVER (ORDER BY place, r, b, k) AS trial_id, [1e-5, 2e-5][r] AS learning_rate, [8, 16][b] AS batch, [n / 8.0, m / 4.0][k] AS scale FROM l, range(1, 3) x(r), range(1, 3) y(b), range(1, 3) z(k))
+SELECT CAST(trial_id AS INTEGER) AS trial_id, lang AS loss, CAST(learning_rate AS DOUBLE) AS learning_rate, batch, CAST(scale AS DOUBLE) AS scale,
+  printf('%03d_%s_lr', trial_id, lang) || format('{:g}', CAST(learning_rate AS DOUBLE)) || '_scale' || format('{:g}', CAST(scale AS DOUBLE)) || '_bs' || batch AS trial_name FROM g""")
 def trial_grid_table(spark, sf):
-    losses = sorted(r[0] for r in _t(spark, sf, "documents").select("lang").distinct().collect())  # a few languages
-    return trials.grid_table(spark, {"rate": [0.1, 0.2], "batch": [32, 64, 128], "loss": losses})
+    """A grid whose losses are the languages, and whose scales come from their numbers and lengths of documents."""
+    per = _t(spark, sf, "documents").where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), F.max("n_chars").alias("m"))
+    losses = {r["lang"]: {"scale": [r["n"] / 8, r["m"] / 4]} for r in per.orderBy("lang").collect()}  # a few languages
+    grid = trials.trial_grid(spark, {"grid": {"learning_rate": [1e-5, 2e-5], "per_device_train_batch_size": [8, 16]}, "losses": losses})
+    return grid.select("trial_id", "loss", "learning_rate", F.col("per_device_train_batch_size").alias("batch"), "scale", "trial_name")
+
+
+@query("""WITH d AS (SELECT doc_id, 100 + n_chars % 900 AS evaluate, (100 + n_chars % 900) * (1 + doc_id % 4) AS save, CAST(8 * (1 + doc_id % 7) AS BIGINT) AS size FROM documents WHERE n_chars IS NOT NULL),
+s AS (SELECT *, greatest(1, CAST(round_even(evaluate / CAST(size AS DOUBLE), 0) AS BIGINT)) AS steps FROM d)
+SELECT doc_id, CAST(size AS BIGINT) AS global_batch_size, CAST(steps AS BIGINT) AS eval_steps, CAST(steps * (save // evaluate) AS BIGINT) AS save_steps, CAST(steps * size AS BIGINT) AS effective_eval_examples, CAST(steps * (save // evaluate) * size AS BIGINT) AS effective_save_examples FROM s""")
+def schedule_steps(spark, sf):
+    docs = _t(spark, sf, "documents").where("n_chars is not null")
+    evaluate = 100 + F.col("n_chars") % 900
+    made = trials.example_schedule(evaluate * (1 + F.col("doc_id") % 4), evaluate, 1 + F.col("doc_id") % 7, F.lit(2), F.lit(4))
+    return docs.select("doc_id", made.alias("s")).select("doc_id", "s.*")
 
 
 @query("SELECT max(doc_id) AS number, 'out/m_' || max(doc_id) || '.jsonl' AS path FROM documents WHERE doc_id % 10 <> 9")

@@ -327,23 +327,38 @@ def composed_order(spark, sf):
 
 # --- answers and prompts ---------------------------------------------------------------------------
 
-_COMPLETED = """CASE turn WHEN 0 THEN '{"text": "a\\\\nb", "applied_edits": {"e1": 2}} tail' WHEN 1 THEN '<think>x</think> done ' WHEN 2 THEN '{"text": "kept", "applied_ed' WHEN 3 THEN '{"text": "cut of' WHEN 4 THEN '<think>only' ELSE '```json' || chr(10) || '{"text": "  "}' || chr(10) || '```' END"""
+_EDGE = rf"^{_WS}|{_WS}$"
 
 
-@query("""SELECT conv_id, turn, CASE turn WHEN 0 THEN 'a' || chr(10) || 'b' WHEN 1 THEN 'done' WHEN 2 THEN 'kept' WHEN 3 THEN '' WHEN 4 THEN '' ELSE '  ' END AS text, CASE turn WHEN 0 THEN NULL WHEN 1 THEN 'truncated_output' WHEN 2 THEN NULL WHEN 3 THEN 'unparseable_output' WHEN 4 THEN 'reasoning_only' ELSE 'empty_output' END AS reason, turn = 0 AS reported
-FROM conversations WHERE turn <> 1 UNION ALL SELECT conv_id, turn, '', 'truncated_output', false FROM conversations WHERE turn = 1""")
+@query(f"""WITH c AS (SELECT conv_id, turn, conv_id % 6 AS kind, coalesce(text, '') AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN kind IN (0, 2) THEN t WHEN kind IN (1, 5) THEN regexp_replace('A: ' || t, '{_EDGE}', '', 'g') ELSE '' END AS text,
+  CASE WHEN kind = 3 THEN 'unparseable_output' WHEN kind = 4 THEN CASE WHEN turn % 2 = 0 THEN 'reasoning_only' ELSE 'truncated_output' END WHEN kind IN (0, 2) AND regexp_replace(t, '{_EDGE}', '', 'g') = '' THEN 'empty_output' END AS reason, kind = 0 AS reported,
+  CASE WHEN kind = 0 THEN turn END AS edits, kind = 2 AS cut FROM c""")
 def completion_parse(spark, sf):
-    c = _t(spark, sf, "conversations").withColumn("c", answers.completion(F.expr(_COMPLETED), F.lit(None).cast("string"), F.when(F.col("turn").isin(1, 2), "length").otherwise("stop")))
-    return c.select("conv_id", "turn", F.col("c.text").alias("text"), F.col("c.reason").alias("reason"), F.col("c.edits_reported").alias("reported"))
-
-
-_BROKEN = """CASE turn WHEN 0 THEN '{"prompt_sentence": "p", "text": "t"}' WHEN 1 THEN 'So: {"prompt_sentence": "He said "no", then", "text": "t" } end' WHEN 2 THEN '{"prompt_sentence": "p", "text": "t"' WHEN 3 THEN 'none' WHEN 4 THEN '{"text": "t"}' ELSE '{"prompt_sentence": 3, "text": "t"}' END"""
-
-
-@query("""SELECT conv_id, turn, CASE turn WHEN 0 THEN 'p' WHEN 1 THEN 'He said "no", then' WHEN 2 THEN 'p' END AS prompt_sentence, CASE WHEN turn < 3 THEN 't' END AS text, CASE turn WHEN 3 THEN 'no_object' WHEN 4 THEN 'missing_field' WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 'not_a_string' END AS reason FROM conversations""")
+    """Turns as answers: an object with counts and more behind it, after a thought, cut after its text, cut in its text, a thought alone or
+    a cut answer, fenced."""
+    c = _t(spark, sf, "conversations").withColumn("t", F.coalesce("text", F.lit(""))).withColumn("kind", F.col("conv_id") % 6)
+    kind, json_, says = F.col("kind"), F.to_json(F.struct(F.col("t").alias("text"))), F.concat(F.lit("A: "), F.col("t"))
+    raw = F.when(kind == 0, F.concat(F.to_json(F.struct(F.col("t").alias("text"), F.create_map(F.lit("e"), "turn").alias("applied_edits"))), F.lit(" tail"))).when(kind == 1, F.concat(F.lit("<think>no</think> "), says))
+    raw = raw.when(kind == 2, F.concat(F.expr("left(to_json(struct(t as text)), length(to_json(struct(t as text))) - 1)"), F.lit(', "app'))).when(kind == 3, F.concat(F.lit('{"text": "'), F.regexp_replace("t", r'["\\]', "")))
+    raw = raw.when(kind == 4, F.concat(F.when(F.col("turn") % 2 == 0, "<think>").otherwise("so "), F.col("t"))).otherwise(F.concat(F.lit("```json\n"), says, F.lit("\n```")))
+    finish = F.when((kind == 2) | (kind == 4) & (F.col("turn") % 2 == 1), "length").otherwise("stop")
+    found = c.withColumn("c", answers.completion(raw, F.lit(None).cast("string"), finish))
+    return found.select("conv_id", "turn", "c.text", "c.reason", F.col("c.edits_reported").alias("reported"), F.col("c.edits")["e"].alias("edits"), "c.cut")
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, conv_id % 6 AS kind, 'T: ' || coalesce(text, '') AS t FROM conversations), w AS (SELECT *, regexp_replace(t, '[\"\\\\{{}}[:cntrl:]]', '', 'g') AS w FROM c)
+SELECT conv_id, turn, CASE kind WHEN 0 THEN regexp_replace(t, '{_EDGE}', '', 'g') WHEN 1 THEN 'p' WHEN 2 THEN 'p' WHEN 3 THEN regexp_replace('He said "no", ' || w, '{_EDGE}', '', 'g') END AS prompt_sentence,
+  CASE WHEN kind IN (0, 1, 2, 3) THEN regexp_replace(CASE WHEN kind = 0 THEN t ELSE w END, '{_EDGE}', '', 'g') END AS text, CASE kind WHEN 4 THEN 'missing_field' WHEN 5 THEN 'not_a_string' END AS reason FROM w""")
 def json_repair(spark, sf):
-    c = _t(spark, sf, "conversations").withColumn("r", answers.repaired_object(F.expr(_BROKEN)))
-    return c.select("conv_id", "turn", "r.*")
+    """Turns as objects: whole, among other words, without its last brace, with bare quotes, without a field, with a number."""
+    c = _t(spark, sf, "conversations").withColumn("t", F.concat(F.lit("T: "), F.coalesce("text", F.lit(""))))
+    c = c.withColumn("w", F.regexp_replace("t", r'["\\{}\x00-\x1f\x7f]', "")).withColumn("kind", F.col("conv_id") % 6)
+    kind, made = F.col("kind"), F.to_json(F.struct(F.lit("p").alias("prompt_sentence"), F.col("w").alias("text")))
+    raw = F.when(kind == 0, F.to_json(F.struct(F.col("t").alias("prompt_sentence"), F.col("t").alias("text")))).when(kind == 1, F.concat(F.lit("So: "), made, F.lit(" end"))).when(kind == 2, F.rtrim(made, F.lit("}")))
+    raw = raw.when(kind == 3, F.concat(F.lit('{"prompt_sentence": "He said "no", '), F.col("w"), F.lit('", "text": "'), F.col("w"), F.lit('" }'))).when(kind == 4, F.to_json(F.struct(F.col("w").alias("text"))))
+    raw = raw.otherwise(F.to_json(F.struct(F.col("conv_id").alias("prompt_sentence"), F.col("w").alias("text"))))
+    return c.withColumn("r", answers.repaired_object(raw)).select("conv_id", "turn", "r.*")
 
 
 _ENVELOPE = """CASE turn WHEN 0 THEN '{"text": "a", "key": "k"}' WHEN 1 THEN '{"custom_id": "k", "candidates": [{"content": {"parts": [{"text": "b"}, {"x": 1}, {"text": "c"}]}}, {"content": {"parts": [{"text": "d"}]}}]}' WHEN 2 THEN '{"metadata": {"key": "k"}, "output": [{"content": [{"type": "no", "text": "x"}, {"type": "output_text", "text": "e"}]}]}' WHEN 3 THEN '{"request": {"key": "k"}, "message": "f"}' WHEN 4 THEN '{"message": 4}' ELSE 'broken' END"""

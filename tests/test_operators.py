@@ -4,7 +4,7 @@ import itertools
 import json
 import random
 from collections import Counter
-from math import erf, sqrt
+from math import erf, factorial, sqrt
 
 import pytest
 from pyspark.sql import functions as F
@@ -286,25 +286,40 @@ def test_other_hashes(spark, tmp_path):
 # --- answers and prompts ---------------------------------------------------------------------------
 
 
-def test_completions():
-    f = answers.final_text
-    assert f(None, None, "stop", False)[1] == "empty_output" and f("  ", None, "stop", False)[1] == "empty_output"
-    assert f("<think>a</think> b", None, "stop", False)[:2] == ("b", None) and f("a</think>b", None, "stop", True)[0] == "b"
-    assert f("no thought", None, "stop", True)[1] == "reasoning_only" and f("raw", "final", "stop", True)[0] == "final"
-    assert f('{"text": "x", "applied_edits": {"a": 1}} more', None, "length", False) == ("x", None, {"a": 1}, True, True)
-    assert f('{"text": "x", "applied_edits": {"a": -1}}', None, "stop", False)[3] is False
-    assert f('{"text": "x", "app', None, "length", False)[:2] == ("x", None) and f('{"text": "x', None, "length", False)[1] == "unparseable_output"
-    assert f("[1]", None, "abort", False)[1] == "engine_abort" and f('{"text": 3}', None, "stop", False)[1] == "unparseable_output"
-    assert f("plain", None, "length", False)[1] == "truncated_output" and f("```json\nx```", None, "stop", False)[0] == "x"
-
-
-def test_repairs():
-    f = lambda x: answers.repaired(x, ("prompt_sentence", "text"))
-    both = {"prompt_sentence": "p", "text": "t"}
-    for x in ('{"prompt_sentence": "p", "text": "t"}', '<think>{}</think>```json\n{"prompt_sentence": " p ", "text": "t"}\n```', 'a {"prompt_sentence": "p", "text": "t"} b', '{"prompt_sentence": "p", "text": "t"', '{"prompt_sentence": "p" "text": "t"}'):
-        assert f(x) == (both, None)
-    assert f('{"prompt_sentence": "a\\n"b"", "text": "t\\u00e9"}')[0] == {"prompt_sentence": 'a\n"b"', "text": "té"}
-    assert [f(x)[1] for x in ("x", '{"text": "t"}', '{"prompt_sentence": "", "text": "t"}', '{"prompt_sentence": 1, "text": "t"}', "[1]", None)] == ["no_object", "missing_field", "empty_field", "not_a_string", "no_object", "no_object"]
+def test_completions(spark):
+    asked = []
+
+    def f(raw, content, finish, thinking):
+        asked.append((raw, content, finish, thinking))
+        return len(asked) - 1
+
+    fenced = "```json\nx```"
+    rows = [
+        (f(None, None, "stop", False), "", "empty_output"), (f("  ", None, "stop", False), "", "empty_output"), (f("<think>a</think> b", None, "stop", False), "b", None), (f("a</think>b", None, "stop", True), "b", None),
+        (f("no thought", None, "stop", True), "", "reasoning_only"), (f("<think>open", None, "stop", False), "", "reasoning_only"), (f("raw", "final", "stop", True), "final", None), (f('{"text": "x", "app', None, "length", False), "x", None),
+        (f('{"text": "x', None, "length", False), "", "unparseable_output"), (f("[1]", None, "abort", False), "", "engine_abort"), (f('{"text": 3}', None, "stop", False), "", "unparseable_output"), (f("plain", None, "length", False), "", "truncated_output"),
+        (f(fenced, None, "stop", False), "x", None), (f('{"a": "</think>", "text": "a\\n\\"b\\u00e9"} x', None, "stop", False), 'a\n"bé', None), (f('{"text": null}', None, "stop", False), "", "unparseable_output"), (f('{"text": " "}', None, None, False), " ", "empty_output"),
+        (f("{}", None, "stop", False), "", "unparseable_output"), (f("plain", None, None, False), "plain", None), (f("\u2003é\u2003", None, "stop", False), "é", None),
+    ]
+    more = [f('{"text": "x", "applied_edits": {"a": 1}} more', None, "length", False), *[f(f'{{"text": "x", "applied_edits": {v}}}', None, "stop", False) for v in ('{"a": -1}', '{"a": true}', '{"a": 1.5}', '{"a": "1"}', "[1]", "null", "{}")]]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(asked)], "i int, raw string, content string, finish string, thinking boolean")
+    run = lambda t: df.where(F.col("thinking") == t).select("i", answers.completion(F.col("raw"), F.col("content"), F.col("finish"), t).alias("c")).collect()
+    got = {r["i"]: r["c"] for r in run(True) + run(False)}
+    for i, text, reason in rows:
+        assert (got[i]["text"], got[i]["reason"]) == (text, reason), asked[i]
+    assert tuple(got[more[0]]) == ("x", None, {"a": 1}, True, True)
+    assert [(got[i]["edits"], got[i]["edits_reported"]) for i in more[1:]] == [(None, False)] * 6 + [({}, True)]
+
+
+def test_repairs(spark):
+    both = ("p", "t", None)
+    cases = [(x, both) for x in ('{"prompt_sentence": "p", "text": "t"}', '<think>{}</think>```json\n{"prompt_sentence": " p ", "text": "t"}\n```', 'a {"prompt_sentence": "p", "text": "t"} b', '{"prompt_sentence": "p", "text": "t"', '{"prompt_sentence": "p" "text": "t"}', '{"text": "t", "prompt_sentence": "p",}')]
+    cases += [('{"prompt_sentence": "a\\n"b"", "text": "t\\u00e9"}', ('a\n"b"', "té", None)), ('{"prompt_sentence": "a \\d "q" \n z", "text": "t"}', ('a \\d "q" \n z', "t", None)), ('{"prompt_sentence": "p", "text": "cut of', ("p", "cut of", None))]
+    cases += [(x, (None, None, why)) for x, why in (("x", "no_object"), ('{"text": "t"}', "missing_field"), ('{"prompt_sentence": "", "text": "t"}', "empty_field"), ('{"prompt_sentence": 1, "text": "t"}', "not_a_string"), ('{"prompt_sentence": null, "text": "t"}', "not_a_string"), ("[1]", "no_object"), (None, "no_object"), ("", "no_object"), ("} {", "missing_field"))]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x string")
+    got = {r["i"]: tuple(r["r"]) for r in df.select("i", answers.repaired_object(F.col("x")).alias("r")).collect()}
+    for i, (x, want) in enumerate(cases):
+        assert got[i] == want, x
 
 
 def test_prompts_are_checked():
@@ -347,6 +362,12 @@ def test_probabilities_of_correlations(spark):
         for tau in set(taus):
             want = sum(abs(x) >= abs(tau) - 1e-12 for x in taus) / len(taus)
             assert abs(suites.kendall_probability(tau, n, [], []) - want) < 1e-12
+    for n, few in ((34, 0), (34, 1), (34, 2)):  # one discordant pair: closed form against all inversions
+        tau, ways = 1 - 2 * few / (n * (n - 1) / 2), [1, n - 1, (n - 2) * (n + 1) // 2]
+        want = 2 * sum(ways[: few + 1]) / factorial(n)
+        got = suites.kendall_probability(tau, n, [], [])
+        assert got == pytest.approx(want, rel=1e-9) if few < 2 else 0 < got < 1e-10
+    assert suites.kendall_probability(1.0, 10**6, [], []) == 0 and suites.kendall_probability(-1.0, 10**6, [], []) == 0
     r = random.Random(8)
     rows = [("a", float(i), float(r.randrange(5))) for i in range(60)] + [("b", float(i), float(i * i % 23)) for i in range(12)]
     got = {x["g"]: x for x in suites.correlations(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
@@ -377,19 +398,27 @@ def test_budgets(spark):
 
 def test_trials(spark):
     payload = {"grid": {"learning_rate": [1e-5, 2e-5], "per_device_train_batch_size": [8]}, "losses": {"hinge": {"epsilon": [0.1, 0.2]}, "logistic": {"scale": [5.0]}}}
-    grid = trials.trial_grid(payload)
+    rows = [r.asDict() for r in trials.trial_grid(spark, payload).orderBy("trial_id").collect()]
+    grid = [{k: v for k, v in r.items() if v is not None} for r in rows]
+    assert [(r["learning_rate"], r["epsilon"], r["scale"]) for r in rows] == [(1e-5, 0.1, 5.0), (1e-5, 0.2, 5.0), (2e-5, 0.1, 5.0), (2e-5, 0.2, 5.0), (1e-5, 0.2, 5.0), (2e-5, 0.2, 5.0)]
+    assert [r["trial_id"] for r in rows] == [1, 2, 3, 4, 5, 6]
+    (huber, mae) = trials.trial_grid(spark, {"grid": {"learning_rate": [1e-5], "per_device_train_batch_size": [8]}, "losses": {"huber": {}, "mae": {}}}, "regression").orderBy("trial_id").collect()
+    assert huber["trial_name"] == "001_huber_lr1e-05_delta1_bs8" and mae["trial_name"] == "002_mae_lr1e-05_bs8"
     assert len(grid) == 6 and grid[0]["trial_name"] == "001_hinge_lr1e-05_margin0.1_bs8" and grid[-1]["trial_name"] == "006_logistic_lr2e-05_scale5_bs8"
     assert all(trials.trial_fault(t) is None for t in grid) and "missing" in trials.trial_fault({"trial_id": 1})
     assert trials.trial_fault({**grid[0], "loss": "huber", "huber_delta": 0}, "regression") == "huber_delta" and "unknown" in trials.trial_fault({**grid[0], "loss": "x"})
     assert trials.loss_name(" Margin ") == "hinge" and trials.loss_name(None, "regression") == "huber"
     with pytest.raises(ValueError):
         trials.loss_name("x")
-    assert trials.example_schedule(2000, 500, 32, 1, 4) == {"global_batch_size": 128, "eval_steps": 4, "save_steps": 16, "effective_eval_examples": 512, "effective_save_examples": 2048}
-    assert trials.example_schedule(None, None, 1) is None
-    for bad in ((100, None, 1), (100, 30, 1), (0, 0, 1)):
-        with pytest.raises(ValueError):
-            trials.example_schedule(*bad)
+    steps = lambda *x: spark.range(1).select(trials.example_schedule(*[F.lit(v).cast("long") for v in x]).alias("s")).first()["s"]
+    assert steps(2000, 500, 32, 1, 4).asDict() == {"global_batch_size": 128, "eval_steps": 4, "save_steps": 16, "effective_eval_examples": 512, "effective_save_examples": 2048}
+    assert steps(None, None, 1) is None and steps(80, 80, 32)["eval_steps"] == 2 and steps(4, 4, 32)["save_steps"] == 1  # 2.5 and 0.125
+    for bad in ((100, None, 1), (100, 30, 1), (0, 0, 1), (None, 3, 1)):
+        with pytest.raises(Exception, match="both intervals"):
+            steps(*bad)
     paths = spark.createDataFrame([(f"x/m_{i}.jsonl",) for i in (0, 2, 10)] + [("x/other_5.jsonl",)], "path string")
+    dense = spark.createDataFrame([(f"m_{i}",) for i in (1, 2, 4, 5, 6)], "path string")  # five names, 5 and 6 are taken
+    assert trials.next_number(dense, "m_") == 7 and trials.next_number(dense.where("path = ''"), "m_") == 0
     assert trials.next_number(paths, "m_", ".jsonl") == 3 and trials.latest_number(paths, "m_", ".jsonl").first()["number"] == 10
     names = spark.createDataFrame([("final",), ("checkpoint-20",), ("checkpoint-3",)], "n string")
     assert [x["n"] for x in names.orderBy(trials.checkpoint_order("n")).collect()] == ["checkpoint-3", "checkpoint-20", "final"]
