@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lamina.functions import diffs
+from lamina.functions import diffs, swaps
+from lamina.functions.draws import h32
 from lamina.functions.ordering import shared_dir
-from lamina.operators import balancing, scoring, splitting, suites
+from lamina.operators import balancing, rules, scoring, splitting, suites
 from lamina.plans.queries import _ITEMS, _WS, _h, _norm, _t, items, query
 from lamina.sources.jsonl import Layers
 from lamina.streaming import prefix
@@ -133,3 +134,40 @@ def layer_job_state(spark, sf):
     texts = layers.get("drafts", "run0", 1).select("parent_candidate_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
     base = F.substring_index("parent_candidate_id", "__", -1).alias("base_text_id")
     return job.state().join(texts, "parent_candidate_id", "left").select(base, "ok", "attempt", "reason", "n_attempts", "text_sha256")
+
+
+_LETTERS = r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*".replace("'", "''")
+
+
+@query(f"""WITH b AS (SELECT item_id, coalesce(text, '') AS t, {_h("'swap'", "item_id")} AS draw FROM benchmark), w AS (SELECT item_id, draw, regexp_extract_all(t, '{_LETTERS}') AS w, string_split_regex(t, '{_LETTERS}') AS g FROM b),
+x AS (SELECT item_id, w, g, unnest(range(len(w))) AS i FROM w), y AS (SELECT item_id, i, w[i + 1] AS word, contains(g[i + 1], ',') OR contains(g[i + 2], ',') AS listed FROM x),
+p AS (SELECT a.item_id, a.i, b.i AS j, a.listed <> b.listed AS leaves, a.listed AND b.listed AS members, array_to_string(list_slice(g, a.i + 2, b.i + 1), ' ') AS gap FROM y a JOIN y b ON a.item_id = b.item_id AND a.i < b.i AND a.word <> b.word JOIN w ON w.item_id = a.item_id),
+q AS (SELECT *, regexp_matches(gap, '[;:!?…()\\[\\]{{}}]') AS strong, contains(gap, ',') AS comma FROM p),
+s AS (SELECT item_id, i, j, 20 * (j - i) + CASE WHEN leaves THEN 1000 ELSE 0 END + CASE WHEN strong THEN 250 WHEN comma THEN -100 ELSE 0 END + CASE WHEN j - i > 1 THEN 100 ELSE 0 END AS score FROM q WHERE NOT (members AND comma AND NOT strong)),
+m AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS top FROM s), n AS (SELECT item_id, i, j, score, count(*) OVER (PARTITION BY item_id) AS n_best, row_number() OVER (PARTITION BY item_id ORDER BY i, j) - 1 AS k FROM m WHERE score = top)
+SELECT b.item_id, CAST(n.i AS INTEGER) AS first, CAST(n.j AS INTEGER) AS second, CAST(n.score AS INTEGER) AS score, CAST(coalesce(n.n_best, 0) AS INTEGER) AS n_best FROM b LEFT JOIN n ON n.item_id = b.item_id AND n.k = b.draw % n.n_best""")
+def swap_by_structure(spark, sf):
+    """The words of each benchmark text whose exchange changes its structure most, against all pairs of its words."""
+    b = _t(spark, sf, "benchmark")
+    made = b.select("item_id", swaps.structural_swap(F.coalesce("text", F.lit("")), h32("swap", F.col("item_id"))).alias("s"))
+    return made.select("item_id", "s.first", "s.second", "s.score", "s.n_best")
+
+
+def _without_zeros(text: str) -> str:
+    if not any(c in "0123456789" for c in text):
+        raise ValueError("no digits")
+    return text.replace("0", "O")
+
+
+_RULES = [rules.Rule("joined", lambda t: t.replace(" ", "")), rules.Rule("zeros", _without_zeros), rules.Rule("english", lambda t: t + " indeed", ("en",)), rules.Rule("cut", lambda t: t.split("e", 1)[1])]
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+r AS (SELECT doc_id, t, 'joined' AS rule, NULL AS raised, replace(t, ' ', '') AS o FROM d UNION ALL SELECT doc_id, t, 'zeros', CASE WHEN NOT regexp_matches(t, '[0-9]') THEN 'ValueError' END, replace(t, '0', 'O') FROM d
+  UNION ALL SELECT doc_id, t, 'english', NULL, t || ' indeed' FROM d WHERE lang = 'en' UNION ALL SELECT doc_id, t, 'cut', CASE WHEN NOT contains(t, 'e') THEN 'IndexError' END, substr(t, strpos(t, 'e') + 1) FROM d),
+f AS (SELECT *, coalesce(raised, CASE WHEN {_norm("o")} = '' THEN 'empty_output' WHEN {_norm("o")} = {_norm("t")} THEN 'unchanged_output' END) AS fault FROM r)
+SELECT doc_id, rule, fault, CASE WHEN fault IS NULL THEN sha256(o) END AS output_sha256 FROM f""")
+def rule_outcomes(spark, sf):
+    """Each document under four rules, two of which raise where they can't be used."""
+    got = rules.rule_results(_t(spark, sf, "documents").select("doc_id", "lang", "text"), _RULES, F.col("text"), F.col("lang"))
+    return got.select("doc_id", "rule", "fault", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"))
