@@ -89,6 +89,39 @@ def edited(df: DataFrame, edit: str, *key, text_col: str = "text", name: str = "
     return out.withColumn(name, F.when(F.col("__t") != F.array_join("__w", " "), F.col("__t"))).select(*[c for c in df.columns if c != name], name)
 
 
+def clusters(word: Column) -> Column:
+    """A word's characters as they are read: with their marks and joined parts, flags and syllables whole."""
+    return F.regexp_extract_all(word, F.lit(r"\X"), F.lit(0))
+
+
+def grapheme_typo(df: DataFrame, *key, text_col: str = "text", name: str = "edited") -> DataFrame:
+    """df with a typing error in one word: a letter deleted, doubled, put before another one (drawn from the text's own letters)
+    or exchanged with the next letter of its word (the last one with the letter before). Letters are whole clusters. The word is drawn
+    from those of four letters or more, else from those of two, else from those of one. Words are joined by single spaces; null where
+    there is no letter or nothing changes."""
+    is_letter = lambda c: c.rlike(r"\A\p{L}")
+    out = df.withColumn("__w", F.transform(tokens(F.coalesce(F.col(text_col), F.lit(""))), clusters))
+    places = lambda w: F.filter(F.transform(w, lambda c, i: F.when(is_letter(c), i)), lambda i: i.isNotNull())
+    out = out.withColumn("__n", F.transform("__w", lambda w: F.size(F.filter(w, is_letter))))
+    out = out.withColumn("__least", F.when(F.exists("__n", lambda n: n >= 4), 4).when(F.exists("__n", lambda n: n >= 2), 2).otherwise(1))
+    out = out.withColumn("__own", F.filter(F.transform("__n", lambda n, i: F.when(n >= F.col("__least"), i)), lambda i: i.isNotNull())).withColumn("__letters", F.filter(F.flatten("__w"), is_letter))
+    some = lambda c, what: F.get(c, below(F.greatest(F.size(c), F.lit(1)), what, *key).cast("int"))
+    out = out.withColumn("__at", some(F.col("__own"), "grapheme-word")).withColumn("__c", F.get("__w", F.col("__at"))).withColumn("__p", places(F.col("__c")))
+    out = out.withColumn("__k", below(F.greatest(F.size("__p"), F.lit(1)), "grapheme-place", *key).cast("int")).withColumn("__new", some(F.col("__letters"), "grapheme-letter"))
+    i, c = F.get("__p", F.col("__k")), F.col("__c")
+    j = F.coalesce(F.get("__p", F.col("__k") + 1), F.get("__p", F.greatest(F.col("__k") - 1, F.lit(0))))
+    out = out.withColumns({"__i": i, "__j": j, "__kind": below(4, "grapheme-kind", *key)})
+    a, b, kind = F.col("__i"), F.col("__j"), F.col("__kind")
+    head, tail, one = F.slice(c, F.lit(1), a), F.slice(c, a + 2, F.size(c)), F.array(F.get(c, a))
+    moved = F.transform(c, lambda x, n: F.when(n == a, F.get(c, b)).when(n == b, F.get(c, a)).otherwise(x))
+    word = F.when(kind == 0, F.concat(head, tail)).when(kind == 1, F.concat(head, one, one, tail)).when(kind == 2, F.concat(head, F.array("__new"), one, tail)).otherwise(moved)
+    join = lambda ws: F.array_join(F.filter(ws, lambda w: w != ""), " ")
+    out = out.withColumn("__new_word", F.array_join(word, "")).withColumn("__words", F.transform("__w", lambda w: F.array_join(w, "")))
+    made = join(F.transform("__words", lambda w, n: F.when(n == F.col("__at"), F.col("__new_word")).otherwise(w)))
+    out = out.withColumn("__made", made)
+    return out.select(*[x for x in df.columns if x != name], F.when(F.col("__made") != join(F.col("__words")), F.col("__made")).alias(name))
+
+
 #: Edits of one text at most.
 MOST_EDITS = 5
 

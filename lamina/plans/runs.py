@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lamina.functions import diffs, swaps
+from lamina.functions import diffs, edits, swaps
 from lamina.functions.draws import h32
 from lamina.functions.ordering import shared_dir
 from lamina.operators import balancing, rules, scoring, splitting, suites
@@ -171,3 +171,17 @@ def rule_outcomes(spark, sf):
     """Each document under four rules, two of which raise where they can't be used."""
     got = rules.rule_results(_t(spark, sf, "documents").select("doc_id", "lang", "text"), _RULES, F.col("text"), F.col("lang"))
     return got.select("doc_id", "rule", "fault", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"))
+
+
+@query(f"""WITH d AS (SELECT item_id, {_tokens("text")} AS t FROM benchmark), w AS (SELECT item_id, list_transform(t, lambda x: list_transform(range(1, length_grapheme(x) + 1), lambda k: substring_grapheme(x, k, 1))) AS w, t FROM d),
+n AS (SELECT *, list_transform(w, lambda x: len(list_filter(x, lambda c: regexp_matches(c, '^\\p{{L}}')))) AS n, list_filter(flatten(w), lambda c: regexp_matches(c, '^\\p{{L}}')) AS letters FROM w),
+l AS (SELECT *, CASE WHEN len(n) = 0 THEN 1 WHEN list_max(n) >= 4 THEN 4 WHEN list_max(n) >= 2 THEN 2 ELSE 1 END AS least FROM n), o AS (SELECT *, list_filter(range(len(n)), lambda i: n[i + 1] >= least) AS own FROM l),
+a AS (SELECT *, own[1 + {_h("'grapheme-word'", "item_id")} % greatest(len(own), 1)] AS spot, {_h("'grapheme-kind'", "item_id")} % 4 AS kind, letters[1 + {_h("'grapheme-letter'", "item_id")} % greatest(len(letters), 1)] AS fresh FROM o),
+c AS (SELECT *, w[spot + 1] AS c, list_filter(range(len(w[spot + 1])), lambda i: regexp_matches(w[spot + 1][i + 1], '^\\p{{L}}')) AS p FROM a), k AS (SELECT *, CAST({_h("'grapheme-place'", "item_id")} % greatest(len(p), 1) AS INTEGER) AS k FROM c),
+i AS (SELECT *, p[k + 1] AS i, coalesce(p[k + 2], p[greatest(k, 1)]) AS j FROM k),
+m AS (SELECT *, array_to_string(list_transform(range(len(c)), lambda x: CASE WHEN x = i AND kind = 0 THEN '' WHEN x = i AND kind = 1 THEN c[x + 1] || c[x + 1] WHEN x = i AND kind = 2 THEN fresh || c[x + 1] WHEN x = i AND kind = 3 THEN c[j + 1] WHEN x = j AND kind = 3 THEN c[i + 1] ELSE c[x + 1] END), '') AS word FROM i),
+e AS (SELECT item_id, array_to_string(t, ' ') AS old, array_to_string(list_filter(list_transform(range(len(t)), lambda x: CASE WHEN x = spot THEN word ELSE t[x + 1] END), lambda x: x <> ''), ' ') AS made FROM m)
+SELECT item_id, CASE WHEN made <> old THEN made END AS edited FROM e""")
+def grapheme_typos(spark, sf):
+    """A typing error in each benchmark text."""
+    return edits.grapheme_typo(_t(spark, sf, "benchmark").select("item_id", "text"), F.col("item_id")).select("item_id", "edited")
