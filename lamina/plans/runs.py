@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lamina.functions import diffs, edits, swaps
+from lamina.functions import diffs, edits, features, swaps
 from lamina.functions.draws import h32
 from lamina.functions.ordering import shared_dir
 from lamina.operators import balancing, rules, scoring, splitting, suites
 from lamina.plans.queries import _ITEMS, _WS, _h, _norm, _t, items, query
 from lamina.sources.jsonl import Layers
-from lamina.streaming import prefix
+from lamina.streaming import jobs, prefix
 from lamina.streaming.layers import LayerJob, layer_items
 
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END"
@@ -185,3 +185,80 @@ SELECT item_id, CASE WHEN made <> old THEN made END AS edited FROM e""")
 def grapheme_typos(spark, sf):
     """A typing error in each benchmark text."""
     return edits.grapheme_typo(_t(spark, sf, "benchmark").select("item_id", "text"), F.col("item_id")).select("item_id", "edited")
+
+
+#: What a bundle of the query below is drawn from, tag by tag.
+_FORMS = {"speech": ["V", "N", "v.ptcp", "V.PTCP.PRS", "AUX", "ADJ"], "mood": ["IND", "SBJV", None], "tense": ["PRS", "pst", None], "person": ["1", "2", "3", None], "number": ["sg", "PL", None], "gender": ["MASC", "FEM", None, None], "finite": ["FIN", "NFIN", None, None], "other": ["LGSPEC1", "ARGNO1S", None]}
+_LISTS = {k: "[" + ", ".join(f"'{x}'" if x else "NULL" for x in v) + "]" for k, v in _FORMS.items()}
+
+
+def _drawn(side: str) -> str:
+    """A bundle in SQL: tags drawn from doc_id; `new` keeps two of three tags of `old`."""
+    own = {k: f"""{_LISTS[k]}[1 + {_h(f"'{k}'", "'old'", "doc_id")} % {len(v)}]""" for k, v in _FORMS.items()}
+    if side == "new":
+        own = {k: f"""CASE WHEN {_h(f"'{k}'", "'keep'", "doc_id")} % 3 > 0 THEN {own[k]} ELSE {_LISTS[k]}[1 + {_h(f"'{k}'", "'new'", "doc_id")} % {len(v)}] END""" for k, v in _FORMS.items()}
+    return f"concat_ws(';', {', '.join(own.values())})"
+
+
+def _in(x: str, *dimensions: str) -> str:
+    names = ", ".join(f"'{t}'" for d in dimensions for t in features.DIMENSIONS[d])
+    return f"list_sort(list_filter({x}, lambda t: t IN ({names})))"
+
+
+def _points(x: str, y: str) -> str:
+    less = lambda p, q: f"len(list_filter({p}, lambda t: NOT list_contains({q}, t)))"
+    return f"5 * len(list_intersect({x}, {y})) - 6 * {less(x, y)} - 2 * {less(y, x)}"
+
+
+def _core(x: str) -> str:
+    return f"""list_filter({x}, lambda t: NOT list_contains({_in(x, "tense", "mood")}, t))"""
+
+
+def _is_finite(x: str) -> str:
+    return f"""split_part({x}[1], '.', 1) IN ('V', 'AUX') AND len({_in(x, "nonfinite")}) = 0 AND NOT starts_with({x}[1], 'V.PTCP') AND len({_in(x, "finite", "person", "number", "tense", "mood")}) > 0"""
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_drawn("old")} AS a, {_drawn("new")} AS b FROM documents), t AS (SELECT doc_id, list_distinct(string_split(upper(a), ';')) AS xs, list_distinct(string_split(upper(b), ';')) AS ys, string_split(upper(a), ';') AS x, string_split(upper(b), ';') AS y FROM s)
+SELECT doc_id, split_part(x[1], '.', 1) AS speech, {_is_finite("x")} AS finite, {_is_finite("y")} AS new_finite, {_in("x", "person")}[1] AS person,
+CAST({_points("xs", "ys")} AS INTEGER) AS similarity, CAST({_points(_core("xs"), _core("ys"))} AS INTEGER) AS core_similarity,
+{" AND ".join(f"(len({_in('x', d)}) = 0 OR {_in('x', d)} = {_in('y', d)})" for d in ("tense", "mood", "finite"))} AS same_marked, {" AND ".join(f"{_in('x', d)} = {_in('y', d)}" for d in features.AGREEMENT)} AS agrees FROM t""")
+def feature_similarity(spark, sf):
+    """Two bundles of tags drawn for each document, compared."""
+    pick = lambda k, side: F.element_at(F.array(*[F.lit(x) for x in _FORMS[k]]), (1 + h32(k, side, F.col("doc_id")) % len(_FORMS[k])).cast("int"))
+    new = lambda k: F.when(h32(k, "keep", F.col("doc_id")) % 3 > 0, pick(k, "old")).otherwise(pick(k, "new"))
+    rows = _t(spark, sf, "documents").select("doc_id", F.concat_ws(";", *[pick(k, "old") for k in _FORMS]).alias("a"), F.concat_ws(";", *[new(k) for k in _FORMS]).alias("b"))
+    rows = rows.select("doc_id", features.bundle(F.col("a")).alias("x"), features.bundle(F.col("b")).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return rows.select(
+        "doc_id", features.part_of_speech(x).alias("speech"), features.finite_verb(x).alias("finite"), features.finite_verb(y).alias("new_finite"), features.marked(x, "person").alias("person"),
+        features.similarity(x, y).alias("similarity"), features.similarity(x, y, "tense", "mood").alias("core_similarity"),
+        features.same_marked(x, y, "tense", "mood", "finite").alias("same_marked"), (features.agreement(x) == features.agreement(y)).alias("agrees"),
+    )
+
+
+_STEPS = ["prepared", "submitting", "submitted", "submitted", "refused", "submitted", "completed", "expired"]
+_DUE = 10 * 86_400_000
+_LOG = f"""SELECT 'job-' || user_id AS job, ts AS seen, event_id % 5 AS attempt, CASE WHEN event_type = 'signup' THEN {_STEPS}[1 + (event_id // 5) % 8] ELSE 'answer' END AS kind,
+  1 + user_id % 35 AS n, 'r' || event_id % 40 AS request, event_type <> 'error' AND value >= 60 AS ok FROM events"""
+_RANK = "CASE kind WHEN 'prepared' THEN 0 WHEN 'submitting' THEN 1 WHEN 'submitted' THEN 2 WHEN 'refused' THEN 3 ELSE 4 END"
+
+
+@query(f"""WITH l AS ({_LOG}), s AS (SELECT job, attempt, {_RANK} AS step, epoch_ms(seen) AS at_ms, row_number() OVER (PARTITION BY job ORDER BY attempt DESC, {_RANK} DESC, seen DESC) AS k FROM l WHERE kind <> 'answer'),
+r AS (SELECT job, request, bool_or(ok) AS ok FROM l WHERE kind = 'answer' GROUP BY 1, 2), a AS (SELECT job, count_if(ok) AS n_ready, count_if(NOT ok) AS n_failed FROM r GROUP BY 1),
+j AS (SELECT job, max(n) AS n FROM l GROUP BY 1)
+SELECT job, CAST(coalesce(attempt, 0) AS INTEGER) AS attempt, CASE WHEN step IS NULL OR step IN (0, 3) THEN 'prepared' WHEN step = 1 THEN 'unconfirmed' WHEN step = 4 AND coalesce(n_ready, 0) >= n THEN 'done' WHEN step = 4 THEN 'retry'
+  WHEN at_ms + {_DUE} < (SELECT max(epoch_ms(seen)) FROM l) THEN 'overdue' ELSE 'pending' END AS phase,
+CAST(n AS INTEGER) AS n_requests, CAST(coalesce(n_ready, 0) AS INTEGER) AS n_ready, CAST(coalesce(n_failed, 0) AS INTEGER) AS n_failed FROM j LEFT JOIN a USING (job) LEFT JOIN (SELECT * FROM s WHERE k = 1) USING (job)""")
+def batch_job_state(spark, sf):
+    """Events as the log of jobs, one for each user, streamed through the state machine."""
+    answer = F.col("event_type") != "signup"
+    step = F.element_at(F.array(*[F.lit(x) for x in _STEPS]), (1 + F.floor(F.col("event_id") / 5) % 8).cast("int"))
+    log = _t(spark, sf, "events").select(
+        F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 5).cast("int").alias("attempt"), F.when(answer, jobs.ANSWER).otherwise(step).alias("kind"),
+        (1 + F.col("user_id") % 35).cast("int").alias("n_requests"), F.concat(F.lit("r"), (F.col("event_id") % 40).cast("string")).alias("request"), F.col("value").cast("string").alias("value"),
+        F.when((F.col("event_type") != "error") & (F.col("value") >= 60), None).otherwise(F.lit("no answer")).alias("error"),
+    )
+    root = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    log.write.parquet(f"{root}/log")
+    jobs.run_jobs(spark.readStream.schema(jobs.LOG).parquet(f"{root}/log"), f"{root}/changes", f"{root}/checkpoint", _DUE)
+    return jobs.current_states(spark.read.parquet(f"{root}/changes"))
