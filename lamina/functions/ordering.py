@@ -27,11 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back."""
+def written(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+    """df written once to the shared folder and read back; rows with equal values of `folders` in one folder, so that a filter on
+    them reads nothing else."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.write.option("compression", "zstd")
+    if not folders:
+        out.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    out.partitionBy(*folders).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def running_sum(df: DataFrame, by: list[str], order: list[Column], value: Column, name: str = "before") -> DataFrame:
@@ -61,6 +66,22 @@ def numbered(df: DataFrame, *order: Column, name: str = "row_number") -> DataFra
     return running_sum(df, [], list(order), F.lit(1), name)
 
 
+def parts(df: DataFrame, order: list[Column], starts: Column, name: str = "part") -> DataFrame:
+    """df with the number of the part that a row is in (from 0), with the rows in an ascending order that should be total: a part begins
+    at each of `starts`, an array of places (from 0) made of the number of rows `__n`; equal starts are empty parts.
+
+    The order's columns alone are written and numbered. Rows find their part by comparing theirs with those at which
+    parts begin, a list as long as `starts`: the rest of df is neither shuffled nor written. Rows that are equal in the order
+    are in the same part, the one of their last.
+    """
+    names = [f"__k{i}" for i in range(len(order))]
+    keys = numbered(df.select(*[c.alias(n) for c, n in zip(order, names, strict=True)]), *[F.col(n) for n in names], name="__i")
+    at = keys.agg(F.count("*").alias("__n")).select(F.explode(starts.cast("array<bigint>")).alias("__i"))
+    cuts = keys.join(F.broadcast(at), "__i").agg(F.collect_list(F.struct(*names)).alias("__cuts"))
+    key = F.struct(*[c.alias(n) for c, n in zip(order, names, strict=True)])
+    return df.crossJoin(F.broadcast(cuts)).withColumn(name, F.size(F.filter("__cuts", lambda c: c <= key))).select(*[f"`{c}`" for c in df.columns], name)
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """by and a column for each of at: the quantile of value (numbers, nulls left out) between the two
     nearest ranks. Distinct values are counted and the counts summed in order, so no task holds a group."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import edits as damage
 from lamina.functions.draws import order_key
-from lamina.functions.ordering import running_sum, written
+from lamina.functions.ordering import parts, running_sum, written
 from lamina.functions.text import normalized
 from lamina.operators.lineage import enforce
 
@@ -278,8 +278,8 @@ def trad_sampled(items: DataFrame) -> DataFrame:
 
 
 def source_items(items: DataFrame, order: list[str], limit: int | None = None, offset: int = 0) -> DataFrame:
-    """The rows from `offset` on, `limit` of them, in a given total order."""
+    """The rows from `offset` on, `limit` of them, in a given total order (rows that are equal in it go or stay together)."""
     if offset < 0 or limit is not None and limit < 0:
         raise ValueError("offset and limit are 0 or more")
-    rows = running_sum(items, [], [F.col(c) for c in order], F.lit(1), "__i").where(F.col("__i") >= offset)
-    return (rows if limit is None else rows.where(F.col("__i") < offset + limit)).drop("__i")
+    starts = F.array(*[F.lit(at).cast("long") for at in ([offset] if limit is None else [offset, offset + limit])])
+    return parts(items, [F.col(c) for c in order], starts, "__part").where("__part = 1").drop("__part")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions.draws import below
-from lamina.functions.ordering import numbered, quantiles, running_sum, written
+from lamina.functions.ordering import numbered, parts, quantiles, running_sum, written
 from lamina.functions.text import finite, finite_or_null, length_difference
 
 #: Checks of a run that one task folds at once.
@@ -36,16 +36,17 @@ def _on(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     return a.join(b, by) if by else a.crossJoin(F.broadcast(b))
 
 
-def _finite_pairs(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """by, __x, __y and their number __c, of finite pairs."""
-    ok = rows.where(finite(a) & finite(b)).select(*by, F.col(a).cast("double").alias("__x"), F.col(b).cast("double").alias("__y"))
-    return ok.groupBy(*by, "__x", "__y").agg(F.count("*").alias("__c"))
+def _finite_pairs(rows: DataFrame, by: list[str], a: str, b: str, weight: str | None = None) -> DataFrame:
+    """by, __x, __y and their number __c, of finite pairs; a row counts as often as its weight says."""
+    n = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    ok = rows.where(finite(a) & finite(b)).select(*by, F.col(a).cast("double").alias("__x"), F.col(b).cast("double").alias("__y"), n.alias("__w"))
+    return ok.groupBy(*by, "__x", "__y").agg(F.sum("__w").alias("__c"))
 
 
-def spearman(rows: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
-    """by, n and spearman of each group's pairs of finite numbers; null for fewer than two or a constant
-    side. Equal pairs are counted first; ranks are those of distinct values."""
-    cells = written(_finite_pairs(rows, by, label, score), "cells")
+def spearman(rows: DataFrame, by: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
+    """by, n and spearman of each group's pairs of finite numbers, each as often as its weight (a column of whole numbers above 0) says;
+    null for fewer than two or a constant side. Equal pairs are counted first; ranks are those of distinct values."""
+    cells = written(_finite_pairs(rows, by, label, score, weight), "cells")
     for x in ("__x", "__y"):
         cells = cells.join(average_ranks(cells, by, x, "__c", f"__r{x}"), [*by, x])
     totals = cells.groupBy(*by).agg(F.sum("__c").alias("n"))
@@ -160,18 +161,21 @@ def bootstrap(rows: DataFrame, group: str, value: str, samples: int = 1000, seed
     return sums.agg((F.sum("__s") / F.sum("__n")).alias("mean")).crossJoin(limits)
 
 
-def bootstrap_of(rows: DataFrame, group: str, statistic: Callable[[DataFrame, list[str]], DataFrame], name: str, samples: int = 1000, seed: int = 42) -> DataFrame:
-    """As `bootstrap`, for any statistic: a function of rows and grouping columns that gives one row with the
-    column `name` for each group, such as `spearman`. Samples in which it isn't defined don't count.
+def bootstrap_of(rows: DataFrame, group: str, columns: list[str], statistic: Callable[[DataFrame, list[str], str], DataFrame], name: str, samples: int = 1000, seed: int = 42) -> DataFrame:
+    """As `bootstrap`, for any statistic of some columns: a function of rows, grouping columns and a column of weights that gives
+    one row with the column `name` for each group of rows, such as `spearman`. Samples in which it isn't defined don't count.
 
-    Returns one row: name, low and high. A group that a sample draws twice is in it twice, so the rows that
-    the statistic gets are `samples` times as many as the input's, spread over all tasks.
+    Returns one row: name, low and high. A group's equal rows are counted once for all samples; a sample takes these cells of the groups that
+    it draws, with the number of draws as a factor of their weight, and copies no row.
     """
-    groups = written(numbered(rows.select(group).where(F.col(group).isNotNull()).distinct(), F.col(group), name="__g"), "groups")
-    draws = draws_of_groups(groups, samples, seed).join(groups, "__g").select("__sample", group, F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))).alias("__copy"))
-    each = statistic(rows.join(draws, group), ["__sample"]).where(finite(name))
+    weight = "__weight"
+    cells = written(rows.where(F.col(group).isNotNull()).groupBy(group, *columns).agg(F.count("*").alias(weight)), "bootstrap-cells")
+    groups = written(numbered(cells.select(group).distinct(), F.col(group), name="__g"), "groups")
+    draws = draws_of_groups(groups, samples, seed).join(groups, "__g").select("__sample", group, "__times")
+    each = cells.join(draws, group).withColumn(weight, F.col(weight) * F.col("__times"))
+    each = statistic(each, ["__sample"], weight).where(finite(name))
     limits = each.agg(F.percentile(name, F.lit(0.025)).alias("low"), F.percentile(name, F.lit(0.975)).alias("high"))
-    return statistic(rows.where(F.col(group).isNotNull()), []).select(name).crossJoin(limits)
+    return statistic(cells, [], weight).select(name).crossJoin(limits)
 
 
 def leaderboard(records: DataFrame, model: str, dataset: str, metrics: list[str], newest: str) -> DataFrame:
@@ -191,10 +195,7 @@ def leaderboard(records: DataFrame, model: str, dataset: str, metrics: list[str]
 def equal_count_bins(rows: DataFrame, order: list[Column], k: int, name: str = "bin") -> DataFrame:
     """rows with their bin: of n rows in the given (total) order, bin b has those from b * n / k to
     (b + 1) * n / k; k is at most n."""
-    at = numbered(rows, *order, name="__i")
-    n = rows.agg(F.count("*").alias("__n"))
-    kk = F.least(F.lit(k), F.col("__n"))
-    return at.crossJoin(F.broadcast(n)).withColumn(name, F.floor(((F.col("__i") + 1) * kk - 1) / F.col("__n")).cast("int")).select(*rows.columns, name)
+    return parts(rows, order, F.expr(f"transform(filter(sequence(0, {k - 1}), b -> b > 0 and b < __n), b -> (b * __n) div least({k}, __n))"), name)
 
 
 def binned_accuracy(pairs: DataFrame, chosen: str, rejected: str, chosen_score: str, rejected_score: str, id_col: str, k: int) -> DataFrame:
@@ -227,11 +228,11 @@ def early_stops(history: DataFrame, by: list[str], step: str, metric: str, patie
 
     Runs are folded in blocks of CHECKS checks: a block's fold starts from the state that the block before
     leaves, so a run of any length passes through tasks of bounded size, at one round for each block of the
-    longest run.
+    longest run. A block's checks lie in a folder of their own, so each is read once.
     """
     rows = history.where(finite(metric)).select(*by, F.col(step).alias("__s"), F.col(metric).cast("double").alias("__m"))
     rows = running_sum(rows, by, [F.col("__s"), F.col("__m")], F.lit(1), "__i").withColumn("__block", F.floor(F.col("__i") / CHECKS).cast("int"))
-    rows = written(rows, "checks")
+    rows = written(rows, "checks", ["__block"])
     blocks = (rows.agg(F.max("__block").alias("b")).first()["b"] if not rows.isEmpty() else 0) + 1
     kind = "struct<best:double,at:bigint,bad:int,stop:bigint>"
     zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("at"), F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.draws import order_key
-from lamina.functions.ordering import numbered, written
+from lamina.functions.ordering import numbered, parts, written
 from lamina.functions.text import normalized
 
 
@@ -42,9 +42,7 @@ def keep_first(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
 
 def length_buckets(df: DataFrame, id_col: str, length: Column, n: int = 10) -> DataFrame:
     """df with bucket: rows in the order of length, then id, cut to n parts of floor(i * n / rows)."""
-    rows = numbered(df.withColumn("__length", length), F.col("__length"), F.col(id_col), name="__i")
-    total = rows.agg(F.count("*").alias("__n"))
-    return rows.crossJoin(F.broadcast(total)).withColumn("bucket", F.least(F.lit(n - 1), F.floor(F.col("__i") * n / F.col("__n"))).cast("int")).select(*df.columns, "bucket")
+    return parts(df, [length, F.col(id_col)], F.expr(f"transform(filter(sequence(0, {n - 1}), b -> b > 0), b -> (b * __n + {n - 1}) div {n})"), "bucket")
 
 
 def rarity(features: DataFrame, id_col: str, weight: Column) -> DataFrame:
@@ -67,25 +65,26 @@ def hash_split(df: DataFrame, id_col: str, shares: dict[str, int], seed: int = 4
 
 
 def stratified_split(df: DataFrame, id_col: str, stratum: Column | list[Column], sizes: dict[str, int], seed: int = 42) -> DataFrame:
-    """Exactly sizes[s] rows in each split (if there are so many), strata spread over the splits in
-    proportion; rows beyond the sizes get "excluded".
+    """Exactly sizes[s] ids in each split (if there are so many), strata spread over the splits in
+    proportion; ids beyond the sizes get "excluded". Rows with equal ids are in one split, by their least stratum.
 
-    All rows stand in the order of stratum (one column or several) and hash, so each stratum is a run. Row i of n
+    Ids and strata alone are written. All ids stand in the order of stratum (one column or several) and hash, so each stratum is a run. Row i of n
     goes to the split whose turn it is in a pattern that repeats over the whole order: the fraction of i times the
     golden ratio is spread evenly over any run, and sorting by it gives each split its rows. No step
     looks at one row after another.
     """
     strata = stratum if isinstance(stratum, list) else [stratum]
     names = [f"__stratum{k}" for k in range(len(strata))]
-    rows = df.withColumns({**dict(zip(names, strata, strict=True)), "__draw": order_key(seed, "stratum", F.col(id_col))})
-    rows = numbered(rows, *[F.col(n) for n in names], F.col("__draw"), F.col(id_col), name="__i")
+    ids = df.groupBy(F.col(id_col).alias("__id")).agg(F.min(F.struct(*[s.alias(n) for s, n in zip(strata, names, strict=True)])).alias("__s"))
+    rows = ids.select("__id", "__s.*", order_key(seed, "stratum", F.col("__id")).alias("__draw"))
+    rows = numbered(rows, *[F.col(n) for n in names], F.col("__draw"), F.col("__id"), name="__i")
     turn = F.pmod(F.col("__i") * F.lit(0.6180339887498949), F.lit(1.0))
     rows = numbered(rows.withColumn("__turn", turn), F.col("__turn"), F.col("__i"), name="__k")
     split, at = F.lit("excluded"), 0
     for name, size in sizes.items():
         split = F.when((F.col("__k") >= at) & (F.col("__k") < at + size), name).otherwise(split)
         at += size
-    return rows.withColumn("split", split).select(*df.columns, "split")
+    return df.join(rows.select("__id", split.alias("__split")), F.col(id_col).eqNullSafe(F.col("__id"))).select(*df.columns, F.col("__split").alias("split"))
 
 
 def workflow_faults(outputs: dict[str, DataFrame], originals: DataFrame, on: str = "base_text_id") -> DataFrame:
@@ -191,7 +190,8 @@ def ordered_distinct(df: DataFrame, value: str, order: str) -> DataFrame:
 
 
 def train_dev(df: DataFrame, id_col: str, share: float, seed: int = 42) -> DataFrame:
-    """df with split: dev has max(1, share of the rows, halves to even) rows."""
-    rows = numbered(df.withColumn("__draw", order_key(seed, "dev", F.col(id_col))), F.col("__draw"), F.col(id_col), name="__i")
-    n = rows.agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(share))).alias("__dev"))
-    return rows.crossJoin(F.broadcast(n)).withColumn("split", F.when(F.col("__i") < F.col("__dev"), "dev").otherwise("train")).select(*df.columns, "split")
+    """df with split: dev has max(1, share of the rows, halves to even) rows; rows with equal ids stay together, in train where
+    they would be parted."""
+    most = F.array(F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(share))).cast("long"))
+    rows = parts(df, [order_key(seed, "dev", F.col(id_col)), F.col(id_col)], most, "__part")
+    return rows.select(*df.columns, F.when(F.col("__part") == 0, "dev").otherwise("train").alias("split"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import erfc, exp, isfinite, lgamma, log, sqrt
 
 import pandas as pd
@@ -151,8 +152,13 @@ def preference_suite(pairs: DataFrame, scorer: scoring.Scorer, dimension: list[s
 
 
 def capped(records: DataFrame, dimension: list[str], order: str, most: int) -> DataFrame:
-    """The first `most` records of each dimension, in the order of a file."""
-    return running_sum(records, dimension, [F.col(order)], F.lit(1), "__k").where(F.col("__k") < most).drop("__k")
+    """The first `most` records of each dimension, in the order of a file (a column that should be unique within it). Only dimensions and
+    the order are numbered; records are compared with the last one that their dimension keeps."""
+    names = [f"__d{i}" for i in range(len(dimension))]
+    keys = records.select(*[F.col(d).alias(n) for d, n in zip(dimension, names, strict=True)], F.struct(F.col(order).alias("at")).alias("__at"))
+    last = running_sum(keys, names, [F.col("__at")], F.lit(1), "__k").where(F.col("__k") < most).groupBy(*names).agg(F.max("__at").alias("__last"))
+    same = reduce(lambda a, b: a & b, [F.col(d).eqNullSafe(F.col(n)) for d, n in zip(dimension, names, strict=True)])
+    return records.join(last, same).where(F.struct(F.col(order).alias("at")) <= F.col("__last")).select(*records.columns)
 
 
 def long_form(wide: DataFrame, by: list[str], prefix: str = "") -> DataFrame:
@@ -266,7 +272,7 @@ def history(evaluations: DataFrame, run: str, step: str, values: list[str]) -> D
     """evaluations with number (from 1 in each run, in the order of steps) and values as finite numbers or null."""
     from lamina.functions.text import finite_or_null
 
-    rows = running_sum(evaluations, [run], [F.col(step)], F.lit(1), "__k").withColumn("number", F.col("__k") + 1)
+    rows = running_sum(evaluations.select(run, step, *[v for v in values if v not in (run, step)]), [run], [F.col(step)], F.lit(1), "__k").withColumn("number", F.col("__k") + 1)
     return rows.select(run, step, "number", *[finite_or_null(v).alias(v) for v in values])
 
 

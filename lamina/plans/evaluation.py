@@ -117,7 +117,7 @@ z AS (SELECT s.i AS sample, j.j AS draw FROM (SELECT unnest(range(1, 11)) AS i)
 r AS (SELECT sample, rank() OVER (PARTITION BY sample ORDER BY x) + (count(*) OVER (PARTITION BY sample, x) - 1) / 2 AS a, rank() OVER (PARTITION BY sample ORDER BY y) + (count(*) OVER (PARTITION BY sample, y) - 1) / 2 AS b FROM w), m AS (SELECT covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS m FROM r GROUP BY sample),
 o AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM d) SELECT (SELECT round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) FROM o) AS spearman, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def bootstrap_spearman(spark, sf):
-    out = metrics.bootstrap_of(_labelled(spark, sf), "source", lambda rows, by: metrics.spearman(rows, by, "quality", "n_chars"), "spearman", 10)
+    out = metrics.bootstrap_of(_labelled(spark, sf), "source", ["quality", "n_chars"], lambda rows, by, weight: metrics.spearman(rows, by, "quality", "n_chars", weight), "spearman", 10)
     return out.select(*[F.round(c, 6).alias(c) for c in ("spearman", "low", "high")])
 
 
