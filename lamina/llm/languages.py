@@ -5,7 +5,7 @@ declares, the one its address names (a path segment or the suffix of its host),
 host. How far a declaration or an address can be believed, and how languages are spread over hosts, is
 counted on all pages by grouped aggregation with the posteriors that text alone gives. A host's prior
 is smoothed with its domain's, that with its suffix's, and that with the one of all pages; the page's
-own share is taken out first, so no evidence counts twice.
+own share is taken out of each of the four first, so no evidence counts twice.
 """
 
 from __future__ import annotations
@@ -158,19 +158,23 @@ def identify_languages(pages: DataFrame, langs: list[str], model: np.ndarray, id
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), *above)
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), *above)
     whole = suffixes.agg(F.sum("n").alias("n"), *above).collect()[0]  # one row
-    every = [(whole[f"p{k}"] or 0.0) + SMOOTHING / n for k in range(n)]
-    every = [x / sum(every) for x in every]
 
-    def smooth(df: DataFrame, parent: list) -> list:
-        return [(F.col(f"p{k}") + SMOOTHING * parent[k]) / (F.col("n") + SMOOTHING) for k in range(n)]
+    def level(df: DataFrame, name: str, *keys: str) -> DataFrame:
+        return df.select(*keys, F.struct(F.col("n"), F.array(*[f"p{k}" for k in range(n)]).alias("sum")).alias(f"of_{name}"))
 
-    suffixes = suffixes.select("suffix", F.array(*smooth(suffixes, [F.lit(x) for x in every])).alias("up"))
-    domains = domains.join(suffixes, "suffix")
-    domains = domains.select("domain", F.array(*smooth(domains, [F.col("up")[k] for k in range(n)])).alias("up"))
-    priors = stored(hosts.join(domains, "domain").select("host", "n", "up", F.array(*[f"p{k}" for k in range(n)]).alias("sum")), "host-priors")
+    priors = level(hosts, "host", "host", "domain").join(level(domains, "domain", "domain", "suffix"), "domain").join(level(suffixes, "suffix", "suffix"), "suffix")
+    priors = stored(priors.select("host", "of_host", "of_domain", "of_suffix"), "host-priors")
     joined = rows.join(priors, "host", "left")
-    # what the host's other pages say, smoothed with the domain; the domain's own small share of this page stays
-    prior = F.transform(F.arrays_zip("sum", "up", "p"), lambda x: F.log((F.greatest(x["sum"] - x["p"], F.lit(0.0)) + SMOOTHING * x["up"]) / (F.col("n") - 1 + SMOOTHING)))
+    # what the other pages say: of all, then of the suffix smoothed with that, of the domain, of the host
+    others = lambda total, own: F.greatest(total - own, F.lit(0.0))
+    prior = F.zip_with(F.array(*[F.lit(float(whole[f"p{k}"] or 0.0)) for k in range(n)]), F.col("p"), lambda w, p: (others(w, p) + SMOOTHING / n) / ((whole["n"] or 0) - 1 + SMOOTHING))
+
+    def below(prior, of: str):
+        zipped = F.arrays_zip(F.col(f"{of}.sum").alias("sum"), F.col("p").alias("p"), prior.alias("up"))
+        return F.transform(zipped, lambda x: (others(x["sum"], x["p"]) + SMOOTHING * x["up"]) / (F.col(f"{of}.n") - 1 + SMOOTHING))
+
+    prior = below(below(below(prior, "of_suffix"), "of_domain"), "of_host")
+    prior = F.transform(prior, lambda x: F.log(x))
     post = _softmax(add(F.col("said"), prior))
     out = joined.select("id", "host", "declared", "named", F.col("text").alias("t"), post.alias("post"))
     best = lambda c: F.array_position(c, F.array_max(c)) - 1

@@ -473,14 +473,12 @@ def test_fusion_against_brute_force(spark):
 
     said = np.array(like) + factor(declared) + factor(named)
     post = [soft(v) for v in said]
-    total = lambda level: {x: (sum(q for q, y in zip(post, place, strict=True) if y[level] == x), sum(y[level] == x for y in place)) for x in {y[level] for y in place}}
-    every = sum(post) + smooth / n
-    every = every / every.sum()
-    up = {x: (s + smooth * every) / (m + smooth) for x, (s, m) in total(2).items()}
-    mid, hosts = total(1), total(0)
-    for i, (h, d, x) in enumerate(place):
-        domain = (mid[d][0] + smooth * up[x]) / (mid[d][1] + smooth)
-        prior = (np.maximum(hosts[h][0] - post[i], 0) + smooth * domain) / (hosts[h][1] - 1 + smooth)
+    for i, own in enumerate(place):
+        # each page's prior is counted anew on all pages but itself
+        prior = np.full(n, 1 / n)
+        for level in (None, 2, 1, 0):
+            there = [q for k, (q, y) in enumerate(zip(post, place, strict=True)) if k != i and (level is None or y[level] == own[level])]
+            prior = (sum(there, np.zeros(n)) + smooth * prior) / (len(there) + smooth)
         want = soft(said[i] + np.log(prior))
         assert got[i]["lang"] == langs[int(want.argmax())] and abs(got[i]["confidence"] - want.max()) < 1e-9, i
         assert (got[i]["declared"], got[i]["named"]) == (declared[i], named[i])
