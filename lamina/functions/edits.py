@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from array import array
 from math import erf, sqrt
 
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.draws import below, order_key, unit
+from lamina.functions.ordering import small_batches
 from lamina.functions.text import edit_budget, tokens
 
 WORD = r"\p{L}(?:[\p{L}\p{M}]|['’](?=\p{L}))*"
@@ -158,15 +160,34 @@ def drawn_edit_count(text: Column | str, *key) -> Column:
     return (1 + below(edit_budget(text), "edit-count", *key)).cast("int")
 
 
+#: Texts whose words are Python objects at once.
+SPANS_ROWS = 64
+
+
 def word_spans(text: Column | str) -> Column:
     """Words of letters, with marks and inner apostrophes, as an array of struct(start, end, word); places
     are code points from 0, `end` is after the word. No expression has the places of all matches in linear
-    time, so this is a pandas function."""
+    time, so this is an Arrow function. It writes places and words to flat columns, SPANS_ROWS texts at a time, and
+    the session's Arrow batches are cut: a Python object for each word would take some 2 GB in a worker."""
+    small_batches(SparkSession.active())
     find = regex.compile(WORD).finditer
-
-    @F.pandas_udf("array<struct<start:int,end:int,word:string>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": m.start(), "end": m.end(), "word": m[0]} for m in find(t)] if isinstance(t, str) else None)
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("word", pa.string())])
+
+    def some(texts: pa.Array) -> pa.Array:
+        starts, ends, words, upto = array("i"), array("i"), [], array("i", [0])
+        for text in texts:
+            for m in find(text.as_py() or ""):
+                starts.append(m.start())
+                ends.append(m.end())
+                words.append(m[0])
+            upto.append(len(words))
+        values = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(words, pa.string())], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), values, mask=texts.is_null())
+
+    @F.arrow_udf("array<struct<start:int,end:int,word:string>>")
+    def spans(texts: pa.Array) -> pa.Array:
+        out = [some(texts.slice(at, SPANS_ROWS)) for at in range(0, len(texts), SPANS_ROWS)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(kind))
 
     return spans(text if isinstance(text, Column) else F.col(text))
 

@@ -27,6 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows that a Python step over whole texts gets at once.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Cuts the session's Arrow batches to BATCH_ROWS rows; smaller settings stay."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
     """df written once to the shared folder and read back; rows with equal values of `folders` in one folder, so that a filter on
     them reads nothing else."""

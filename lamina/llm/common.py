@@ -8,14 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.functions.ordering import written
+from lamina.functions.ordering import small_batches, written
 
 #: Rows that a Python step turns into one output batch; bounds its memory with long texts.
 SLICE_ROWS = 512
 SLICE_BYTES = 1 << 18
-#: Rows that a Python step gets at once.
-BATCH_ROWS = 1024
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(docs: DataFrame) -> DataFrame:
     """docs, after the session's Arrow batches are cut to BATCH_ROWS rows: a Python step holds two of them, on
     either side of the pipe, and their rows are whole texts. Smaller settings stay."""
-    conf = docs.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
+    small_batches(docs.sparkSession)
     return docs
 
 
