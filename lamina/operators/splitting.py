@@ -27,9 +27,11 @@ def complete_groups(rows: DataFrame, kind: str, on: str) -> DataFrame:
 
 
 def unchanged(candidates: DataFrame, originals: DataFrame, on: str = "base_text_id") -> DataFrame:
-    """Candidates whose normalized text is their original's."""
-    base = originals.select(on, normalized("text").alias("__base"))
-    return candidates.join(base, on).where(normalized("text") == F.col("__base")).select(*candidates.columns)
+    """Candidates whose normalized text is their original's. Each text is normalized once, where it is read, and compared by its
+    hash, so originals' texts aren't shuffled; a text that is null is no other's."""
+    mark = lambda none: F.coalesce(F.sha2(normalized("text"), 256), F.lit(none))
+    base = originals.select(on, mark("no original").alias("__base"))
+    return candidates.withColumn("__own", mark("no candidate")).join(base, on).where(F.col("__own") == F.col("__base")).select(*candidates.columns)
 
 
 def keep_first(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
