@@ -80,15 +80,15 @@ def _typo(df: DataFrame, key: tuple) -> DataFrame:
 EDITS = {"deletion": _deletion, "repetition": _repetition, "shuffle": _shuffle, "swap": _swap, "typo": _typo}
 
 
-def edited(df: DataFrame, edit: str, *key, text_col: str = "text", name: str = "edited") -> DataFrame:
+def edited(df: DataFrame, edit: str, *key, text_col: str = "text", name: str = "edited", words: str | None = None) -> DataFrame:
     """df with the edited text, words joined by single spaces; null where the edit changes nothing or
     can't be done. Draws come from hashes of key (columns or values). Steps are columns of their own, so
-    each is computed once."""
+    each is computed once. `words` names a column with the text's `tokens`, where several edits share it."""
     if edit not in EDITS:
         raise ValueError(f"unknown edit {edit!r}")
-    out = EDITS[edit](df.withColumn("__w", tokens(text_col)).withColumn("__n", F.size("__w")), key)
-    out = out.withColumn("__t", F.array_join("__c", " "))
-    return out.withColumn(name, F.when(F.col("__t") != F.array_join("__w", " "), F.col("__t"))).select(*[c for c in df.columns if c != name], name)
+    out = EDITS[edit](df.withColumn("__w", F.col(words) if words else tokens(text_col)).withColumn("__n", F.size("__w")), key)
+    # words have no white space and aren't empty, so texts differ where the words do
+    return out.withColumn(name, F.when(F.col("__c") != F.col("__w"), F.array_join("__c", " "))).select(*[c for c in df.columns if c != name], name)
 
 
 def clusters(word: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lamina.functions import edits as damage
 from lamina.functions.draws import order_key
 from lamina.functions.ordering import parts, running_sum, written
-from lamina.functions.text import normalized
+from lamina.functions.text import normalized, tokens
 from lamina.operators.lineage import enforce
 
 SEVERITIES = ("weak", "medium", "strong")
@@ -124,9 +124,9 @@ def edited_chains(rows: DataFrame, count: Column, *key, text_col: str = "text",
     out = rows.withColumns({"__now": F.coalesce(text_col, F.lit("")), "__count": count, "applied": F.array().cast("array<string>"), "audit": F.array().cast("array<struct<place:int,tried:array<string>,applied:string>>"), "__on": F.lit(True)})
     most = out.agg(F.max("__count").alias("m")).first()["m"] or 0
     for place in range(int(most)):
-        step = out
+        step = out.withColumn("__words", tokens("__now"))
         for name in edits:
-            step = damage.edited(step, name, "chain", place, *key, text_col="__now", name=f"__{name}")
+            step = damage.edited(step, name, "chain", place, *key, name=f"__{name}", words="__words")
         tries = F.array_sort(F.array(*[F.struct(order_key("operation", place, *key, name).alias("draw"), F.lit(name).alias("name"), F.col(f"__{name}").alias("text")) for name in edits]))
         step = step.withColumn("__tries", tries).drop(*[f"__{name}" for name in edits])
         step = step.withColumn("__first", F.array_position(F.transform("__tries", lambda t: t["text"].isNotNull()), True).cast("int"))
@@ -150,9 +150,9 @@ def rule_outputs(rows: DataFrame, rules: list[str], mode: str, *key, text_col: s
         raise ValueError(f"unknown mode {mode!r}")
     if unknown := [r for r in rules if r not in damage.EDITS]:
         raise ValueError(f"unknown rules {unknown}")
-    out = rows
+    out = rows.withColumn("__words", tokens(text_col))
     for name in rules:
-        out = damage.edited(out, name, "rule", *key, text_col=text_col, name=f"__{name}")
+        out = damage.edited(out, name, "rule", *key, name=f"__{name}", words="__words")
     draw = lambda i, name: F.lit(f"{i:06d}") if mode != "random_success" else order_key("rule-choice", *key, name)
     tries = F.array(*[F.struct(draw(i, name).alias("draw"), F.lit(name).alias("rule"), F.col(f"__{name}").alias("output")) for i, name in enumerate(rules)])
     hits = F.array_sort(F.filter(tries, lambda t: t["output"].isNotNull()))
