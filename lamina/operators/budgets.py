@@ -14,10 +14,10 @@ BUCKET_AT = (0.3, 0.6, 0.9, 1.0)
 REPORT_AT = (0.1, 0.3, 0.5, 0.6, 0.9, 0.99, 1.0)
 
 
-def order_statistics(rows: DataFrame, value: str, at: tuple[float, ...]) -> DataFrame:
+def order_statistics(rows: DataFrame, value: str, at: tuple[float, ...], times: Column | None = None) -> DataFrame:
     """quantile and value: of n values in order the one at round((n - 1) * quantile), halves to even; no mean of
-    two. Distinct values are counted and summed by range partitions."""
-    cells = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    two. Distinct values are counted (a row `times` times) and summed by range partitions."""
+    cells = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.sum(F.lit(1) if times is None else times).alias("__n"))
     cells = running_sum(cells, [], [F.col("__v")], F.col("__n"), "__before")
     total = cells.agg(F.sum("__n").alias("__total")).where("__total > 0")
     asked = rows.sparkSession.createDataFrame([(float(q),) for q in at], "quantile double").crossJoin(F.broadcast(total))
@@ -57,23 +57,27 @@ def retry_tokens(attempts: Column, answer: Column) -> Column:
 
 def budget_report(budgets: DataFrame, tokens: str, prompt: str) -> DataFrame:
     """What budgets add up to, in long form: metric, key and value. Metrics: input_count, over_context_count,
-    reserved_rounding_tokens, bucket_counts (key: the bucket) and source_, prompt_ and required_token_quantiles."""
-    sums = budgets.agg(F.count("*").alias("input_count"), F.count_if(~F.col("fits")).alias("over_context_count"), F.coalesce(F.sum(F.col("source_bucket") - F.col(tokens)), F.lit(0)).alias("reserved_rounding_tokens"))
+    reserved_rounding_tokens, bucket_counts (key: the bucket) and source_, prompt_ and required_token_quantiles. The numbers are
+    counted once, by equal rows: texts aren't read again for each metric."""
+    budgets = written(budgets.groupBy(tokens, prompt, "source_bucket", "required_tokens", "fits").agg(F.count("*").alias("__rows")), "budgets")
+    n, none = F.col("__rows"), F.lit(0)
+    sums = budgets.agg(F.coalesce(F.sum(n), none).alias("input_count"), F.coalesce(F.sum(F.when(~F.col("fits"), n)), none).alias("over_context_count"), F.coalesce(F.sum(n * (F.col("source_bucket") - F.col(tokens))), none).alias("reserved_rounding_tokens"))
     names = sums.columns
-    out = sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.lit("").alias("key"), F.col(n).cast("double").alias("value")) for n in names])).alias("r")).select("r.*")
-    buckets = budgets.groupBy("source_bucket").agg(F.count("*").alias("n"))
+    out = sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.lit("").alias("key"), F.col(c).cast("double").alias("value")) for c in names])).alias("r")).select("r.*")
+    buckets = budgets.groupBy("source_bucket").agg(F.sum(n).alias("n"))
     out = out.unionByName(buckets.select(F.lit("bucket_counts").alias("metric"), F.col("source_bucket").cast("string").alias("key"), F.col("n").cast("double").alias("value")))
     for metric, column in (("source_token_quantiles", tokens), ("prompt_token_quantiles", prompt), ("required_token_quantiles", "required_tokens")):
-        q = order_statistics(budgets, column, REPORT_AT)
+        q = order_statistics(budgets, column, REPORT_AT, n)
         out = out.unionByName(q.select(F.lit(metric).alias("metric"), F.col("quantile").cast("string").alias("key"), F.col("value").cast("double").alias("value")))
     return out
 
 
 def generation_batches(budgets: DataFrame, size: int, order: list[str]) -> DataFrame:
     """budgets with batch: rows of one bucket (those that fit before those that don't, small buckets first) in a
-    given order, `size` in each batch; batches are numbered from 0 over all buckets."""
+    given order, `size` in each batch; batches are numbered from 0 over all buckets. budgets are written first, so what they
+    were counted from is read once, not once more for the bounds of the order's ranges."""
     by = ["__unfit", "source_bucket"]
-    rows = budgets.withColumn("__unfit", ~F.col("fits"))
+    rows = written(budgets.withColumn("__unfit", ~F.col("fits")), "budgets")
     rows = running_sum(rows, by, [F.col(c) for c in order], F.lit(1), "__i").withColumn("__own", F.floor(F.col("__i") / size))
     rows = written(rows, "batches")
     parts = running_sum(rows.select(*by, "__own").distinct(), [], [F.col(c) for c in (*by, "__own")], F.lit(1), "batch")
