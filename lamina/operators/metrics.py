@@ -228,12 +228,13 @@ def early_stops(history: DataFrame, by: list[str], step: str, metric: str, patie
 
     Runs are folded in blocks of CHECKS checks: a block's fold starts from the state that the block before
     leaves, so a run of any length passes through tasks of bounded size, at one round for each block of the
-    longest run. A block's checks lie in a folder of their own, so each is read once.
+    longest run that isn't stopped by then. A block's checks lie in a folder of their own, so each is read once.
     """
     rows = history.where(finite(metric)).select(*by, F.col(step).alias("__s"), F.col(metric).cast("double").alias("__m"))
     rows = running_sum(rows, by, [F.col("__s"), F.col("__m")], F.lit(1), "__i").withColumn("__block", F.floor(F.col("__i") / CHECKS).cast("int"))
     rows = written(rows, "checks", ["__block"])
-    blocks = (rows.agg(F.max("__block").alias("b")).first()["b"] if not rows.isEmpty() else 0) + 1
+    last = rows.groupBy(*by).agg(F.max("__block").alias("__last"))
+    blocks = (last.agg(F.max("__last").alias("b")).first()["b"] or 0) + 1
     kind = "struct<best:double,at:bigint,bad:int,stop:bigint>"
     zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("at"), F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop"))
 
@@ -247,9 +248,13 @@ def early_stops(history: DataFrame, by: list[str], step: str, metric: str, patie
     for k in range(blocks):
         own = rows.where(F.col("__block") == k).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__i", "__s", "__m"))).alias("__seq"))
         if state is None:
-            state = own.select(*by, F.aggregate("__seq", zero.cast(kind), fold).alias("e"))
+            same = reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by], F.lit(True))
+            state = own.alias("s").join(last.alias("l"), same).select(*[F.col(f"s.{c}") for c in by], F.col("l.__last"), F.aggregate("__seq", zero.cast(kind), fold).alias("e"))
         else:
-            new = state.join(own, by, "left")
-            state = new.select(*by, F.aggregate(F.coalesce("__seq", F.array().cast(own.schema["__seq"].dataType)), F.col("e"), fold).alias("e"))
+            # a block of many runs isn't for the driver to hand round
+            new = state.join(own.hint("merge"), by, "left")
+            state = new.select(*by, "__last", F.aggregate(F.coalesce("__seq", F.array().cast(own.schema["__seq"].dataType)), F.col("e"), fold).alias("e"))
         state = written(state, "stops")
+        if state.where(F.col("e.stop").isNull() & (F.col("__last") > k)).isEmpty():
+            break
     return state.select(*by, F.col("e.best").alias("best"), F.col("e.at").alias("best_step"), F.col("e.stop").alias("stop_step"))

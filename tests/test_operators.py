@@ -495,3 +495,12 @@ def test_min_max_and_regression_refuse(spark):
         composing.regression_rows(df, "y")
     with pytest.raises(LookupError):
         splitting.named_rows(df, "y", ["a", "z"])
+
+
+def test_early_stops_end_when_all_have_stopped(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "CHECKS", 4)
+    names, write = [], metrics.written
+    monkeypatch.setattr(metrics, "written", lambda df, name, *more: (names.append(name), write(df, name, *more))[1])
+    rows = [(k, i, 1.0 if i == k else 0.0) for k in range(2) for i in range(40)]
+    got = sorted(map(tuple, metrics.early_stops(spark.createDataFrame(rows, "run int, step int, m double"), ["run"], "step", "m", 5).collect()))
+    assert got == [(0, 1.0, 0, 5), (1, 1.0, 1, 6)] and names.count("stops") == 2
