@@ -191,9 +191,14 @@ def batch_faults(inputs: DataFrame, results: DataFrame, id_col: str = "candidate
 
 def candidate_numbers(results: DataFrame, existing: DataFrame, order: list[str], parent_col: str = "parent_candidate_id") -> DataFrame:
     """results with candidate_index: within a parent on from the highest that existing (parent_col,
-    candidate_index) has, in the given order. Large parents are numbered by range partitions."""
+    candidate_index) has, in the given order. Large parents are numbered by range partitions. Parents with one result
+    need no order: the bounds of ranges are drawn from samples on the driver, and what orders may be whole texts."""
     last = existing.groupBy(parent_col).agg(F.max("candidate_index").alias("__last"))
-    rows = running_sum(results, [parent_col], [F.col(c) for c in order], F.lit(1), "__k").join(last, parent_col, "left")
+    several = results.groupBy(F.col(parent_col).alias("__several")).agg(F.count("*").alias("__n")).where("__n > 1")
+    same = F.col(parent_col).eqNullSafe(F.col("__several"))
+    one = results.join(several, same, "left_anti").withColumn("__k", F.lit(0).cast("long"))
+    many = running_sum(results.join(several, same, "left_semi"), [parent_col], [F.col(c) for c in order], F.lit(1), "__k")
+    rows = one.unionByName(many).join(last, parent_col, "left")
     return rows.select(*results.columns, (F.coalesce(F.col("__last") + 1, F.lit(0)) + F.col("__k")).cast("int").alias("candidate_index"))
 
 

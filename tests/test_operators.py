@@ -504,3 +504,14 @@ def test_early_stops_end_when_all_have_stopped(spark, monkeypatch):
     rows = [(k, i, 1.0 if i == k else 0.0) for k in range(2) for i in range(40)]
     got = sorted(map(tuple, metrics.early_stops(spark.createDataFrame(rows, "run int, step int, m double"), ["run"], "step", "m", 5).collect()))
     assert got == [(0, 1.0, 0, 5), (1, 1.0, 1, 6)] and names.count("stops") == 2
+
+
+def test_only_parents_with_several_results_are_ordered(spark, monkeypatch):
+    """Texts that order results are sampled to the driver, so parents with one result stay out of it."""
+    seen, add = [], generation.running_sum
+    monkeypatch.setattr(generation, "running_sum", lambda df, *more: (seen.append(df.count()), add(df, *more))[1])
+    rows = [("a", "x"), ("b", "z"), ("b", "y"), ("c", "w"), (None, "v"), (None, "u"), (None, "t")]
+    old = spark.createDataFrame([("a", 4), ("b", 0), ("b", 2)], "parent_candidate_id string, candidate_index int")
+    got = generation.candidate_numbers(spark.createDataFrame(rows, "parent_candidate_id string, text string"), old, ["text"])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("a", "x", 5), ("b", "y", 3), ("b", "z", 4), ("c", "w", 0), (None, "t", 0), (None, "u", 1), (None, "v", 2)]))
+    assert seen == [5]
