@@ -27,6 +27,8 @@ KINDS = {"prepared": 0, "submitting": 1, "submitted": 2, "refused": 3, "complete
 ANSWER = "answer"
 SUBMITTED = KINDS["submitted"]
 ENDED = KINDS["completed"]
+#: Requests that a job's own state holds.
+OWN = 256
 PHASES = {KINDS["prepared"]: "prepared", KINDS["submitting"]: "unconfirmed", SUBMITTED: "pending", KINDS["refused"]: "prepared"}
 
 
@@ -65,62 +67,84 @@ def open_requests(requests: DataFrame, log: DataFrame, states: DataFrame) -> Dat
 
 class JobStates(StatefulProcessor):
     """Keeps the state of each job: its furthest step, its counts, and for each request whether it has succeeded. One row for each
-    change that shows, numbered by version; the highest version of a job holds."""
+    change that shows, numbered by version; the highest version of a job holds. Each call to the store costs some 0.1 ms, so
+    up to `own` requests stay in the job's own state, which is read and stored once a batch; those of larger jobs have entries of their own."""
 
-    def __init__(self, due_ms: int):
-        self.due_ms = due_ms
+    def __init__(self, due_ms: int, own: int = OWN):
+        self.due_ms, self.own = due_ms, own
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", "attempt int, step int, at_ms long, overdue boolean, n_requests int, n_ready int, n_failed int, version int")
+        self.job = handle.getValueState("job", "attempt int, step int, at_ms long, overdue boolean, n_requests int, n_ready int, n_failed int, version int, ready array<string>, failed array<string>")
         self.answers = handle.getMapState("answers", "request string", "ok boolean")
 
     def close(self) -> None:
         pass
 
-    def _read(self) -> tuple:
-        return tuple(self.job.get()) if self.job.exists() else (-1, -1, 0, False, 0, 0, 0, 0)
+    def _read(self) -> tuple[tuple, dict[str, bool]]:
+        """A job's state, and the answers in it."""
+        *state, ready, failed = self.job.get() or (-1, -1, 0, False, 0, 0, 0, 0, [], [])
+        return tuple(state), dict.fromkeys(failed, False) | dict.fromkeys(ready, True)
 
     def _shown(self, state: tuple) -> tuple:
         attempt, step, _, overdue, n_requests, n_ready, n_failed, _ = state
         phase = ("done" if n_ready >= n_requests else "retry") if step == ENDED else "overdue" if overdue else PHASES.get(step, "prepared")
         return max(attempt, 0), phase, n_requests, n_ready, n_failed
 
-    def _kept(self, key: tuple, old: tuple, new: tuple) -> Iterator[pd.DataFrame]:
+    def _kept(self, key: tuple, old: tuple, new: tuple, own: dict[str, bool]) -> Iterator[pd.DataFrame]:
         """Stores a state; a row where what it shows is new."""
         fresh = old[-1] == 0 or self._shown(old) != self._shown(new)
         new = (*new[:-1], old[-1] + fresh)
-        self.job.update(new)
+        self.job.update((*new, [r for r, ok in own.items() if ok], [r for r, ok in own.items() if not ok]))
         if fresh:
             yield pd.DataFrame([(key[0], new[-1], *self._shown(new))], columns=[c.split()[0] for c in STATES.split(", ")])
 
+    def _answered(self, answers: dict[str, bool], own: dict[str, bool], n_ready: int, n_failed: int) -> tuple[int, int]:
+        """Stores answers that are news, in `own` as long as it has room for all; the counts with them."""
+        apart = stored = n_ready + n_failed > len(own)
+        if not apart and len(own.keys() | answers.keys()) > self.own:
+            for request, ok in own.items():
+                self.answers.updateValue((request,), (ok,))
+            apart = True
+        for request, ok in answers.items():
+            before = own.get(request)
+            if stored:
+                before = (self.answers.getValue((request,)) or (None,))[0]
+            if before or before is ok:
+                continue
+            if apart:
+                self.answers.updateValue((request,), (ok,))
+            else:
+                own[request] = ok
+            n_ready, n_failed = n_ready + ok, n_failed - (before is False) + (not ok)
+        if apart:
+            own.clear()
+        return n_ready, n_failed
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = self._read()
+        old, own = self._read()
         top, n_requests, n_ready, n_failed = old[:3], old[4], old[5], old[6]
         for batch in rows:
             n_requests = max(n_requests, int(batch["n_requests"].max()))
-            steps = batch[batch["step"].notna()]
-            if len(steps):
-                top = max(top, max(zip(steps["attempt"].astype(int).tolist(), steps["step"].astype(int).tolist(), steps["at_ms"].astype(int).tolist(), strict=True)))
-            answers = batch[batch["request"].notna()]
-            for request, ok in answers["ok"].astype(bool).groupby(answers["request"]).max().items():
-                known = self.answers.getValue((request,))[0] if self.answers.containsKey((request,)) else None
-                if known or known is ok:
-                    continue
-                self.answers.updateValue((request,), (bool(ok),))
-                n_ready, n_failed = n_ready + bool(ok), n_failed - (known is False) + (not ok)
+            steps = zip(*(batch[c].tolist() for c in ("attempt", "step", "at_ms")), strict=True)
+            top = max([top, *(tuple(map(int, x)) for x in steps if x[1] >= 0)])
+            answers: dict[str, bool] = {}
+            for request, ok in zip(batch["request"].tolist(), batch["ok"].tolist(), strict=True):
+                if isinstance(request, str):
+                    answers[request] = answers.get(request, False) or bool(ok)
+            n_ready, n_failed = self._answered(answers, own, n_ready, n_failed)
         overdue = old[3] and top == old[:3]
         if top != old[:3]:
             if old[1] == SUBMITTED and not old[3]:
                 self.handle.deleteTimer(old[2] + self.due_ms)
             if top[1] == SUBMITTED:
                 self.handle.registerTimer(top[2] + self.due_ms)
-        yield from self._kept(key, old, (*top, overdue, n_requests, n_ready, n_failed, 0))
+        yield from self._kept(key, old, (*top, overdue, n_requests, n_ready, n_failed, 0), own)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        old = self._read()
+        old, own = self._read()
         if old[1] == SUBMITTED and expiredTimerInfo.getExpiryTimeInMs() == old[2] + self.due_ms:
-            yield from self._kept(key, old, (*old[:3], True, *old[4:]))
+            yield from self._kept(key, old, (*old[:3], True, *old[4:]), own)
 
 
 #: The store that holds states of this kind.
@@ -130,7 +154,7 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 def state_changes(log: DataFrame, due_ms: int, late: str = "0 seconds") -> DataFrame:
     """A log's changes of state (STATES), as a stream where the log is one. `at` is when the log took a row in, and the
     clock that makes jobs overdue; Spark drops rows further behind the newest than `late`. The session is to name STORE."""
-    rows = _steps(log.withWatermark("at", late))
+    rows = _steps(log.withWatermark("at", late)).fillna(-1, ["step"])
     return rows.groupBy("job").transformWithStateInPandas(JobStates(due_ms), STATES, "Update", "EventTime")
 
 

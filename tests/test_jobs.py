@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lamina.streaming import jobs
@@ -56,3 +58,63 @@ def test_stream_ends_at_the_fold(spark, tmp_path):
 
 def test_empty_log(spark):
     assert jobs.job_states(spark.createDataFrame([], jobs.LOG), F.current_timestamp(), HOUR).count() == 0
+
+
+COLUMNS = ["job", "attempt", "step", "at_ms", "n_requests", "request", "ok"]
+
+
+class Store:
+    """What a stateful processor sees of Spark's store, for one job; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=self._called(lambda: self.value), exists=self._called(lambda: self.value is not None), update=self._called(lambda new: setattr(self, "value", new)))
+
+    def getMapState(self, name, key, value):
+        return SimpleNamespace(getValue=self._called(self.map.get), containsKey=self._called(lambda k: k in self.map), updateValue=self._called(lambda k, v: self.map.update({k: v})))
+
+    def registerTimer(self, at):
+        self._called(self.timers.add)(at)
+
+    def deleteTimer(self, at):
+        self._called(self.timers.discard)(at)
+
+    def _called(self, f):
+        def run(*args):
+            self.calls += 1
+            return f(*args)
+
+        return run
+
+
+def test_answers_need_few_calls_to_the_store():
+    store, states = Store(), jobs.JobStates(HOUR)
+    states.init(store)
+    for ok in (False, True):
+        rows = pd.DataFrame([("j", 0, -1, 0, 200, f"r{k}", ok) for k in range(200)], columns=COLUMNS)
+        out = list(states.handleInputRows(("j",), iter([rows]), None))
+        assert [tuple(df.iloc[0])[4:] for df in out] == [(200, 200 * ok, 200 * (not ok))]
+    assert store.calls < 10
+
+
+def test_any_room_for_answers_gives_the_same_states():
+    """Jobs that outgrow their own state, in many small batches of one frame or several, with answers that come again or turn good."""
+    rng = random.Random(8)
+    batches = [[(f"r{rng.randrange(40)}", rng.random() < 0.3) for _ in range(1 + rng.randrange(8))] for _ in range(60)]
+    seen = {}
+    for own, frame in ((256, 10), (256, 2), (7, 10), (7, 3), (0, 1), (0, 4)):
+        store, states = Store(), jobs.JobStates(HOUR, own)
+        states.init(store)
+        best, got = {}, []
+        for batch in batches:
+            rows = [("j", 0, -1, 0, 40, r, ok) for r, ok in batch] + [("j", 0, 2, 5, 40, None, None), ("j", 0, -1, None, 40, "r0", False)]
+            frames = [pd.DataFrame(rows[k : k + frame], columns=COLUMNS) for k in range(0, len(rows), frame)]
+            got += [tuple(df.iloc[0]) for df in states.handleInputRows(("j",), iter(frames), None)]
+            for r, ok in [*batch, ("r0", False)]:
+                best[r] = best.get(r, False) or ok
+            assert store.value[5:7] == (sum(best.values()), len(best) - sum(best.values()))
+        assert bool(store.map) == (own < 40) and len(store.timers) == 1
+        seen[own, frame] = got
+    assert len({str(x) for x in seen.values()}) == 1
