@@ -79,14 +79,22 @@ def stratified_split(df: DataFrame, id_col: str, stratum: Column | list[Column],
     names = [f"__stratum{k}" for k in range(len(strata))]
     ids = df.groupBy(F.col(id_col).alias("__id")).agg(F.min(F.struct(*[s.alias(n) for s, n in zip(strata, names, strict=True)])).alias("__s"))
     rows = ids.select("__id", "__s.*", order_key(seed, "stratum", F.col("__id")).alias("__draw"))
-    rows = numbered(rows, *[F.col(n) for n in names], F.col("__draw"), F.col("__id"), name="__i")
+    rows = dealt(rows, [*[F.col(n) for n in names], F.col("__draw"), F.col("__id")], sizes, "__split")
+    return df.join(rows.select("__id", "__split"), F.col(id_col).eqNullSafe(F.col("__id"))).select(*df.columns, F.col("__split").alias("split"))
+
+
+def dealt(rows: DataFrame, order: list[Column], sizes: dict[str, int], name: str = "split") -> DataFrame:
+    """rows, in an order that should be total, with their split: every run of them is spread over the splits in proportion to sizes, as
+    `stratified_split` has it."""
+    columns = rows.columns
+    rows = numbered(rows, *order, name="__i")
     turn = F.pmod(F.col("__i") * F.lit(0.6180339887498949), F.lit(1.0))
     rows = numbered(rows.withColumn("__turn", turn), F.col("__turn"), F.col("__i"), name="__k")
     split, at = F.lit("excluded"), 0
-    for name, size in sizes.items():
-        split = F.when((F.col("__k") >= at) & (F.col("__k") < at + size), name).otherwise(split)
+    for s, size in sizes.items():
+        split = F.when((F.col("__k") >= at) & (F.col("__k") < at + size), s).otherwise(split)
         at += size
-    return df.join(rows.select("__id", split.alias("__split")), F.col(id_col).eqNullSafe(F.col("__id"))).select(*df.columns, F.col("__split").alias("split"))
+    return rows.select(*columns, split.alias(name))
 
 
 def workflow_faults(outputs: dict[str, DataFrame], originals: DataFrame, on: str = "base_text_id") -> DataFrame:

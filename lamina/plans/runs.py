@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lamina.functions import diffs, edits, features, swaps
 from lamina.functions.draws import h32
 from lamina.functions.ordering import shared_dir, written
-from lamina.operators import balancing, rules, scoring, splitting, suites
+from lamina.operators import balancing, rules, scoring, suites
 from lamina.plans.queries import _ITEMS, _WS, _h, _norm, _t, items, query
 from lamina.sources.jsonl import Layers
 from lamina.streaming import jobs, prefix
@@ -78,7 +78,7 @@ def severity_diff(spark, sf):
 z AS (SELECT n, unnest(['dev', 'test', 'train']) AS split, unnest([n // 10, n // 10, n - 2 * (n // 10)]) AS size FROM c)
 SELECT feature, split, CAST(size AS BIGINT) AS size, count(*) AS total, round(count(*) * size / CAST(n AS DOUBLE), 6) AS target, true AS within FROM f, z WHERE feature IS NOT NULL GROUP BY feature, split, size, n""")
 def split_balance(spark, sf):
-    """A tenth of the documents each for dev and test, drawn by hash and then balanced until each split holds each feature to six
+    """A tenth of the documents each for dev and test, dealt by kind and then balanced until each split holds each feature to six
     sources, or a tenth of the target: of each feature and split the target, and whether it does."""
     docs = _t(spark, sf, "documents")
     n = docs.count()
@@ -86,9 +86,8 @@ def split_balance(spark, sf):
     kinds = F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source"), F.concat(F.lit("chars:"), F.floor(F.length("text") / 2000).cast("string")))
     features = docs.select("doc_id", F.explode(kinds).alias("feature"), F.lit(1).alias("n")).where("feature is not null")
     features = written(features, "features")
-    start = splitting.stratified_split(docs.select("doc_id"), "doc_id", F.lit(0), sizes)
     within = F.abs(F.col("observed") - F.col("target")) <= F.greatest(F.lit(6.0), F.col("target") / 10)
-    out = balancing.balanced(start, features, F.lit(1.0), "doc_id", within=within)
+    out = balancing.balanced_split(docs, features, F.lit(1.0), "doc_id", sizes, within=within)
     per = balancing.deviations(out, features, F.lit(1.0), "doc_id").join(F.broadcast(out.groupBy("split").agg(F.count("*").alias("size"))), "split")
     return per.select("feature", "split", "size", "total", F.round("target", 6).alias("target"), within.alias("within"))
 
